@@ -23,6 +23,21 @@ _EN = rules.STOPWORDS["en"]
 _IN_EN = "[" + ", ".join(sql_text(w) for w in _EN) + "]"
 
 
+_JUNK_PLAN = {
+    "remove_duplicates": 0,
+    "missing_values": {"strategy": "guess", "constant_values": [1]},
+    "outliers": {"strategy": "explode", "method": "magic", "zscore_threshold": "high"},
+    "convert_types": {"date_columns": ["no_such_column"], "manual": {"p_size": "complex", "nowhere": "int"}},
+    "text_cleaning": {"columns": ["missing"], "steps": ["shout"]},
+}
+
+
+@query("k01_plan_validation", GAPPY_PART_SQL)
+def k01(spark, sf):
+    df = gappy_part(spark, sf)
+    return apply_plan(df, CleaningPlan.from_dict(_JUNK_PLAN, df.columns))[0]
+
+
 @query("k02_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def k02(spark, sf):
     return clean.dedupe(table(spark, sf, "events").select("user_id", "event_type"))
