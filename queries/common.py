@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulens.sources.readers import read_parquet
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -24,8 +26,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+_TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return read_parquet(spark, f"{sf}/{name}.parquet", spread=name in _TEXT_TABLES)
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:

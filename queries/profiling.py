@@ -303,11 +303,7 @@ _TABLES = {
     ),
 )
 def p17(spark, sf):
-    out = None
-    for name in _TABLES:
-        part = sc.domain_from_columns(table(spark, sf, name), name)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return sc.domain_from_columns(sc.catalog({name: spark.read.parquet(f"{sf}/{name}.parquet") for name in _TABLES}))
 
 
 @query("p18_text_domain_first", f"SELECT doc_id, {sql_first('lower(text)', rules.TEXT_DOMAINS_FIRST, 'General')} AS domain FROM documents")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FLOATING = (T.DoubleType, T.FloatType)
+# Text that is a number; anything else is not even tried, as a failed parse is costly.
+PARSABLE = r"^\s*[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"
 
 
 def is_numeric(data_type: T.DataType) -> bool:
@@ -33,8 +35,8 @@ def number(df: DataFrame, name: str) -> Column:
         return column
     if is_numeric(data_type):
         return column.cast("double")
-    parsed = column.cast("string").try_cast("double")
-    return F.when(~F.isnan(parsed), parsed)
+    text = column.cast("string")
+    return F.when(text.rlike(PARSABLE), text.try_cast("double"))
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:

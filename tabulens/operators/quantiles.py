@@ -1,12 +1,11 @@
 """Exact quantiles that no single task has to hold.
 
-Spark's ``percentile`` keeps every distinct value of a group in one map, so it is
-used only below a counted number of rows. Above it the order statistics are found
-by narrowing: a histogram over order-preserving buckets says which bucket holds the
-wanted rank, only that bucket's rows go on to the next, finer histogram, and after
-three of them the values left span less than 1e-9 of their magnitude. Histograms
-are partially aggregated and have a fixed number of buckets, so neither many rows
-nor one hot group enlarges what a task keeps.
+Up to a counted number of cells a group's values are sorted in one aggregation
+buffer. Above it the order statistics are found digit by digit: every double has
+an integer key that grows with it; a histogram over the leading digits of the key
+says which bucket holds the wanted rank, and only that bucket's rows go on to the
+next digits. Histograms are partially aggregated and have a fixed number of
+buckets, so neither many rows nor one hot group enlarges what a task keeps.
 """
 
 from __future__ import annotations
@@ -18,17 +17,34 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.nulls import number, quoted
 
-# Rows up to which one aggregation buffer may see all values.
-BUFFER_ROWS = 4_000_000
+# Cells (rows times columns) up to which aggregation buffers may see all values.
+BUFFER_CELLS = 8_000_000
 
-_FINE = 4096
-_PER_OCTAVE = 16
+# Key bits below the histogram, level by level: 1/256 of an octave, then 4096 and 256 parts of the one before.
+_SHIFTS = (20, 8, 0)
+# Rows in one bucket that may be sorted by value without narrowing further.
+_EXACT_ROWS = 1_000_000
+# Wanted buckets that may pass through the driver.
+_TARGET_ROWS = 20_000
 
 
-def fits_buffer(df: DataFrame, limit: int | None = None) -> bool:
+def fits_buffer(df: DataFrame, limit: int | None = None, cols: int = 1) -> bool:
     """Counted, not estimated: on a parquet scan this reads footers only."""
-    limit = BUFFER_ROWS if limit is None else limit
-    return limit > 0 and df.count() <= limit
+    limit = BUFFER_CELLS if limit is None else limit
+    return limit > 0 and df.count() * max(cols, 1) <= limit
+
+
+def position_in(n: Column, p: float) -> Column:
+    return (n - 1) * F.lit(float(p))
+
+
+def of_sorted(values: Column, p: float) -> Column:
+    """The quantile of a sorted array, by linear interpolation."""
+    at = position_in(F.size(values), p)
+    low = F.floor(at)
+    part = at - low
+    below = F.get(values, low.cast("int"))
+    return F.when(part > 0, below * (1 - part) + F.get(values, low.cast("int") + 1) * part).otherwise(below)
 
 
 def exact_quantiles(
@@ -40,15 +56,16 @@ def exact_quantiles(
 ) -> DataFrame:
     """Rows ``(by..., column, quantiles)``: linear interpolation, NULL and NaN ignored."""
     by = list(by)
-    if fits_buffer(df, limit):
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
+    if fits_buffer(df, limit, len(cols)):
         pairs = [
-            F.struct(F.lit(c).alias("column"), F.percentile(number(df, c), wanted).alias("quantiles"))
+            F.struct(F.lit(c).alias("column"), F.sort_array(F.collect_list(number(df, c))).alias("sorted"))
             for c in cols
         ]
         grouped = df.groupBy(*by).agg(F.array(*pairs).alias("all"))
-        return grouped.select(*by, F.explode("all").alias("one")).select(*by, "one.column", "one.quantiles")
-    return _narrowed_quantiles(df, cols, probs, by)
+        rows = grouped.select(*by, F.explode("all").alias("one")).select(*by, "one.*")
+        found = F.when(F.size("sorted") > 0, F.array(*[of_sorted(F.col("sorted"), p) for p in probs]))
+        return rows.select(*by, "column", found.alias("quantiles"))
+    return _by_digits(df, cols, probs, by)
 
 
 def collect_quantiles(
@@ -59,92 +76,88 @@ def collect_quantiles(
     return {c: found.get(c) for c in cols}
 
 
-def _octave(v: Column) -> Column:
-    """Non-decreasing in v over all doubles; at most about 70,000 different values."""
-    level = F.greatest(F.least(F.log2(F.abs(v)), F.lit(1100.0)), F.lit(-1100.0))
-    step = F.floor(level * _PER_OCTAVE) + 20_000
+def _key(v: Column) -> Column:
+    """A whole number that never decreases with v; one step is less than 3e-9 of the value."""
+    level = F.greatest(F.least(F.log2(F.abs(v)), F.lit(1100.0)), F.lit(-1100.0)) + 1101
+    step = F.floor(level * (1 << 28))
     return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, step).otherwise(-step)
 
 
-def _slice(v: Column, low: Column, high: Column) -> Column:
-    """Equal-width position of v in [low, high], 0.._FINE; halves avoid overflow of the width."""
-    width = high / 2 - low / 2
-    return F.when(width > 0, F.floor((v / 2 - low / 2) / width * _FINE)).otherwise(F.lit(0).cast("bigint"))
-
-
-def _narrowed_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: list[str]) -> DataFrame:
+def _by_digits(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: list[str]) -> DataFrame:
     keys = by + ["column"]
+    # Adding 0.0 turns -0.0 into 0.0.
     pairs = [F.struct(F.lit(c).alias("column"), (number(df, c) + F.lit(0.0)).alias("v")) for c in cols]
     values = (
         df.select(*[quoted(b) for b in by], F.explode(F.array(*pairs)).alias("p"))
         .select(*by, "p.column", "p.v")
         .where("v IS NOT NULL")
+        .withColumn("key", _key(F.col("v")))
     )
-
-    def position(p: float) -> Column:
-        return (F.col("n") - 1) * F.lit(float(p))
-
-    first = (
-        values.withColumn("b", _octave(F.col("v")))
-        .groupBy(*keys, "b")
-        .agg(F.count("*").alias("cnt"), F.min("v").alias("low"), F.max("v").alias("high"))
-        .withColumn("n", F.sum("cnt").over(Window.partitionBy(*keys)))
-        .withColumn("base", F.lit(0).cast("bigint"))
-        .withColumn(
-            "ranks",
-            F.array_distinct(
-                F.concat(*[F.array(F.floor(position(p)), F.ceil(position(p))) for p in probs])
-            ),
-        )
-    )
-    target = _holding(first, keys, "b")
-    for _ in range(2):
-        finer = (
-            _inside(values, target, keys, bounded=not by)
-            .withColumn("b", _slice(F.col("v"), F.col("low"), F.col("high")))
-            .groupBy(*keys, "n", "base", "ranks", "b")
-            .agg(F.count("*").alias("cnt"), F.min("v").alias("low"), F.max("v").alias("high"))
+    target, shift = None, None
+    for next_shift in _SHIFTS:
+        rows = values if target is None else _inside(values, target, keys, shift)
+        carried = [] if target is None else ["n", "base", "ranks"]
+        hist = rows.groupBy(*keys, *carried, F.shiftright("key", next_shift).alias("bucket")).agg(
+            F.count("*").alias("cnt")
         )
-        target = _holding(finer, keys + ["base"], "b", keep=keys)
+        if target is None:
+            n = F.sum("cnt").over(Window.partitionBy(*keys))
+            wanted = [f(position_in(F.col("n"), p)) for p in probs for f in (F.floor, F.ceil)]
+            hist = hist.withColumn("n", n).withColumn("base", F.lit(0).cast("bigint"))
+            hist = hist.withColumn("ranks", F.array_distinct(F.array(*wanted)))
+        target, shift = _holding(hist, keys, carried, "bucket"), next_shift
+        target, done = _settle(target)
+        if done:
+            break
     last = (
-        _inside(values, target, keys, bounded=not by)
-        .groupBy(*keys, "n", "base", "ranks", "v")
-        .agg(F.count("*").alias("cnt"), F.min("v").alias("low"), F.max("v").alias("high"))
+        _inside(values, target, keys, shift)
+        .groupBy(*keys, "n", "base", "ranks", F.col("v").alias("bucket"))
+        .agg(F.count("*").alias("cnt"))
     )
     found = (
-        _holding(last, keys + ["base"], "v", keep=keys)
-        .select(*keys, "n", "low", F.explode("ranks").alias("rank"))
+        _holding(last, keys, ["base"], "bucket")
+        .select(*keys, "n", F.col("bucket").alias("v"), F.explode("ranks").alias("rank"))
         .groupBy(*keys, "n")
-        .agg(F.map_from_entries(F.collect_list(F.struct("rank", "low"))).alias("at"))
+        .agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
     )
 
     def quantile(p: float) -> Column:
-        lower, upper = F.floor(position(p)), F.ceil(position(p))
-        part = position(p) - lower
+        at = position_in(F.col("n"), p)
+        lower, upper = F.floor(at), F.ceil(at)
         below = F.element_at("at", lower)
-        return F.when(lower == upper, below).otherwise(below * (1 - part) + F.element_at("at", upper) * part)
+        return F.when(lower == upper, below).otherwise(
+            below * (1 - (at - lower)) + F.element_at("at", upper) * (at - lower)
+        )
 
     return found.select(*keys, F.array(*[quantile(p) for p in probs]).alias("quantiles"))
 
 
-def _holding(hist: DataFrame, part: list[str], order: str, keep: list[str] | None = None) -> DataFrame:
+def _holding(hist: DataFrame, keys: list[str], within: list[str], order: str) -> DataFrame:
     """The buckets that contain a wanted rank, with the ranks they contain."""
+    part = keys + [c for c in within if c == "base"]
     w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = hist.withColumn("start", F.col("base") + F.sum("cnt").over(w) - F.col("cnt"))
     hits = F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("cnt")))
     return (
         placed.withColumn("ranks", hits)
         .where(F.size("ranks") > 0)
-        .select(*(keep or part), "n", F.col("start").alias("base"), "low", "high", "ranks")
+        .select(*keys, "n", F.col("start").alias("base"), "bucket", "cnt", "ranks")
     )
 
 
-def _inside(values: DataFrame, target: DataFrame, keys: list[str], bounded: bool) -> DataFrame:
-    """Values within a wanted bucket. Without groups there are two buckets per column and quantile at most."""
-    side = F.broadcast(target) if bounded else target
-    v, t = values.alias("v"), side.alias("t")
-    same = F.lit(True)
+def _settle(target: DataFrame) -> tuple[DataFrame, bool]:
+    """Few wanted buckets become a local table, and are done when none is large; many stay part of the plan."""
+    rows = target.limit(_TARGET_ROWS + 1).collect()
+    if len(rows) > _TARGET_ROWS:
+        return target, False
+    local = F.broadcast(target.sparkSession.createDataFrame(rows, target.schema))
+    return local, all(r["cnt"] <= _EXACT_ROWS for r in rows)
+
+
+def _inside(values: DataFrame, target: DataFrame, keys: list[str], shift: int) -> DataFrame:
+    """Values within a wanted bucket."""
+    v, t = values.alias("v"), target.alias("t")
+    same = F.shiftright(F.col("v.key"), shift) == F.col("t.bucket")
     for k in keys:
         same = same & F.col(f"v.`{k}`").eqNullSafe(F.col(f"t.`{k}`"))
-    within = (F.col("v.v") >= F.col("t.low")) & (F.col("v.v") <= F.col("t.high"))
-    return v.join(t, same & within).select("v.*", "t.n", "t.base", "t.low", "t.high", "t.ranks")
+    return v.join(t, same).select("v.*", "t.n", "t.base", "t.ranks")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulens.functions import rules
-from tabulens.functions.nulls import is_numeric, no_nan, number, quoted
+from tabulens.functions.nulls import PARSABLE, is_numeric, no_nan, number, quoted
 from tabulens.functions.text import contains_any, first_match
 
 KINDS = ("numeric", "categorical", "temporal", "other")
@@ -126,7 +126,7 @@ def mixed_samples(df: DataFrame, cols: Sequence[str], n: int = 2) -> DataFrame:
     """The n smallest distinct numbers and the n smallest other texts of each column."""
     from tabulens.operators.profile import smallest_per_group, unpivot_text
 
-    parsed = F.col("value").try_cast("double")
+    parsed = F.when(F.col("value").rlike(PARSABLE), F.col("value").try_cast("double"))
     rows = unpivot_text(df, cols).withColumn("sample_kind", F.when(parsed.isNotNull(), "number").otherwise("text"))
     return smallest_per_group(rows.distinct(), ["column", "sample_kind"], ["value"], n).drop("rank")
 
@@ -193,15 +193,28 @@ def table_domain(names: Column, rule_set: str = "short", numeric_share: Column |
     return F.when(named != "", named).otherwise(otherwise)
 
 
-def domain_from_columns(df: DataFrame, table: str) -> DataFrame:
-    """One row per table: its size and what its column names say it is about."""
-    names = " ".join(df.columns)
-    share = len(numeric_columns(df)) / len(df.columns)
-    return df.agg(F.count("*").alias("n_rows")).select(
-        F.lit(table).alias("table_name"),
-        "n_rows",
-        F.lit(len(df.columns)).alias("n_cols"),
-        table_domain(F.lit(names), "short").alias("domain"),
-        table_domain(F.lit(names), "long").alias("detailed_domain"),
-        table_domain(F.lit(names), "type", F.lit(share)).alias("dataset_type"),
+def catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per table: size, column names joined by spaces, share of numeric columns."""
+    out = None
+    for name, df in tables.items():
+        row = df.agg(F.count("*").alias("n_rows")).select(
+            F.lit(name).alias("table_name"),
+            "n_rows",
+            F.lit(len(df.columns)).alias("n_cols"),
+            F.lit(" ".join(df.columns)).alias("names"),
+            F.lit(len(numeric_columns(df)) / len(df.columns)).alias("numeric_share"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def domain_from_columns(tables: DataFrame) -> DataFrame:
+    """What the column names of each table of a catalog say it is about, by three rule sets."""
+    names = F.col("names")
+    # The rules run over the catalog's rows: dealing them out keeps them from being copied into every branch of it.
+    return tables.repartition(1).select(
+        "table_name", "n_rows", "n_cols",
+        table_domain(names, "short").alias("domain"),
+        table_domain(names, "long").alias("detailed_domain"),
+        table_domain(names, "type", F.col("numeric_share")).alias("dataset_type"),
     )

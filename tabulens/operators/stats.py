@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabulens.functions.nulls import number, quoted
 from tabulens.operators.ordered import previous_value
 from tabulens.operators.profile import smallest_per_group, top_values, unpivot_text
-from tabulens.operators.quantiles import collect_quantiles, exact_quantiles, fits_buffer
+from tabulens.operators.quantiles import collect_quantiles, exact_quantiles, fits_buffer, of_sorted
 from tabulens.operators.schema import columns_above_ratio, numeric_columns, per_column
 
 _PAIR_BATCH = 400
@@ -30,7 +30,7 @@ def summarize(
 ) -> DataFrame:
     """Rows ``(by..., column, count, mean, std, min, max, qXX...)``; text columns are parsed as numbers."""
     by = list(by)
-    small = not probs or fits_buffer(df, limit)
+    small = not probs or fits_buffer(df, limit, len(cols))
     entries = []
     for c in cols:
         x = number(df, c)
@@ -43,7 +43,7 @@ def summarize(
             F.max(x).alias("max"),
         ]
         if probs and small:
-            parts.append(F.percentile(x, F.array(*[F.lit(float(p)) for p in probs])).alias("quantiles"))
+            parts.append(F.sort_array(F.collect_list(x)).alias("sorted"))
         entries.append(F.struct(*parts))
     found = per_column(df, entries, by)
     if probs and not small:
@@ -53,7 +53,10 @@ def summarize(
         for b in by:
             same = same & F.col(f"f.`{b}`").eqNullSafe(F.col(f"q.`{b}`"))
         found = f.join(q, same, "left").select("f.*", "q.quantiles")
-    qs = [F.get("quantiles", F.lit(i)).alias(_label(p)) for i, p in enumerate(probs)]
+    if small:
+        qs = [of_sorted(F.col("sorted"), p).alias(_label(p)) for p in probs]
+    else:
+        qs = [F.get("quantiles", F.lit(i)).alias(_label(p)) for i, p in enumerate(probs)]
     return found.select(*by, "column", "count", "mean", "std", "min", "max", *qs)
 
 

@@ -42,21 +42,23 @@ def corpus_stats(df: DataFrame, col: str) -> DataFrame:
 
 def language_of(text: Column, stopwords: Mapping[str, Sequence[str]] = rules.STOPWORDS) -> Column:
     """The language with most function words in the text; the alphabetically first on ties, ``unknown`` without any."""
-    words = tx.tokens(F.lower(text))
+    every = sorted({w for words in stopwords.values() for w in words})
+    # Most words are in no list: one pass leaves the few the counts below go over.
+    common = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w.isin(every))
 
-    def count_of(stop: Sequence[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(list(stop))))
+    def winner(words: Column) -> Column:
+        def count_of(stop: Sequence[str]) -> Column:
+            return F.size(F.filter(words, lambda w: w.isin(list(stop))))
 
-    votes = [
-        F.struct(
-            count_of(stop).alias("votes"),
-            F.lit(-i).alias("rank"),
-            F.lit(code).alias("code"),
-        )
-        for i, (code, stop) in enumerate(sorted(stopwords.items()))
-    ]
-    best = F.array_max(F.array(*votes))
-    return F.when(best["votes"] > 0, best["code"]).otherwise("unknown")
+        votes = [
+            F.struct(count_of(stop).alias("votes"), F.lit(-i).alias("rank"), F.lit(code).alias("code"))
+            for i, (code, stop) in enumerate(sorted(stopwords.items()))
+        ]
+        # Wins over languages without a vote, loses to any with one.
+        nobody = F.struct(F.lit(0).alias("votes"), F.lit(1).alias("rank"), F.lit("unknown").alias("code"))
+        return F.array_max(F.array(nobody, *votes))["code"]
+
+    return tx.let(common, winner)
 
 
 def language_tally(
@@ -67,18 +69,16 @@ def language_tally(
     return rows.groupBy(language_of(quoted(col), stopwords).alias("language")).agg(F.count("*").alias("count"))
 
 
-def domain_of(text: Column, how: str = "first") -> Column:
-    """``first``: the first domain with any keyword. ``score``: most keywords, two at least, else General."""
-    low = F.lower(text)
+def tag_domain(df: DataFrame, col: str, how: str = "first") -> DataFrame:
+    """Adds ``domain``. ``first``: the first domain with any keyword. ``score``: most keywords, two at least, else General."""
+    low = F.lower(quoted(col))
     if how == "first":
-        return tx.first_match(low, rules.TEXT_DOMAINS_FIRST, "General")
-    best = tx.best_match(low, rules.TEXT_DOMAINS_SCORED)
+        return df.withColumn("domain", tx.first_match(low, rules.TEXT_DOMAINS_FIRST, "General"))
     names = F.array(*[F.lit(name) for name, _ in rules.TEXT_DOMAINS_SCORED])
-    return F.when(best["score"] >= rules.TEXT_DOMAIN_MIN_SCORE, F.get(names, -best["rank"])).otherwise("General")
-
-
-def tag_domain(df: DataFrame, col: str, how: str = "first") -> DataFrame:
-    return df.withColumn("domain", domain_of(quoted(col), how))
+    best = F.col("_best")
+    domain = F.when(best["score"] >= rules.TEXT_DOMAIN_MIN_SCORE, F.get(names, -best["rank"])).otherwise("General")
+    scored = df.withColumn("_low", low).withColumn("_best", tx.best_match(F.col("_low"), rules.TEXT_DOMAINS_SCORED))
+    return scored.withColumn("domain", domain).drop("_low", "_best")
 
 
 def stated_domain(text: Column) -> Column:
@@ -92,8 +92,8 @@ def stated_domain(text: Column) -> Column:
 
 def word_freq(df: DataFrame, col: str, k: int | None = None) -> DataFrame:
     """Occurrences per lower-case word; partial counts keep frequent words from piling up in one task."""
-    words = df.select(F.explode(tx.tokens(F.lower(quoted(col)))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("count"))
+    words = df.select(F.explode(F.split(F.lower(quoted(col)), r"(?U)\W+")).alias("word"))
+    counts = words.where("word <> ''").groupBy("word").agg(F.count("*").alias("count"))
     return counts if k is None else counts.orderBy(F.desc("count"), "word").limit(k)
 
 
@@ -108,10 +108,9 @@ def word_cloud(df: DataFrame, col: str, k: int = 100) -> DataFrame:
 
 def sentiment_score(text: Column, lexicon: Mapping[str, Sequence[str]] = rules.SENTIMENT_LEXICON) -> Column:
     """Positive minus negative words."""
-    words = tx.tokens(F.lower(text))
-    good = F.size(F.filter(words, lambda w: w.isin(list(lexicon["positive"]))))
-    bad = F.size(F.filter(words, lambda w: w.isin(list(lexicon["negative"]))))
-    return good - bad
+    good, bad = list(lexicon["positive"]), list(lexicon["negative"])
+    known = F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w.isin([*good, *bad]))
+    return F.aggregate(known, F.lit(0), lambda total, w: total + F.when(w.isin(good), 1).otherwise(-1))
 
 
 def sentiment(df: DataFrame, col: str, lexicon: Mapping[str, Sequence[str]] = rules.SENTIMENT_LEXICON) -> DataFrame:
@@ -134,12 +133,14 @@ def classify_intent(
         route = F.create_map(*[F.lit(x) for pair in routes.items() for x in pair])
         out = df.withColumn("intent", intent).withColumn("confidence", F.lit(0.6))
         return out.withColumn("route", F.element_at(route, F.col("intent")))
-    names = F.array(*[F.lit(name) for name, _ in rules.INTENTS_SCORED])
-    best = tx.best_match(q, rules.INTENTS_SCORED)
-    total = sum((tx.keyword_score(q, words) for _, words in rules.INTENTS_SCORED), F.lit(0))
-    return df.withColumn("intent", F.get(names, -best["rank"])).withColumn(
-        "confidence", F.when(total > 0, best["score"] / total).otherwise(0.5)
-    )
+    names = [name for name, _ in rules.INTENTS_SCORED]
+    scores = [F.col(f"_{name}") for name in names]
+    scored = df.withColumns({f"_{name}": tx.keyword_score(q, words) for name, words in rules.INTENTS_SCORED})
+    best, total = F.greatest(*scores), sum(scores[1:], scores[0])
+    intent = F.coalesce(*[F.when(score == best, name) for name, score in zip(names, scores)])
+    return scored.withColumn("intent", intent).withColumn(
+        "confidence", F.when(total > 0, best / total).otherwise(0.5)
+    ).drop(*[f"_{name}" for name in names])
 
 
 def question_bucket(text: Column) -> Column:
@@ -223,7 +224,7 @@ def questions_in(text: Column, strict: bool = False) -> Column:
             return (F.length(q) > 30) & tx.contains_any(low, ANALYTICAL_TERMS) & ~tx.contains_any(low, PLAIN_PHRASES)
 
         return F.array_distinct(F.filter(clean, analytical))
-    kept = F.array_distinct(F.filter(clean, lambda q: F.length(q) > 10))
+    kept = F.filter(clean, lambda q: F.length(q) > 10)
     lines = F.transform(F.split(text, "\n"), tx.strip)
 
     def asks(line: Column) -> Column:
@@ -233,7 +234,7 @@ def questions_in(text: Column, strict: bool = False) -> Column:
 
     bare = F.transform(F.filter(lines, asks), lambda s: F.regexp_replace(s, _NUMBERING, ""))
     marked = F.transform(bare, lambda s: F.when(F.endswith(s, F.lit("?")), s).otherwise(F.concat(s, F.lit("?"))))
-    return F.when(F.size(kept) > 0, kept).otherwise(F.array_distinct(marked))
+    return tx.let(kept, lambda k: F.array_distinct(F.when(F.size(k) > 0, k).otherwise(marked)))
 
 
 def numbered_lines(text: Column) -> Column:
@@ -250,9 +251,8 @@ def extract_questions(df: DataFrame, col: str, keep: Sequence[str], strict: bool
 
 def answer_flags(df: DataFrame, col: str) -> DataFrame:
     """Adds ``substantial``, ``data_driven`` and ``insightful``."""
-    low = F.lower(quoted(col))
-    size = F.length(tx.strip(quoted(col)))
-    return df.withColumns(
+    low, size = F.col("_low"), F.length(tx.strip(quoted(col)))
+    return df.withColumn("_low", F.lower(quoted(col))).withColumns(
         {
             "substantial": (size >= 100) & (tx.keyword_score(low, rules.ANALYSIS_INDICATORS) >= 2),
             "data_driven": tx.contains_any(low, rules.DATA_INDICATORS) & ~tx.contains_any(low, rules.GENERIC_PHRASES),
@@ -260,4 +260,4 @@ def answer_flags(df: DataFrame, col: str) -> DataFrame:
             & (tx.keyword_score(low, rules.INSIGHT_INDICATORS) >= 3)
             & ~tx.contains_any(low, rules.EVASIVE_PHRASES),
         }
-    )
+    ).drop("_low")

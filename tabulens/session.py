@@ -33,18 +33,13 @@ def scratch_dir(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``. A local temporary folder is
     taken only where that setting is absent, as in tests.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
-    if base:
-        if context._jsc.sc().getCheckpointDir().isEmpty():
-            context.setCheckpointDir(base)
-        return base
-    current = context._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        base = tempfile.mkdtemp(prefix="tabulens-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = context.getCheckpointDir() or tempfile.mkdtemp(prefix="tabulens-")
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
-        return base
-    return current.get()
+    return base
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -77,7 +77,7 @@ def chunk_text(
         rows = df.select(*kept, quoted(col).alias("_text"), F.posexplode(starts).alias("chunk_no", "_start"))
         rows = rows.select(
             *keep, "chunk_no", F.substring("_text", F.col("_start") + 1, F.lit(size)).alias("content")
-        ).where(tx.strip(F.col("content")) != "")
+        ).where(tx.strip(F.col("content")) != F.lit(""))
         return rows.withColumn("length", F.length("content"))
     if mode != "recursive":
         raise ValueError(f"unknown mode {mode!r}")
