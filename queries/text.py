@@ -81,7 +81,7 @@ def t06(spark, sf):
 
 @query("t07_question_bucket", _asked(sql_first("q", rules.QUESTION_BUCKETS, "analytical") + " AS bucket"))
 def t07(spark, sf):
-    return questions(spark, sf).select("conv_id", "turn", "question", ts.question_bucket(F.col("question")).alias("bucket"))
+    return ts.question_bucket(questions(spark, sf).select("conv_id", "turn", "question"), "question")
 
 
 @query(
@@ -89,12 +89,12 @@ def t07(spark, sf):
     f"SELECT conv_id, turn, {sql_any('lower(text)', rules.CALCULATION_WORDS)} AS calculation FROM conversations",
 )
 def t08(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", ts.needs_calculation(F.col("text")).alias("calculation"))
+    return ts.needs_calculation(table(spark, sf, "conversations"), "text").select("conv_id", "turn", "calculation")
 
 
 @query("t09_context_kind", _asked(sql_first("q", rules.CONTEXT_KINDS, "general") + " AS context"))
 def t09(spark, sf):
-    return questions(spark, sf).select("conv_id", "turn", "question", ts.context_kind(F.col("question")).alias("context"))
+    return ts.context_kind(questions(spark, sf).select("conv_id", "turn", "question"), "question")
 
 
 _VARIED = "concat(question, CASE WHEN turn % 2 = 0 THEN ' ' ELSE ' for segment ' END, CASE WHEN turn % 2 = 0 THEN '' ELSE CAST(turn AS {s}) END)"

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Sequence
-from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TEXT_STEPS = ("strip", "lowercase", "remove_punct", "remove_numbers", "remove_stopwords")
@@ -76,28 +76,41 @@ def title_case(text: Column) -> Column:
     )
 
 
-def contains_any(text: Column, words: Iterable[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+# Keyword rules are SQL text over a column name: one expression to parse instead of a call per keyword.
 
 
-def keyword_score(text: Column, words: Iterable[str]) -> Column:
-    """How many of the words occur in the text."""
-    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
+def _literal(word: str) -> str:
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def first_match(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: str) -> Column:
-    """Label of the first rule with any word in the text."""
-    out = None
-    for label, words in rules:
-        hit = contains_any(text, words)
-        out = F.when(hit, F.lit(label)) if out is None else out.when(hit, F.lit(label))
-    return out.otherwise(F.lit(default))
+def any_of(column: str, words: Iterable[str]) -> str:
+    """SQL: does the text hold any of the words, inside longer words too?"""
+    return "(" + " OR ".join(f"contains({column}, {_literal(w)})" for w in words) + ")"
 
 
-def best_match(text: Column, rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
-    """``struct(score, rank)`` of the best-scoring rule; the earlier rule wins a tie."""
-    scored = [
-        F.struct(keyword_score(text, words).alias("score"), F.lit(-i).alias("rank"))
-        for i, (_, words) in enumerate(rules)
-    ]
-    return F.array_max(F.array(*scored))
+def score_of(column: str, words: Iterable[str]) -> str:
+    """SQL: how many of the words the text holds."""
+    return "(" + " + ".join(f"int(contains({column}, {_literal(w)}))" for w in words) + ")"
+
+
+def first_of(column: str, rules: Sequence[tuple[str, Sequence[str]]], default: str) -> str:
+    """SQL: label of the first rule with any word in the text."""
+    arms = " ".join(f"WHEN {any_of(column, words)} THEN {_literal(label)}" for label, words in rules)
+    return f"CASE {arms} ELSE {_literal(default)} END"
+
+
+def pattern_of(words: Iterable[str]) -> str:
+    """The same test as a regular expression, for use on array elements."""
+    return "|".join(re.escape(w) for w in words)
+
+
+def with_scores(df: DataFrame, column: str, rules: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """Adds ``_scores``, the score of every rule in order, and ``_best``, the highest."""
+    scores = ", ".join(score_of(column, words) for _, words in rules)
+    return df.withColumn("_scores", F.expr(f"array({scores})")).withColumn("_best", F.array_max("_scores"))
+
+
+def best_label(rules: Sequence[tuple[str, Sequence[str]]]) -> Column:
+    """The first rule with the highest score, after ``with_scores``."""
+    names = ", ".join(_literal(label) for label, _ in rules)
+    return F.expr(f"get(array({names}), int(array_position(_scores, _best)) - 1)")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens.functions import rules
@@ -109,28 +109,25 @@ def row_line(df: DataFrame, order_by: Sequence[str], num: str) -> DataFrame:
     return df.select(*[quoted(c) for c in order_by], number(df, num).alias("value")).orderBy(*order_by)
 
 
-def chart_kind(question: Column, n_numeric: int, n_categorical: int) -> Column:
-    """Suggested chart for a question on a table with that many columns of each kind; ``none`` where text suffices."""
-    q = F.lower(question)
-    rank = tx.best_match(q, rules.INTENTS_SCORED)["rank"]
-    asks_shape = tx.contains_any(q, rules.NO_CHART_WORDS)
-    needed = (
-        F.when(asks_shape, False)
-        .when(rank == 0, True)
-        .when(rank == -1, tx.contains_any(q, rules.PATTERN_WORDS))
-        .otherwise(tx.contains_any(q, ("distribution", "spread")))
-    )
+def suggest_chart(df: DataFrame, question: str, n_numeric: int, n_categorical: int) -> DataFrame:
+    """Adds ``chart``: what suits the question on a table with that many columns of each kind; ``none`` where text does."""
     both = n_categorical > 0 and n_numeric > 0
-    by_shape = "bar_chart" if both else "histogram" if n_numeric else "summary_table"
-    kind = F.when(tx.contains_any(q, rules.LINE_WORDS), "line_chart")
+    arms = [(tx.any_of("_q", rules.LINE_WORDS), "line_chart")]
     if n_categorical or n_numeric:
-        kind = kind.when(F.contains(q, F.lit("distribution")), "bar_chart" if n_categorical else "histogram")
+        arms.append(("contains(_q, 'distribution')", "bar_chart" if n_categorical else "histogram"))
     if both:
-        kind = kind.when(tx.contains_any(q, rules.RANKING_WORDS), "bar_chart")
+        arms.append((tx.any_of("_q", rules.RANKING_WORDS), "bar_chart"))
     if n_numeric >= 2:
-        kind = kind.when(tx.contains_any(q, rules.RELATION_WORDS), "scatter_plot")
-    return F.when(needed, kind.otherwise(by_shape)).otherwise("none")
-
-
-def suggest_chart(df: DataFrame, question: str, n_numeric: int, n_categorical: int) -> DataFrame:
-    return df.withColumn("chart", chart_kind(quoted(question), n_numeric, n_categorical))
+        arms.append((tx.any_of("_q", rules.RELATION_WORDS), "scatter_plot"))
+    by_shape = "bar_chart" if both else "histogram" if n_numeric else "summary_table"
+    kind = "CASE " + " ".join(f"WHEN {test} THEN '{name}'" for test, name in arms) + f" ELSE '{by_shape}' END"
+    needed = f"""CASE WHEN {tx.any_of("_q", rules.NO_CHART_WORDS)} THEN false
+        WHEN _intent = 'statistical' THEN true
+        WHEN _intent = 'analytical' THEN {tx.any_of("_q", rules.PATTERN_WORDS)}
+        ELSE {tx.any_of("_q", ("distribution", "spread"))} END"""
+    scored = tx.with_scores(df.withColumn("_q", F.lower(quoted(question))), "_q", rules.INTENTS_SCORED)
+    return (
+        scored.withColumn("_intent", tx.best_label(rules.INTENTS_SCORED))
+        .withColumn("chart", F.expr(f"IF({needed}, {kind}, 'none')"))
+        .drop("_q", "_scores", "_best", "_intent")
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tabulens.functions import rules
 from tabulens.functions.nulls import PARSABLE, is_numeric, no_nan, number, quoted
-from tabulens.functions.text import contains_any, first_match
+from tabulens.functions.text import any_of, first_of
 
 KINDS = ("numeric", "categorical", "temporal", "other")
 _TEMPORAL = (T.TimestampNTZType, T.TimestampType, T.DateType)
@@ -152,45 +152,31 @@ def match_columns(
     df: DataFrame, question: str, numeric: Sequence[str], categorical: Sequence[str], limit: int = 4
 ) -> DataFrame:
     """Adds ``columns``: those the question names, else those its kind suggests, at most ``limit``."""
-    q = F.lower(quoted(question))
-    words = F.filter(F.split(q, r"(?U)\s+"), lambda w: w != "")
     every = [*numeric, *categorical]
 
-    def mentioned(c: str) -> Column:
-        name = F.lit(c.lower())
-        return F.contains(q, name) | F.exists(words, lambda w: F.contains(name, w))
-
-    named = F.array_compact(F.array(*[F.when(mentioned(c), F.lit(c)) for c in every]))
-
-    def listed(cols: Sequence[str]) -> Column:
-        return F.array(*[F.lit(c) for c in cols]).cast("array<string>")
+    def listed(cols: Sequence[str]) -> str:
+        return "array(" + ", ".join(f"'{c}'" for c in cols) + ")"
 
+    # Names in the question, and names a word of the question is part of.
+    named = f"filter({listed(every)}, c -> contains(_q, lower(c)) OR exists(_words, w -> contains(lower(c), w)))"
     by_rule = {
         "compare": [categorical[0], numeric[0]] if categorical and numeric else [],
         "correlation": numeric[:3],
         "distribution": numeric[:2],
         "aggregate": numeric[:2],
     }
-    suggested = None
-    for label, hints in rules.QUESTION_COLUMN_RULES:
-        hit, value = contains_any(q, hints), listed(by_rule[label] or every[:3])
-        suggested = F.when(hit, value) if suggested is None else suggested.when(hit, value)
-    suggested = suggested.otherwise(listed([*categorical[:1], *numeric[:2]] or every[:3]))
-    return df.withColumn("columns", F.slice(F.when(F.size(named) > 0, named).otherwise(suggested), 1, limit))
-
-
-def table_domain(names: Column, rule_set: str = "short", numeric_share: Column | None = None) -> Column:
-    """Domain of a table from its column names joined by spaces; first rule wins."""
-    text = F.lower(names)
-    if rule_set == "short":
-        return first_match(text, rules.TABLE_DOMAINS_SHORT, "General")
-    if rule_set == "long":
-        return first_match(text, rules.TABLE_DOMAINS_LONG, "Mixed/General")
-    otherwise = F.when(numeric_share > 0.6, F.lit("Quantitative/Numeric dataset")).otherwise(
-        F.lit("Mixed structured data")
+    arms = " ".join(
+        f"WHEN {any_of('_q', hints)} THEN {listed(by_rule[label] or every[:3])}"
+        for label, hints in rules.QUESTION_COLUMN_RULES
+    )
+    suggested = f"CASE {arms} ELSE {listed([*categorical[:1], *numeric[:2]] or every[:3])} END"
+    return (
+        df.withColumn("_q", F.lower(quoted(question)))
+        .withColumn("_words", F.filter(F.split("_q", r"(?U)\s+"), lambda w: w != ""))
+        .withColumn("_named", F.expr(named))
+        .withColumn("columns", F.expr(f"slice(IF(size(_named) > 0, _named, {suggested}), 1, {limit})"))
+        .drop("_q", "_words", "_named")
     )
-    named = first_match(text, rules.TABLE_TYPES, "")
-    return F.when(named != "", named).otherwise(otherwise)
 
 
 def catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -209,12 +195,15 @@ def catalog(tables: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def domain_from_columns(tables: DataFrame) -> DataFrame:
-    """What the column names of each table of a catalog say it is about, by three rule sets."""
-    names = F.col("names")
-    # The rules run over the catalog's rows: dealing them out keeps them from being copied into every branch of it.
-    return tables.repartition(1).select(
-        "table_name", "n_rows", "n_cols",
-        table_domain(names, "short").alias("domain"),
-        table_domain(names, "long").alias("detailed_domain"),
-        table_domain(names, "type", F.col("numeric_share")).alias("dataset_type"),
+    """What the column names of each table of a catalog say it is about, by three rule sets; first rule wins."""
+    by_numbers = F.when(F.col("numeric_share") > 0.6, "Quantitative/Numeric dataset").otherwise("Mixed structured data")
+    return (
+        tables.withColumn("_low", F.lower("names"))
+        .withColumn("_type", F.expr(first_of("_low", rules.TABLE_TYPES, "")))
+        .select(
+            "table_name", "n_rows", "n_cols",
+            F.expr(first_of("_low", rules.TABLE_DOMAINS_SHORT, "General")).alias("domain"),
+            F.expr(first_of("_low", rules.TABLE_DOMAINS_LONG, "Mixed/General")).alias("detailed_domain"),
+            F.when(F.col("_type") != "", F.col("_type")).otherwise(by_numbers).alias("dataset_type"),
+        )
     )

@@ -71,14 +71,20 @@ def language_tally(
 
 def tag_domain(df: DataFrame, col: str, how: str = "first") -> DataFrame:
     """Adds ``domain``. ``first``: the first domain with any keyword. ``score``: most keywords, two at least, else General."""
-    low = F.lower(quoted(col))
     if how == "first":
-        return df.withColumn("domain", tx.first_match(low, rules.TEXT_DOMAINS_FIRST, "General"))
-    names = F.array(*[F.lit(name) for name, _ in rules.TEXT_DOMAINS_SCORED])
-    best = F.col("_best")
-    domain = F.when(best["score"] >= rules.TEXT_DOMAIN_MIN_SCORE, F.get(names, -best["rank"])).otherwise("General")
-    scored = df.withColumn("_low", low).withColumn("_best", tx.best_match(F.col("_low"), rules.TEXT_DOMAINS_SCORED))
-    return scored.withColumn("domain", domain).drop("_low", "_best")
+        return tag_first(df, col, "domain", rules.TEXT_DOMAINS_FIRST, "General")
+    found = tx.with_scores(df.withColumn("_low", F.lower(quoted(col))), "_low", rules.TEXT_DOMAINS_SCORED)
+    enough = F.col("_best") >= rules.TEXT_DOMAIN_MIN_SCORE
+    domain = F.when(enough, tx.best_label(rules.TEXT_DOMAINS_SCORED)).otherwise("General")
+    return found.withColumn("domain", domain).drop("_low", "_scores", "_best")
+
+
+def tag_first(
+    df: DataFrame, col: str, out: str, rule_set: Sequence[tuple[str, Sequence[str]]], default: str
+) -> DataFrame:
+    """Adds the label of the first rule with any word in the text, case aside."""
+    low = df.withColumn("_low", F.lower(quoted(col)))
+    return low.withColumn(out, F.expr(tx.first_of("_low", rule_set, default))).drop("_low")
 
 
 def stated_domain(text: Column) -> Column:
@@ -127,32 +133,33 @@ def classify_intent(
     df: DataFrame, col: str, how: str = "ordered", routes: Mapping[str, str] = rules.INTENT_ROUTES
 ) -> DataFrame:
     """Adds ``intent`` and ``confidence``; ``ordered`` also the route that answers such questions."""
-    q = F.lower(quoted(col))
     if how == "ordered":
-        intent = tx.first_match(q, rules.INTENTS_ORDERED, "descriptive")
-        route = F.create_map(*[F.lit(x) for pair in routes.items() for x in pair])
-        out = df.withColumn("intent", intent).withColumn("confidence", F.lit(0.6))
-        return out.withColumn("route", F.element_at(route, F.col("intent")))
-    names = [name for name, _ in rules.INTENTS_SCORED]
-    scores = [F.col(f"_{name}") for name in names]
-    scored = df.withColumns({f"_{name}": tx.keyword_score(q, words) for name, words in rules.INTENTS_SCORED})
-    best, total = F.greatest(*scores), sum(scores[1:], scores[0])
-    intent = F.coalesce(*[F.when(score == best, name) for name, score in zip(names, scores)])
-    return scored.withColumn("intent", intent).withColumn(
-        "confidence", F.when(total > 0, best / total).otherwise(0.5)
-    ).drop(*[f"_{name}" for name in names])
+        route = ", ".join(f"'{k}', '{v}'" for k, v in routes.items())
+        out = tag_first(df, col, "intent", rules.INTENTS_ORDERED, "descriptive")
+        return out.withColumn("confidence", F.lit(0.6)).withColumn("route", F.expr(f"element_at(map({route}), intent)"))
+    found = tx.with_scores(df.withColumn("_low", F.lower(quoted(col))), "_low", rules.INTENTS_SCORED)
+    total = F.aggregate("_scores", F.lit(0), lambda a, b: a + b)
+    return (
+        found.withColumn("intent", tx.best_label(rules.INTENTS_SCORED))
+        .withColumn("confidence", F.coalesce(F.try_divide("_best", total), F.lit(0.5)))
+        .drop("_low", "_scores", "_best")
+    )
 
 
-def question_bucket(text: Column) -> Column:
-    return tx.first_match(F.lower(text), rules.QUESTION_BUCKETS, "analytical")
+def question_bucket(df: DataFrame, col: str) -> DataFrame:
+    """Adds ``bucket``: comparative, correlation, distribution, trend, predictive, statistical or analytical."""
+    return tag_first(df, col, "bucket", rules.QUESTION_BUCKETS, "analytical")
 
 
-def needs_calculation(text: Column) -> Column:
-    return tx.contains_any(F.lower(text), rules.CALCULATION_WORDS)
+def needs_calculation(df: DataFrame, col: str) -> DataFrame:
+    """Adds ``calculation``: does answering take arithmetic?"""
+    low = df.withColumn("_low", F.lower(quoted(col)))
+    return low.withColumn("calculation", F.expr(tx.any_of("_low", rules.CALCULATION_WORDS))).drop("_low")
 
 
-def context_kind(text: Column) -> Column:
-    return tx.first_match(F.lower(text), rules.CONTEXT_KINDS, "general")
+def context_kind(df: DataFrame, col: str) -> DataFrame:
+    """Adds ``context``: comparison, temporal, correlation, distribution, specific_value or general."""
+    return tag_first(df, col, "context", rules.CONTEXT_KINDS, "general")
 
 
 def diversify(df: DataFrame, col: str, order_by: Sequence[str], limit: int) -> DataFrame:
@@ -169,8 +176,8 @@ def diversify(df: DataFrame, col: str, order_by: Sequence[str], limit: int) -> D
         .groupBy(key.alias("_key"))
         .agg(F.min_by(F.struct(text.alias("question"), *[quoted(c) for c in order_by]), place).alias("r"))
         .select("r.*")
-        .withColumn("bucket", question_bucket(F.col("question")))
     )
+    unique = question_bucket(unique, "question")
     turns = F.array(*[F.lit(b) for b in rules.BUCKET_TURNS])
     first = smallest_per_group(unique, ["bucket"], list(order_by), limit)
     return (
@@ -221,16 +228,15 @@ def questions_in(text: Column, strict: bool = False) -> Column:
     if strict:
         def analytical(q: Column) -> Column:
             low = F.lower(q)
-            return (F.length(q) > 30) & tx.contains_any(low, ANALYTICAL_TERMS) & ~tx.contains_any(low, PLAIN_PHRASES)
+            wanted, plain = tx.pattern_of(ANALYTICAL_TERMS), tx.pattern_of(PLAIN_PHRASES)
+            return (F.length(q) > 30) & low.rlike(wanted) & ~low.rlike(plain)
 
         return F.array_distinct(F.filter(clean, analytical))
     kept = F.filter(clean, lambda q: F.length(q) > 10)
     lines = F.transform(F.split(text, "\n"), tx.strip)
 
     def asks(line: Column) -> Column:
-        return (F.length(line) > 10) & (
-            F.contains(line, F.lit("?")) | tx.contains_any(F.lower(line), _QUESTION_WORDS)
-        )
+        return (F.length(line) > 10) & F.lower(line).rlike(tx.pattern_of(("?", *_QUESTION_WORDS)))
 
     bare = F.transform(F.filter(lines, asks), lambda s: F.regexp_replace(s, _NUMBERING, ""))
     marked = F.transform(bare, lambda s: F.when(F.endswith(s, F.lit("?")), s).otherwise(F.concat(s, F.lit("?"))))
@@ -251,13 +257,17 @@ def extract_questions(df: DataFrame, col: str, keep: Sequence[str], strict: bool
 
 def answer_flags(df: DataFrame, col: str) -> DataFrame:
     """Adds ``substantial``, ``data_driven`` and ``insightful``."""
-    low, size = F.col("_low"), F.length(tx.strip(quoted(col)))
-    return df.withColumn("_low", F.lower(quoted(col))).withColumns(
+    found = df.withColumn("_low", F.lower(quoted(col))).withColumn("_size", F.length(tx.strip(quoted(col))))
+    low = "_low"
+    return found.withColumns(
         {
-            "substantial": (size >= 100) & (tx.keyword_score(low, rules.ANALYSIS_INDICATORS) >= 2),
-            "data_driven": tx.contains_any(low, rules.DATA_INDICATORS) & ~tx.contains_any(low, rules.GENERIC_PHRASES),
-            "insightful": (size >= 50)
-            & (tx.keyword_score(low, rules.INSIGHT_INDICATORS) >= 3)
-            & ~tx.contains_any(low, rules.EVASIVE_PHRASES),
+            "substantial": F.expr(f"_size >= 100 AND {tx.score_of(low, rules.ANALYSIS_INDICATORS)} >= 2"),
+            "data_driven": F.expr(
+                f"{tx.any_of(low, rules.DATA_INDICATORS)} AND NOT {tx.any_of(low, rules.GENERIC_PHRASES)}"
+            ),
+            "insightful": F.expr(
+                f"_size >= 50 AND {tx.score_of(low, rules.INSIGHT_INDICATORS)} >= 3"
+                f" AND NOT {tx.any_of(low, rules.EVASIVE_PHRASES)}"
+            ),
         }
-    ).drop("_low")
+    ).drop("_low", "_size")

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 
 from tabulens.functions.nulls import is_numeric, nan_to_null
 from tabulens.operators import clean
-from tabulens.operators.profile import duplicate_stats, missing_counts
+from tabulens.operators.profile import missing_counts
 from tabulens.operators.schema import numeric_columns
-from tabulens.session import scratch_dir
+from tabulens.session import materialized
 
 # What a plan may say.
 STRATEGIES = ("median", "mean", "mode", "constant", "drop", "leave")
@@ -120,21 +120,20 @@ REPORT_SCHEMA = "step string, column string, action string, affected long, detai
 def apply_plan(df: DataFrame, plan: CleaningPlan, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Duplicates, missing values, outliers, text, types, in that order; returns the table and a report.
 
-    Only counts and one value per column reach the driver. After duplicates were removed the table is
-    checkpointed when later steps read statistics from it, so the full-row shuffle runs once.
+    Only counts and one value per column reach the driver. Where later steps read statistics, the table
+    without duplicates is written to the shared folder first: the full-row shuffle runs once, and each
+    statistic reads only its own columns.
     """
     spark = df.sparkSession
     rows: list[tuple] = []
     out = nan_to_null(df)
 
     if plan.remove_duplicates:
-        stats = duplicate_stats(out).first()
-        removed = stats["n_rows"] - stats["n_distinct"]
-        if removed:
-            out = clean.dedupe(out)
-            if plan.strategy != "leave" or plan.outlier_strategy != "leave":
-                scratch_dir(spark)
-                out = out.checkpoint()
+        unique = clean.dedupe(out)
+        if plan.strategy != "leave" or plan.outlier_strategy != "leave":
+            unique = materialized(unique, "deduped")
+        removed = out.count() - unique.count()
+        out = unique if removed else out
         rows.append(("duplicates", None, "removed" if removed else "none_found", removed, None))
 
     out, filled = _handle_missing(out, plan, limit)
