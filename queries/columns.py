@@ -124,7 +124,7 @@ def c05(spark, sf):
 
 @query("c06_drop_column", "SELECT doc_id, lang, source, n_chars FROM documents")
 def c06(spark, sf):
-    return table(spark, sf, "documents").drop("text")
+    return spark.read.parquet(f"{sf}/documents.parquet").drop("text")
 
 
 @query(

@@ -78,27 +78,38 @@ def forecast(
         same = F.lit(True)
         for b in by:
             same = same & F.col(f"s.`{b}`").eqNullSafe(F.col(f"m.`{b}`"))
-        past = s.join(m, same).select("m.*", "s.ds")
+        days = s.join(m, same).select("m.*", "s.ds")
     else:
-        # One row: it is broadcast, and its last day bounds the series.
-        past = series.select("ds").join(F.broadcast(model), F.col("ds") <= F.col("last"))
-    ahead = F.sequence(F.date_add("last", 1), F.date_add("last", periods))
-    future = model.withColumn("ds", F.explode(ahead)) if periods > 0 else None
-    days = past.withColumn("is_future", F.lit(False))
-    if future is not None:
-        days = days.unionByName(future.withColumn("is_future", F.lit(True)))
+        days = _with_model(series.select("ds"), model)
+    # The last day of a group also brings the days ahead, so the model is joined once.
+    ahead = F.sequence(F.date_add("last", 1), F.date_add("last", periods)) if periods > 0 else F.array().cast("array<date>")
+    covered = F.when(F.col("ds") == F.col("last"), F.concat(F.array("ds"), ahead)).otherwise(F.array("ds"))
+    days = days.withColumn("ds", F.explode(covered))
     yhat = (
         F.col("intercept")
         + F.col("slope") * F.unix_date("ds")
         + F.coalesce(F.try_element_at("offsets", F.dayofweek("ds")), F.lit(0.0))
     )
     half = F.coalesce(F.col("spread"), F.lit(0.0)) * _Z80
-    return days.select(*by, "ds", yhat.alias("yhat"), half.alias("_half"), "is_future").select(
+    fitted = days.select(*by, "ds", yhat.alias("yhat"), half.alias("_half"), (F.col("ds") > F.col("last")).alias("is_future"))
+    return fitted.select(
         *by, "ds", "yhat", (F.col("yhat") - F.col("_half")).alias("yhat_lower"),
         (F.col("yhat") + F.col("_half")).alias("yhat_upper"), "is_future",
     )
 
 
+def _with_model(days: DataFrame, model: DataFrame) -> DataFrame:
+    """The one model of an ungrouped series as literals."""
+    row = model.first()
+    if row is None:
+        return days.join(model, F.lit(False))
+    offsets = F.create_map(*[F.lit(x) for pair in row["offsets"].items() for x in pair])
+    return days.select(
+        "ds", offsets.alias("offsets"),
+        *[F.lit(row[c]).cast(model.schema[c].dataType).alias(c) for c in ("slope", "intercept", "spread", "last")],
+    )
+
+
 def forecast_end(forecasted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The last day of a forecast and its value."""
     return forecasted.groupBy(*by).agg(F.max("ds").alias("ends"), F.max_by("yhat", "ds").alias("final_value"))

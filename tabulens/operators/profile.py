@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.functions.nulls import is_numeric, number, quoted
-from tabulens.operators.quantiles import collect_quantiles
+from tabulens.functions.nulls import number, quoted
+from tabulens.operators.quantiles import collect_quantiles, fits_buffer, of_sorted
 from tabulens.operators.schema import (
     columns_of,
     numeric_columns,
@@ -89,11 +89,6 @@ def missing_counts(df: DataFrame) -> DataFrame:
     return per_column(df, entries)
 
 
-def total_missing(df: DataFrame) -> Column:
-    """Aggregate: missing cells of the whole table, rows times columns minus what is present."""
-    return F.count("*") * len(df.columns) - sum((F.count(present(df, c)) for c in df.columns), F.lit(0))
-
-
 def duplicate_count(df: DataFrame) -> DataFrame:
     return duplicate_stats(df).select("n_rows", (F.col("n_rows") - F.col("n_distinct")).alias("num_duplicates"))
 
@@ -102,7 +97,7 @@ def quality_score(df: DataFrame) -> DataFrame:
     """``round(100 * (0.7 * completeness + 0.3 * uniqueness), 2)``; 0 for an empty table."""
     cells = F.col("n_rows") * len(df.columns)
     score = (1 - F.col("missing") / cells) * 0.7 + (F.col("n_distinct") / F.col("n_rows")) * 0.3
-    # Both parts are one row: the same group-by also adds up the missing cells of each kind of row.
+    # One group-by for both parts: each distinct row also knows its missing cells.
     keys = [comparable(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]
     empty = sum((F.col(f"k{i}").isNull().cast("long") for i in range(len(keys))), F.lit(0).cast("long"))
     stats = (
@@ -227,20 +222,23 @@ def sample_values(df: DataFrame, n: int = 3, max_cols: int = 5) -> DataFrame:
 def profile_columns(df: DataFrame, approx: bool = False, limit: int | None = None) -> DataFrame:
     """One row per column: type, missing, distinct, numeric statistics, outliers, date range.
 
-    Two scans for the statistics (the second uses the means of the first as literals) and one for the
-    distinct counts, whatever the number of columns. ``approx`` folds the distinct counts into the first.
+    A table that fits a buffer is read once for the statistics and once for the distinct counts. A larger
+    one is read again for the outliers, with the means as literals, and for the medians.
     """
     numeric = numeric_columns(df)
-    first = []
+    small = fits_buffer(df, limit, len(numeric))
+    entries = []
     for f in df.schema:
-        is_num, is_time = is_numeric(f.dataType), isinstance(f.dataType, _TEMPORAL)
+        is_num, is_time = f.name in numeric, isinstance(f.dataType, _TEMPORAL)
         x = number(df, f.name) if is_num else F.lit(None).cast("double")
         t = quoted(f.name) if is_time else F.lit(None)
         here = present(df, f.name)
-        first.append(
+        sorted_values = F.sort_array(F.collect_list(x)) if is_num and small else F.lit(None).cast("array<double>")
+        entries.append(
             F.struct(
                 F.lit(f.name).alias("column"),
                 F.lit(f.dataType.simpleString()).alias("dtype"),
+                F.lit(is_num).alias("is_num"),
                 F.count_if(here.isNull()).alias("num_missing"),
                 F.coalesce(F.avg(here.isNull().cast("double")), F.lit(0.0)).alias("pct_missing"),
                 F.min(x).alias("min"),
@@ -249,38 +247,41 @@ def profile_columns(df: DataFrame, approx: bool = False, limit: int | None = Non
                 F.stddev_samp(x).alias("std"),
                 F.min(t).cast("timestamp_ntz").alias("min_date"),
                 F.max(t).cast("timestamp_ntz").alias("max_date"),
+                sorted_values.alias("sorted"),
             )
         )
-    # One row per column from here on; the frame is as small as the schema.
-    base = per_column(df, first)
+    base = per_column(df, entries)
+    if small:
+        far = F.filter("sorted", lambda v: (F.abs(v - F.col("mean")) / F.col("std")) > 3)
+        count = F.when(F.col("std") > 0, F.size(far)).otherwise(0).cast("bigint")
+        stats = base.withColumn("median", F.when(F.size("sorted") > 0, of_sorted(F.col("sorted"), 0.5))).withColumn(
+            "num_outliers", F.when(F.col("is_num"), count)
+        )
+    else:
+        stats = _profile_large(df, base, numeric)
+    # Both sides have one row per column.
+    return stats.join(F.broadcast(distinct_counts(df, approx=approx)), "column").select(
+        "column", "dtype", "num_missing", "pct_missing", "num_unique", "min", "max", "mean", "median", "std",
+        "num_outliers", "min_date", "max_date",
+    )
+
+
+def _profile_large(df: DataFrame, base: DataFrame, numeric: Sequence[str]) -> DataFrame:
+    """Medians and outliers by further scans; everything that passes the driver has one row per column."""
     rows = base.collect()
-    spark = df.sparkSession
-    base = spark.createDataFrame(rows, base.schema)
-    median = {c: (q[0] if q else None) for c, q in collect_quantiles(df, numeric, [0.5], limit).items()} if numeric else {}
-    moments = {r["column"]: (r["mean"], r["std"]) for r in rows}
+    median = {c: q[0] for c, q in collect_quantiles(df, numeric, [0.5], limit=0).items() if q} if numeric else {}
     entries = []
-    for c in df.columns:
-        mean, std = moments[c]
-        hit = F.abs((number(df, c) - F.lit(mean)) / F.lit(std)) > 3 if c in numeric and std else F.lit(False)
-        outliers = F.count_if(hit) if c in numeric else F.lit(None).cast("bigint")
-        entries.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                outliers.alias("num_outliers"),
-                F.lit(median.get(c)).cast("double").alias("median"),
-                F.count("*").alias("_n"),
-            )
-        )
-    second = per_column(df, entries).drop("_n")
-    unique = distinct_counts(df, approx=approx)
-    return (
-        base.join(F.broadcast(second), "column")
-        .join(F.broadcast(unique), "column")
-        .select(
-            "column", "dtype", "num_missing", "pct_missing", "num_unique", "min", "max", "mean", "median", "std",
-            "num_outliers", "min_date", "max_date",
-        )
+    for r in rows:
+        hit = F.lit(False)
+        if r["is_num"] and r["std"]:
+            hit = F.abs((number(df, r["column"]) - F.lit(r["mean"])) / F.lit(r["std"])) > 3
+        entries.append(F.struct(F.lit(r["column"]).alias("column"), F.count_if(hit).alias("n")))
+    outliers = {r["column"]: r["n"] for r in per_column(df, entries).collect()}
+    schema = T.StructType(
+        [*base.schema, T.StructField("median", T.DoubleType()), T.StructField("num_outliers", T.LongType())]
     )
+    full = [(*r, median.get(r["column"]), outliers[r["column"]] if r["is_num"] else None) for r in rows]
+    return df.sparkSession.createDataFrame(full, schema)
 
 
 def long_metrics(part: str, df: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:

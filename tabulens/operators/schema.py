@@ -55,14 +55,13 @@ def possible_analyses(df: DataFrame) -> list[str]:
     return found
 
 
-def per_column(df: DataFrame, entries: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
+def per_column(df: DataFrame, entries: Sequence[Column], by: Sequence[str] = (), batch: int = 40) -> DataFrame:
     """One aggregate struct per column, all in one scan, then one row per struct."""
-    batches = [entries[i : i + 40] for i in range(0, len(entries), 40)]
     out = None
-    for batch in batches:
+    for i in range(0, len(entries), batch):
         part = (
             df.groupBy(*by)
-            .agg(F.array(*batch).alias("all"))
+            .agg(F.array(*entries[i : i + batch]).alias("all"))
             .select(*by, F.explode("all").alias("one"))
             .select(*by, "one.*")
         )

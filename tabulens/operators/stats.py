@@ -74,33 +74,30 @@ def summary_stats(df: DataFrame, cols: Sequence[str], limit: int | None = None)
 def correlation(df: DataFrame, cols: Sequence[str], full: bool = False) -> DataFrame:
     """Pearson r of every pair ``(a, b, r)``, missing values skipped pairwise; ``full`` adds mirror and diagonal."""
     cols = list(cols)
-    place = {c: i for i, c in enumerate(cols)}
-    pairs = list(combinations(cols, 2))
+    pairs = list(combinations(range(len(cols)), 2))
+    if full:
+        pairs += [(i, i) for i in range(len(cols))]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "a string, b string, i int, j int, r double")
+
+    def entry(i: int, j: int) -> Column:
+        x, y = number(df, cols[i]), number(df, cols[j])
+        r = F.when(F.min(x) < F.max(x), F.lit(1.0)) if i == j else F.nullif(F.corr(x, y), F.lit(float("nan")))
+        names = (F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j"))
+        return F.struct(*names, r.alias("r"))
+
     out = None
-    for i in range(0, max(len(pairs), 1), _PAIR_BATCH):
-        entries = []
-        for a, b in pairs[i : i + _PAIR_BATCH]:
-            r = F.corr(number(df, a), number(df, b))
-            entries.append(
-                F.struct(
-                    F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(place[a]).alias("i"), F.lit(place[b]).alias("j"),
-                    F.when(~F.isnan(r), r).alias("r"),
-                )
-            )
-        part = per_column(df, entries) if entries else df.sparkSession.createDataFrame(
-            [], "a string, b string, i int, j int, r double"
-        )
+    for k in range(0, len(pairs), _PAIR_BATCH):
+        part = per_column(df, [entry(i, j) for i, j in pairs[k : k + _PAIR_BATCH]], batch=_PAIR_BATCH)
         out = part if out is None else out.unionByName(part)
     if not full:
         return out
-    mirror = out.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("j").alias("i"), F.col("i").alias("j"), "r")
-    entries = []
-    for c in cols:
-        r = F.when(F.stddev_samp(number(df, c)) > 0, F.lit(1.0))
-        entries.append(
-            F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.lit(place[c]).alias("i"), F.lit(place[c]).alias("j"), r.alias("r"))
-        )
-    return out.unionByName(mirror).unionByName(per_column(df, entries))
+    one = F.struct("a", "b", "i", "j", "r")
+    mirrored = F.struct(
+        F.col("b").alias("a"), F.col("a").alias("b"), F.col("j").alias("i"), F.col("i").alias("j"), F.col("r").alias("r")
+    )
+    both = F.when(F.col("i") < F.col("j"), F.array(one, mirrored)).otherwise(F.array(one))
+    return out.select(F.explode(both).alias("p")).select("p.*")
 
 
 def strongest_pairs(df: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens.functions import rules
@@ -105,11 +105,9 @@ def word_freq(df: DataFrame, col: str, k: int | None = None) -> DataFrame:
 
 def word_cloud(df: DataFrame, col: str, k: int = 100) -> DataFrame:
     """The k most frequent words, weighted against the most frequent one."""
-    top = word_freq(df, col, k)
-    best = top.agg(F.max("count").alias("most"))
-    return top.join(F.broadcast(best), F.col("count") <= F.col("most")).select(
-        "word", "count", (F.col("count") / F.col("most")).alias("weight")
-    )
+    # The window runs over the k rows that are left.
+    most = F.max("count").over(Window.partitionBy())
+    return word_freq(df, col, k).withColumn("weight", F.col("count") / most)
 
 
 def sentiment_score(text: Column, lexicon: Mapping[str, Sequence[str]] = rules.SENTIMENT_LEXICON) -> Column:

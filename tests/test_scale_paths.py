@@ -78,3 +78,36 @@ def test_chunked_fill_on_timestamps(spark, data):
     a = forward_fill(ev, "value", ["ts", "event_id"], ["user_id"], limit=0).collect()
     b = forward_fill(ev, "value", ["ts", "event_id"], ["user_id"]).collect()
     assert sorted(map(repr, a)) == sorted(map(repr, b))
+
+
+def test_large_profile_equals_small(spark, data):
+    from tabulens.operators.profile import profile_columns
+
+    orders = spark.read.parquet(f"{data}/orders.parquet")
+    small = {r["column"]: r for r in profile_columns(orders).collect()}
+    large = {r["column"]: r for r in profile_columns(orders, limit=0).collect()}
+    for c, r in small.items():
+        for k, v in r.asDict().items():
+            w = large[c][k]
+            assert v == w or abs(v - w) < 1e-9 * abs(v), (c, k)
+
+
+def test_one_key_with_a_third_of_the_rows(spark):
+    """Hot key, hot value, hot text: same results as without the large-table paths."""
+    from tabulens.operators.stats import pct_change, summarize
+    from tabulens.operators.textstats import diversify
+
+    rows = spark.range(0, 6000, 1, 6).selectExpr(
+        "IF(id % 3 = 0, 0, id % 97) AS k", "id", "IF(id % 3 = 0, 5.0D, double(id % 1013)) AS v"
+    )
+    for by in ([], ["k"]):
+        a = sorted(map(tuple, summarize(rows, ["v"], by, limit=10**6).collect()))
+        b = sorted(map(tuple, summarize(rows, ["v"], by, limit=0).collect()))
+        assert len(a) == len(b)
+        for x, y in zip(a, b):
+            assert all(p == q or abs(p - q) < 1e-9 * max(1, abs(p)) for p, q in zip(x, y))
+    one = sorted(map(repr, pct_change(rows, "v", ["id"], ["k"], limit=10**6).collect()))
+    assert one == sorted(map(repr, pct_change(rows, "v", ["id"], ["k"], limit=0).collect()))
+    texts = rows.selectExpr("id", "IF(id % 3 = 0, ' Top  one ', concat('mean of ', k)) AS q")
+    got = [r["question"] for r in diversify(texts, "q", ["id"], 3).collect()]
+    assert got == ["Top  one", "mean of 1", "mean of 2"]
