@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulens.functions.nulls import number, quoted
+from tabulens.operators.schema import per_column
 
 # Cells (rows times columns) up to which aggregation buffers may see all values.
 BUFFER_CELLS = 8_000_000
@@ -34,6 +35,11 @@ def fits_buffer(df: DataFrame, limit: int | None = None, cols: int = 1) -> bool:
     return limit > 0 and df.count() * max(cols, 1) <= limit
 
 
+def quarter(cols: Sequence[str]) -> int:
+    """Columns per aggregation when buffers are large: up to four run side by side, each reading its own columns."""
+    return -(-len(cols) // 4) or 1
+
+
 def position_in(n: Column, p: float) -> Column:
     return (n - 1) * F.lit(float(p))
 
@@ -61,8 +67,7 @@ def exact_quantiles(
             F.struct(F.lit(c).alias("column"), F.sort_array(F.collect_list(number(df, c))).alias("sorted"))
             for c in cols
         ]
-        grouped = df.groupBy(*by).agg(F.array(*pairs).alias("all"))
-        rows = grouped.select(*by, F.explode("all").alias("one")).select(*by, "one.*")
+        rows = per_column(df, pairs, by, batch=quarter(cols))
         found = F.when(F.size("sorted") > 0, F.array(*[of_sorted(F.col("sorted"), p) for p in probs]))
         return rows.select(*by, "column", found.alias("quantiles"))
     return _by_digits(df, cols, probs, by)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabulens.functions.nulls import number, quoted
 from tabulens.operators.ordered import previous_value
 from tabulens.operators.profile import smallest_per_group, top_values, unpivot_text
-from tabulens.operators.quantiles import collect_quantiles, exact_quantiles, fits_buffer, of_sorted
+from tabulens.operators.quantiles import collect_quantiles, exact_quantiles, fits_buffer, of_sorted, quarter
 from tabulens.operators.schema import columns_above_ratio, numeric_columns, per_column
 
 _PAIR_BATCH = 400
@@ -45,7 +45,7 @@ def summarize(
         if probs and small:
             parts.append(F.sort_array(F.collect_list(x)).alias("sorted"))
         entries.append(F.struct(*parts))
-    found = per_column(df, entries, by)
+    found = per_column(df, entries, by, batch=quarter(cols) if probs and small else 40)
     if probs and not small:
         q = exact_quantiles(df, cols, probs, by, limit=0)
         f, q = found.alias("f"), q.alias("q")
