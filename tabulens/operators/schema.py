@@ -57,13 +57,13 @@ def possible_analyses(df: DataFrame) -> list[str]:
 
 def per_column(df: DataFrame, entries: Sequence[Column], by: Sequence[str] = (), batch: int = 40) -> DataFrame:
     """One aggregate struct per column, all in one scan, then one row per struct."""
-    out = None
+    keys, out = [quoted(b) for b in by], None
     for i in range(0, len(entries), batch):
         part = (
-            df.groupBy(*by)
-            .agg(F.array(*entries[i : i + batch]).alias("all"))
-            .select(*by, F.explode("all").alias("one"))
-            .select(*by, "one.*")
+            df.groupBy(*keys)
+            .agg(F.array(*entries[i : i + batch]).alias("_all"))
+            .select(*keys, F.explode("_all").alias("_one"))
+            .select(*keys, "_one.*")
         )
         out = part if out is None else out.unionByName(part)
     return out
