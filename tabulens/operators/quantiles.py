@@ -91,7 +91,8 @@ def _key(v: Column) -> Column:
 def _by_digits(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: list[str]) -> DataFrame:
     keys = by + ["column"]
     # Adding 0.0 turns -0.0 into 0.0.
-    pairs = [F.struct(F.lit(c).alias("column"), (number(df, c) + F.lit(0.0)).alias("v")) for c in cols]
+    # Columns go by number until the end: cheaper to hash than names.
+    pairs = [F.struct(F.lit(i).alias("column"), (number(df, c) + F.lit(0.0)).alias("v")) for i, c in enumerate(cols)]
     values = (
         df.select(*[quoted(b) for b in by], F.explode(F.array(*pairs)).alias("p"))
         .select(*by, "p.column", "p.v")
@@ -134,7 +135,8 @@ def _by_digits(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: l
             below * (1 - (at - lower)) + F.element_at("at", upper) * (at - lower)
         )
 
-    return found.select(*keys, F.array(*[quantile(p) for p in probs]).alias("quantiles"))
+    name = F.get(F.array(*[F.lit(c) for c in cols]), F.col("column")).alias("column")
+    return found.select(*[quoted(b) for b in by], name, F.array(*[quantile(p) for p in probs]).alias("quantiles"))
 
 
 def _holding(hist: DataFrame, keys: list[str], within: list[str], order: str) -> DataFrame:
