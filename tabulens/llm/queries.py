@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulens.llm import line_dedup, quality_rules
+from tabulens.llm import line_dedup, near_dedup, quality_rules
 from tabulens.llm.common import Query, table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -18,7 +18,11 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return line_dedup.line_report(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op7_quality_rules, op8_line_dedup)}
+def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_report(table(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Query] = {q.__name__: q for q in (op7_quality_rules, op8_line_dedup, op9_minhash_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op7_quality_rules": rf"""
