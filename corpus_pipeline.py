@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabulens.llm import line_dedup, quality_rules
+from tabulens.llm import line_dedup, mixing, near_dedup, quality_rules, sentencepiece_codec
 from tabulens.llm.common import table
 from tabulens.session import materialized
 
@@ -19,8 +19,30 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs)
 
 
-STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose sets of two-word shingles are 80 % alike, chains included, the one with the smallest id stays."""
+    return near_dedup.drop_near_copies(docs)
 
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document once at least, small sources up to four times, in the order of the mix."""
+    return mixing.mix(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids."""
+    return sentencepiece_codec.encode_docs(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
+    ("source_mixing", mixing_stage),
+    ("sentencepiece", token_stage),
+]
+
+#: The minwise trees and the piece search have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabulens.llm import line_dedup, near_dedup, quality_rules
+from tabulens.llm import line_dedup, mixing, near_dedup, quality_rules, sentencepiece_codec
 from tabulens.llm.common import Query, table
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op3_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "documents").select("doc_id", "source")
+    return mixing.mixed(rows).select("doc_id", "source", F.col("__epoch").alias("epoch"), F.col("__slot").alias("slot"), F.col("__position").alias("position"))
+
+
+def op5_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return sentencepiece_codec.codec_report(table(spark, sf, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf, "documents"))
 
@@ -22,9 +32,43 @@ def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_report(table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Query] = {q.__name__: q for q in (op7_quality_rules, op8_line_dedup, op9_minhash_near_dedup)}
+QUERIES: dict[str, Query] = {q.__name__: q for q in (
+    op3_source_mixing, op5_sentencepiece, op7_quality_rules, op8_line_dedup, op9_minhash_near_dedup,
+)}
 
 ORACLES: dict[str, str] = {
+    "op3_source_mixing": r"""
+WITH RECURSIVE counts AS (
+  SELECT coalesce('=' || source, 'null') AS src, count(*) AS n FROM documents GROUP BY 1
+), weighed AS (
+  SELECT src, n, greatest(1, round(pow(n, 0.7) / sum(pow(n, 0.7)) OVER () * 1000))::BIGINT AS a FROM counts
+), line AS (
+  SELECT list(a ORDER BY src) AS a, sum(a)::BIGINT AS m FROM weighed
+), edf AS (
+  SELECT -1::BIGINT AS t, 0::BIGINT AS pick, list_transform(a, lambda x: 0::BIGINT) AS done FROM line
+  UNION ALL
+  SELECT t + 1, best, list_transform(done, lambda d, i: d + (i = best)::BIGINT) FROM (
+    SELECT t, done, list_min(list_transform(a, lambda x, i: CASE WHEN done[i] < x AND done[i] * m // x <= t + 1
+      THEN ((done[i] + 1) * m + x - 1) // x * 100000 + i END)) % 100000 AS best
+    FROM edf, line WHERE t + 1 < m
+  )
+), places AS (
+  SELECT pick, list(t ORDER BY t) AS slots FROM edf WHERE t >= 0 GROUP BY pick
+), plan AS (
+  SELECT w.*, (SELECT m FROM line) AS m, slots FROM (SELECT *, row_number() OVER (ORDER BY src) AS i FROM weighed) w JOIN places ON i = pick
+), ends AS (
+  SELECT max(((n - 1) // 16) // a * m + slots[((n - 1) // 16) % a + 1]) + 1 AS e FROM plan
+), budget AS (
+  SELECT *, (e // m * a + len(list_filter(slots, lambda s: s < e % m))) * 16 AS items FROM plan, ends
+), ranked AS (
+  SELECT doc_id, source, coalesce('=' || source, 'null') AS src,
+    row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, 'null')), doc_id) - 1 AS k FROM documents
+), turns AS (
+  SELECT doc_id, source, k, n, a, m, slots, unnest(range(least((items - 1 - k) // n, 3) + 1)) AS epoch FROM ranked JOIN budget USING (src)
+), placed AS (
+  SELECT doc_id, source, epoch, k + epoch * n AS item, ((k + epoch * n) // 16) // a * m + slots[((k + epoch * n) // 16) % a + 1] AS slot FROM turns
+)
+SELECT doc_id, source, epoch, slot, slot * 16 + item % 16 AS position FROM placed""",
     "op7_quality_rules": rf"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
