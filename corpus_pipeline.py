@@ -20,7 +20,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose sets of two-word shingles are 80 % alike, chains included, the one with the smallest id stays."""
+    """Of documents whose sets of five-word shingles are 80 % alike, chains included, the one with the smallest id stays."""
     return near_dedup.drop_near_copies(docs)
 
 

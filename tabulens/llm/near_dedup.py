@@ -1,7 +1,8 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
-A document's set holds its distinct shingles of two words (A-Z in lower case, words ``[^\\x20\\x09-\\x0D]+``). Documents whose
-sets have a Jaccard similarity of ``SIMILARITY`` percent or more are linked; a component keeps its smallest id.
+A document's set holds its distinct shingles of ``width`` words (five unless asked otherwise; A-Z in lower case, words
+``[^\\x20\\x09-\\x0D]+``; a shorter text is one shingle). Documents whose sets have a Jaccard similarity of ``SIMILARITY``
+percent or more are linked; a component keeps its smallest id.
 
 1. Each text becomes ``COORDS`` minwise tokens and a 128-bit sketch of them. Equal sets fall into one class, which goes on
    as its smallest id: groups of exact copies, however large, are one row from here on.
@@ -38,6 +39,7 @@ from pyspark.sql import functions as F
 from tabulens.llm.common import col, small_batches, utf8
 from tabulens.session import materialized
 
+WIDTH = 5
 SIMILARITY = 80
 COORDS = 64
 TREES = 12
@@ -76,14 +78,18 @@ def words_of(text: str | None) -> list[bytes]:
     return utf8(text).lower().split()
 
 
-def shingles(words: list[bytes]) -> set:
+def shingles(words: list[bytes], width: int) -> set:
     """The exact set that links are confirmed on."""
-    return set(zip(words, words[1:])) if len(words) > 1 else set(words)
+    return set(zip(*(words[i:] for i in range(width)))) if len(words) >= width else {tuple(words)} if words else set()
 
 
-def hashed_set(words: list[bytes], hashes: WordHashes) -> np.ndarray:
+def hashed_set(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return np.unique(_mix(h[:-1] * _ODD + _mix(h[1:]))) if len(h) > 1 else _mix(h)
+    many = max(1, len(h) - width + 1)
+    out = np.full(many if len(h) else 0, np.uint64(min(len(h), width)))
+    for i in range(min(len(h), width)):
+        out = _mix(out * _ODD + h[i : i + many])
+    return np.unique(out)
 
 
 def minwise(items: np.ndarray) -> np.ndarray:
@@ -93,27 +99,27 @@ def minwise(items: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        docs, keys, sizes, sigs = [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            items = hashed_set(words_of(text.as_py()), hashes)
-            docs.append(doc)
-            sizes.append(len(items))
-            keys.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
-            sigs.append(minwise(items).astype("<u4").tobytes() if len(items) else None)
-        yield pa.RecordBatch.from_pydict({
-            "doc": pa.array(docs, pa.int64()), "size": pa.array(sizes, pa.int64()),
-            "set_key": pa.array(keys, pa.binary()), "sig": pa.array(sigs, pa.binary()),
-        })
+def _signing(width: int):
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            sizes, keys, sigs = [], [], []
+            for text in batch.column(1):
+                items = hashed_set(words_of(text.as_py()), width, hashes)
+                sizes.append(len(items))
+                keys.append(hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None)
+                sigs.append(minwise(items).astype("<u4").tobytes() if len(items) else None)
+            made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc", "size", "set_key", "sig"])
+
+    return sign
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: doc, size of its set, digest of the set, minwise tokens."""
     small_batches(docs.sparkSession)
     rows = docs.select(col(doc_id).cast("long").alias("doc"), col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_signatures, "doc long, size long, set_key binary, sig binary")
+    return rows.mapInArrow(_signing(width), "doc long, size long, set_key binary, sig binary")
 
 
 def _branch(seeds: np.ndarray, rows: np.ndarray, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,24 +173,27 @@ def alike(a: Column, b: Column) -> Column:
     return sizes & (differ("s1") + differ("s2") <= SKETCH_DIFF)
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by group, the hub's texts first: compares each partner with the hub on full sets."""
-    group, hub, hubs = None, None, []
-    for batch in batches:
-        found: tuple[list, list] = ([], [])
-        for g, a, doc, member, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
-            if (g, a) != (group, hub):
-                group, hub, hubs = g, a, []
-            own = shingles(words_of(text.as_py()))
-            if not member:
-                hubs.append(own)
-            elif any(100 * (both := len(own & other)) >= SIMILARITY * (len(own) + len(other) - both) and both for other in hubs):
-                found[0].append(a)
-                found[1].append(doc)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
-
-
-def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+def _confirming(width: int):
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by group, the hub's texts first: compares each partner with the hub on full sets."""
+        here, hubs = None, []
+        for batch in batches:
+            found: tuple[list, list] = ([], [])
+            for g, a, doc, member, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4)):
+                if (g, a) != here:
+                    here, hubs = (g, a), []
+                own = shingles(words_of(text.as_py()), width)
+                if not member:
+                    hubs.append(own)
+                elif any(100 * (both := len(own & other)) >= SIMILARITY * (len(own) + len(other) - both) and both for other in hubs):
+                    found[0].append(a)
+                    found[1].append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+
+    return confirm
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets are similar. Each text travels once for each group it is in."""
     salted = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)))
     salted = salted.withColumn("g", F.xxhash64("a", "part"))
@@ -194,7 +203,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Data
         need = F.broadcast(need)
     texts = docs.select(col(doc_id).cast("long").alias("doc"), col(text).cast("string").alias("text")).join(need, "doc")
     dealt = texts.select("g", "a", "doc", "member", "text").repartition("g").sortWithinPartitions("g", "a", "member")
-    return dealt.mapInArrow(_confirm, "a long, b long").distinct()
+    return dealt.mapInArrow(_confirming(width), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -211,9 +220,9 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_components(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, size, component for every row of docs."""
-    sigs = materialized(signatures(docs, doc_id, text), "signatures")
+    sigs = materialized(signatures(docs, width, doc_id, text), "signatures")
     classes = sigs.where("doc IS NOT NULL AND size > 0").groupBy("set_key").agg(F.min("doc").alias("doc"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     classes = materialized(classes, "classes")
     links, labels = None, None
@@ -229,7 +238,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             pairs = materialized(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
             tested = pairs if tested is None else tested.unionByName(pairs)
             if not pairs.isEmpty():
-                found = materialized(confirmed(pairs, docs, doc_id, text), "found")
+                found = materialized(confirmed(pairs, docs, width, doc_id, text), "found")
                 links = found if links is None else links.unionByName(found)
                 labels = components(links)
 
@@ -265,13 +274,13 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("doc", "size", F.coalesce("class", "doc").alias("component"))
 
 
-def near_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_report(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    found = near_components(docs, doc_id, text)
+    found = near_components(docs, width, doc_id, text)
     return found.select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), (F.col("doc") == F.col("component")).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are the smallest of their component, with their columns as they were."""
-    gone = near_components(docs, doc_id, text).where("doc <> component").select(F.col("doc").alias("__gone")).distinct()
+    gone = near_components(docs, width, doc_id, text).where("doc <> component").select(F.col("doc").alias("__gone")).distinct()
     return docs.join(gone, col(doc_id).cast("long") == F.col("__gone"), "left_anti")

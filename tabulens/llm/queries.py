@@ -29,7 +29,7 @@ def op8_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return near_dedup.near_report(table(spark, sf, "documents"))
+    return near_dedup.near_report(table(spark, sf, "documents"), width=2)
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
