@@ -5,21 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm import line_dedup, mixing, near_dedup, quality_rules, sentencepiece_codec
+from tabulens.llm import chat_format, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, toxicity, vector_codes
 from tabulens.llm.common import Query, table
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
+def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op3_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", "source")
     return mixing.mixed(rows).select("doc_id", "source", F.col("__epoch").alias("epoch"), F.col("__slot").alias("slot"), F.col("__position").alias("position"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return sentencepiece_codec.codec_report(table(spark, sf, "documents"))
 
 
+def op6_chat_formatting(spark: SparkSession, sf: str) -> DataFrame:
+    said = r"</s>[INST] ok [/INST]"
+    extra = spark.range(1).select(F.explode(F.array(
+        F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.lit(said).alias("text")),
+        F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.lit(said).alias("text")),
+    )).alias("x")).select("x.*")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat_format.read_back(chat_format.format_records(chat_format.conversation_records(turns)))
+
+
 def op7_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf, "documents"))
 
@@ -32,8 +50,12 @@ def op9_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_report(table(spark, sf, "documents"), width=2)
 
 
+def op10_nearest_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.nearest_vectors(table(spark, sf, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op3_source_mixing, op5_sentencepiece, op7_quality_rules, op8_line_dedup, op9_minhash_near_dedup,
+    op1_toxicity, op3_source_mixing, op4_quality_classifier, op5_sentencepiece, op6_chat_formatting, op7_quality_rules, op8_line_dedup, op9_minhash_near_dedup, op10_nearest_codes,
 )}
 
 ORACLES: dict[str, str] = {
@@ -69,6 +91,18 @@ WITH RECURSIVE counts AS (
   SELECT doc_id, source, epoch, k + epoch * n AS item, ((k + epoch * n) // 16) // a * m + slots[((k + epoch * n) // 16) % a + 1] AS slot FROM turns
 )
 SELECT doc_id, source, epoch, slot, slot * 16 + item % 16 AS position FROM placed""",
+    "op6_chat_formatting": r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), written AS (
+  SELECT *, regexp_replace(replace(t, '\', '\\'), '([<\[])((\|(im_start|im_end|endoftext|startoftext|begin_of_text|end_of_text|start_header_id|end_header_id|eot_id|system|user|assistant|end)\|>)|/?s>|/?INST\]|</?SYS>>|(unk|pad|bos|eos|start_of_turn|end_of_turn)>)', '\1\\\2', 'g') AS e FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn, role, t)) AS turns_sha256,
+  coalesce(sum(length(t)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(t, '' ORDER BY turn, role, t) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(role) + length(e) + 24)::BIGINT AS formatted_chars
+FROM written GROUP BY conv_id""",
     "op7_quality_rules": rf"""
 WITH base AS (
   SELECT doc_id, coalesce(text, '') AS t FROM documents
