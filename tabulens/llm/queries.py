@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm import chat_format, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, toxicity, vector_codes
+from tabulens.llm import chat_format, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, toxicity, vector_codes
 from tabulens.llm.common import Query, table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+def op2_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.license_report(table(spark, sf, "documents"))
+
+
 def op3_source_mixing(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "documents").select("doc_id", "source")
     return mixing.mixed(rows).select("doc_id", "source", F.col("__epoch").alias("epoch"), F.col("__slot").alias("slot"), F.col("__position").alias("position"))
@@ -55,10 +59,11 @@ def op10_nearest_codes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
-    op1_toxicity, op3_source_mixing, op4_quality_classifier, op5_sentencepiece, op6_chat_formatting, op7_quality_rules, op8_line_dedup, op9_minhash_near_dedup, op10_nearest_codes,
+    op1_toxicity, op2_license_scan, op3_source_mixing, op4_quality_classifier, op5_sentencepiece, op6_chat_formatting, op7_quality_rules, op8_line_dedup, op9_minhash_near_dedup, op10_nearest_codes,
 )}
 
 ORACLES: dict[str, str] = {
+    "op2_license_scan": license_scan.SQL,
     "op3_source_mixing": r"""
 WITH RECURSIVE counts AS (
   SELECT coalesce('=' || source, 'null') AS src, count(*) AS n FROM documents GROUP BY 1
