@@ -72,7 +72,7 @@ def a04(spark, sf):
 )
 def a05(spark, sf):
     rows = _priced(spark, sf).selectExpr("l_extendedprice", "CAST(net AS STRING) AS net", "concat('x', l_discount) AS note", "owed")
-    return rounded(st.related_columns(rows), 6)
+    return rounded(st.related_columns(rows, first=4), 6)
 
 
 @query("a06_most_correlated", f"SELECT a, b, round(r, 6) AS r FROM ({_pairs_sql(_PRICED_COLS, _PRICED_SQL)}) ORDER BY abs(r) DESC LIMIT 1")
@@ -105,7 +105,7 @@ def a08(spark, sf):
     rows = table(spark, sf, "orders").selectExpr(
         "o_orderkey + 1 AS k", "CAST(o_custkey AS STRING) AS o_custkey", "o_orderstatus", "CAST(o_totalprice AS STRING) AS o_totalprice", "o_orderdate"
     )
-    return rounded(st.backup_analysis(rows, ["o_orderdate", "k"]))
+    return rounded(st.backup_analysis(rows, ["o_orderdate", "k"], key_first=6, first=4))
 
 
 _COMPARE = "SELECT {cat} AS category, avg({num}) AS mean, count({num}) AS count, stddev_samp({num}) AS std FROM {t} WHERE {cat} IS NOT NULL GROUP BY 1"
@@ -253,7 +253,7 @@ def a19(spark, sf):
 )
 def a20(spark, sf):
     rows = table(spark, sf, "lineitem").selectExpr(*_PRICED, "l_returnflag", "CAST(l_shipdate AS STRING) AS shipped")
-    return st.chart_picks(rows, _PRICED_COLS, ["l_returnflag", "shipped"])
+    return st.chart_picks(rows, _PRICED_COLS, ["l_returnflag", "shipped"], first=2)
 
 
 @query(
@@ -441,7 +441,7 @@ _FEATURES = {"o_orderkey": ("bigint", True), "o_totalprice": ("double", True), "
     ),
 )
 def r02(spark, sf):
-    return rounded(report.report_features(gappy_orders(spark, sf)))
+    return rounded(report.report_features(gappy_orders(spark, sf), first=10))
 
 
 @query(
@@ -454,4 +454,4 @@ def r02(spark, sf):
     ),
 )
 def r03(spark, sf):
-    return report.report_numeric(table(spark, sf, "lineitem"))
+    return report.report_numeric(table(spark, sf, "lineitem"), first=5)

@@ -86,7 +86,7 @@ def v07(spark, sf):
     """,
 )
 def v08(spark, sf):
-    parts = ch.dashboard(table(spark, sf, "orders"), "o_totalprice", "o_orderpriority", "o_custkey")
+    parts = ch.dashboard(table(spark, sf, "orders"), "o_totalprice", "o_orderpriority", "o_custkey", categories=8)
 
     def rows(chart, df, label, value):
         return df.select(F.lit(chart).alias("chart"), label.cast("string").alias("label"), value.cast("double").alias("value"))

@@ -118,7 +118,7 @@ def _match_sql():
 
 @query("c05_match_columns", _match_sql())
 def c05(spark, sf):
-    out = match_columns(questions(spark, sf), "question", _NUMERIC, _CATEGORICAL)
+    out = match_columns(questions(spark, sf), "question", _NUMERIC, _CATEGORICAL, limit=4)
     return out.select("conv_id", "turn", "question", F.array_join("columns", ",").alias("columns"))
 
 

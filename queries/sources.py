@@ -177,4 +177,4 @@ _PART5 = ("p_partkey", "p_name", "p_brand", "p_type", "p_size")
     ),
 )
 def s14(spark, sf):
-    return sample_values(table(spark, sf, "part"))
+    return sample_values(table(spark, sf, "part"), max_cols=5)

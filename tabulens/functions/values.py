@@ -35,10 +35,15 @@ def to_double(value: Column) -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
+_INTEGER = r"^\s*[+-]?\d+\s*$"
+
+
 def to_long(value: Column) -> Column:
-    """Whole numbers; a fraction is NULL."""
+    """Whole numbers; a fraction is NULL, as is what a bigint cannot hold. Digits alone never pass through a double."""
+    text = value.cast("string")
     parsed = to_double(value)
-    return F.when(parsed == F.floor(parsed), parsed.try_cast("bigint"))
+    other = F.when(parsed == F.floor(parsed), parsed.try_cast("bigint"))
+    return F.when(text.rlike(_INTEGER), F.trim(text).try_cast("bigint")).otherwise(other)
 
 
 def to_timestamp_any(value: Column) -> Column:
@@ -62,6 +67,14 @@ def parse_date(value: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     return F.coalesce(*tries)
 
 
+def same_shape(formats: Sequence[str]) -> list[list[str]]:
+    """The formats grouped by what their texts look like, in order: within a group a text does not tell them apart."""
+    groups: dict[str, list[str]] = {}
+    for f in formats:
+        groups.setdefault(_shape(f), []).append(f)
+    return list(groups.values())
+
+
 def parse_number(value: Column, scale_words: bool = False) -> Column:
     """``"12,345 USD"`` to 12345.0; with ``scale_words`` also ``"1.2 million"`` to 1200000.0."""
     text = value.cast("string")

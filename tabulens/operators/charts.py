@@ -78,16 +78,19 @@ def box(df: DataFrame, num: str, cat: str | None = None, limit: int | None = Non
     )
 
 
-def heatmap(df: DataFrame, cols: Sequence[str] | None = None, first: int = 8) -> DataFrame:
-    """Correlation of every ordered pair of the first numeric columns."""
-    return correlation(df, list(cols or numeric_columns(df))[:first], full=True).select("a", "b", "r")
+def heatmap(df: DataFrame, cols: Sequence[str] | None = None, first: int | None = None) -> DataFrame:
+    """Correlation of every ordered pair of the columns, by default of the (``first``) numeric ones."""
+    return correlation(df, list(cols or numeric_columns(df)[:first]), full=True).select("a", "b", "r")
 
 
-def dashboard(df: DataFrame, num: str, cat: str, other: str, limit: int | None = None) -> dict[str, DataFrame]:
-    """Distribution, comparison, relationship and summary of the same table."""
+def dashboard(
+    df: DataFrame, num: str, cat: str, other: str, limit: int | None = None, categories: int | None = None
+) -> dict[str, DataFrame]:
+    """Distribution, comparison (of the first ``categories``, by default all), relationship and summary of a table."""
+    means = compare_groups(df, cat, num).select("category", "mean").orderBy("category")
     return {
         "distribution": histogram(df, num),
-        "comparison": compare_groups(df, cat, num).select("category", "mean").orderBy("category").limit(8),
+        "comparison": means if categories is None else means.limit(categories),
         "relationship": scatter(df, num, other),
         "summary": summarize(df, [num], probs=(0.5,), limit=limit).select(
             "mean", F.col("q50").alias("median"), "std"

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,9 +20,6 @@ from tabulens.operators.schema import numeric_columns, per_column, present, text
 from tabulens.session import scratch_dir
 
 UNKNOWN = "Unknown"
-CATEGORY_WINDOW_ROWS = 100_000
-
-__all__ = ["forward_fill"]
 
 
 def replace_columns(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
@@ -134,11 +132,19 @@ def outlier_counts(
 
 
 def clip_to(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
+    """Values outside the bounds become the bound; the others, and the column's type, stay as they are.
+
+    Whole-number columns take the nearest whole number inside the bounds.
+    """
     new = {}
     for c, (low, high) in bounds.items():
-        x = number(df, c)
-        # greatest/least skip NULL, which would turn a missing value into a bound.
-        new[c] = F.when(x.isNotNull(), F.greatest(F.least(x, F.lit(float(high))), F.lit(float(low))))
+        x, data_type = number(df, c), df.schema[c].dataType
+        own, low, high = quoted(c), float(low), float(high)
+        if not is_numeric(data_type):
+            own, data_type = x, T.DoubleType()
+        whole = isinstance(data_type, T.IntegralType) or isinstance(data_type, T.DecimalType) and not data_type.scale
+        ends = [F.lit(v).try_cast(data_type) for v in ((math.ceil(low), math.floor(high)) if whole and math.isfinite(low + high) else (low, high))]
+        new[c] = F.when(x < low, F.coalesce(ends[0], own)).when(x > high, F.coalesce(ends[1], own)).when(x.isNotNull(), own)
     return replace_columns(df, new)
 
 
@@ -280,16 +286,11 @@ def convert(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.select(*out)
 
 
-def category_codes(df: DataFrame, col: str, out: str | None = None, window_rows: int = CATEGORY_WINDOW_ROWS) -> DataFrame:
+def category_codes(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """Adds the 0-based position of each value among the sorted distinct values; -1 where it is missing."""
     out = out or f"{col}_code"
     values = df.select(quoted(col).alias("_value")).where("_value IS NOT NULL").distinct()
-    few = values.limit(window_rows + 1).count() <= window_rows
-    if few:
-        codes = values.select("_value", (F.row_number().over(Window.orderBy("_value")) - 1).cast("bigint").alias(out))
-        codes = F.broadcast(codes)
-    else:
-        codes = _numbered_in_order(values, out)
+    codes = _numbered_in_order(values, out)
     joined = df.join(codes, quoted(col) == F.col("_value"), "left").drop("_value")
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(-1).cast("bigint")))
 
@@ -316,19 +317,45 @@ def _numbered_in_order(values: DataFrame, out: str) -> DataFrame:
 
 
 def numeric_text_to_number(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Text columns that hold nothing but digits become whole numbers."""
+    """Text columns that hold nothing but digits become whole numbers: bigint, or decimal(38) if a value needs it.
+
+    A column with a number of more than 38 digits stays as it is.
+    """
     cols = list(cols or text_columns(df))
     if not cols:
         return df
-    flags = df.agg(*[F.bool_and(quoted(c).rlike("^[0-9]+$")).alias(f"f{i}") for i, c in enumerate(cols)]).first()
-    digits = [c for i, c in enumerate(cols) if flags[i]]
-    return replace_columns(df, {c: quoted(c).try_cast("bigint") for c in digits})
+    wanted = []
+    for i, c in enumerate(cols):
+        bare = F.ltrim(quoted(c), F.lit("0"))
+        wanted += [
+            F.bool_and(quoted(c).rlike("^[0-9]+$")).alias(f"d{i}"), F.max(F.length(bare)).alias(f"n{i}"),
+            F.bool_and(quoted(c).isNull() | quoted(c).try_cast("bigint").isNotNull()).alias(f"b{i}"),
+        ]
+    found = df.agg(*wanted).first()
+    new = {}
+    for i, c in enumerate(cols):
+        if found[f"d{i}"] and found[f"n{i}"] <= 38:
+            new[c] = quoted(c).cast("bigint" if found[f"b{i}"] else "decimal(38,0)")
+    return replace_columns(df, new)
 
 
 def parse_dates(
-    df: DataFrame, col: str, formats: Sequence[str] = vx.DATE_FORMATS, detect: str = "each"
+    df: DataFrame, col: str, formats: Sequence[str] = vx.DATE_FORMATS, detect: str = "column"
 ) -> DataFrame:
-    """Text to timestamp. ``each`` tries the formats on every value; ``first`` takes the one fitting the smallest value."""
+    """Text to timestamp.
+
+    Formats whose texts look alike (day first, month first) are decided once for the ``column``: the one that most values
+    fit, on ties the one listed first. ``each`` tries the formats in order on every value; ``first`` takes for the whole
+    column the one that fits its smallest value.
+    """
+    if detect == "column":
+        groups = vx.same_shape(formats)
+        open_ = [f for g in groups if len(g) > 1 for f in g]
+        if open_:
+            fits = df.agg(*[F.count(vx.parse_date(quoted(col), [f])).alias(f"f{i}") for i, f in enumerate(open_)]).first()
+            count = {f: fits[f"f{i}"] for i, f in enumerate(open_)}
+            best = {max(g, key=lambda f: (count.get(f, 0), -g.index(f))) for g in groups}
+            formats = [f for f in formats if f in best]
     if detect == "first":
         sample = df.agg(F.min(quoted(col).cast("string"))).first()[0]
         fits = [F.try_to_timestamp(F.lit(sample), F.lit(f)).isNotNull().alias(f"f{i}") for i, f in enumerate(formats)]

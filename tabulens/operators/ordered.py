@@ -1,9 +1,9 @@
 """Order-dependent columns without putting a whole group into one task.
 
-A window over (group, order) sends every row of a group to one task. Above a
-counted number of rows the order axis is cut into chunks first: the window runs
-inside (group, chunk), and what a chunk needs from earlier ones is one row per
-chunk, carried over by a second window on that much smaller table.
+A window over (group, order) sends every row of a group to one task. Instead the rows are range-partitioned on group and
+order keys, of whatever sortable type, with a hash of the row last so that ties and missing keys split as well. A partition
+is a chunk: the window runs inside (group, chunk), and what a chunk needs from earlier ones is one row per chunk and group,
+carried over by a second window on that much smaller table. There is no other path for small inputs.
 """
 
 from __future__ import annotations
@@ -15,64 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulens.functions.nulls import quoted
-from tabulens.operators.quantiles import fits_buffer
-
-_CUTS = 128
-_SLICES = 256
-_TEMPORAL = (T.TimestampNTZType, T.TimestampType, T.DateType)
-
-
-def _axis(df: DataFrame, name: str) -> Column | None:
-    """The order column as a double, where that keeps its order."""
-    data_type = df.schema[name].dataType
-    if isinstance(data_type, _TEMPORAL):
-        return F.unix_micros(quoted(name).cast("timestamp")).cast("double")
-    if isinstance(data_type, T.NumericType):
-        return quoted(name).cast("double")
-    return None
-
-
-def _region(x: Column, cuts: list[float], low: int, high: int) -> Column:
-    """How many cuts are <= x, by nested comparison (binary search in generated code)."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(x < cuts[mid], _region(x, cuts, low, mid)).otherwise(_region(x, cuts, mid + 1, high))
-
-
-def _share(x: Column, low: Column | float, high: Column | float) -> Column:
-    low = low if isinstance(low, Column) else F.lit(low)
-    high = high if isinstance(high, Column) else F.lit(high)
-    part = F.floor((x - low) / (high - low) * _SLICES)
-    return F.when(high > low, F.greatest(F.least(part, F.lit(_SLICES)), F.lit(0).cast("bigint"))).otherwise(
-        F.lit(0).cast("bigint")
-    )
-
-
-def chunked(df: DataFrame, order_by: Sequence[str], name: str = "_chunk") -> DataFrame | None:
-    """Adds a chunk number that never decreases along ``order_by``; None when the first key has no numeric axis."""
-    x = _axis(df, order_by[0])
-    if x is None:
-        return None
-    second = _axis(df, order_by[1]) if len(order_by) > 1 else None
-    probs = [i / _CUTS for i in range(_CUTS + 1)]
-    wants = [F.percentile_approx(x, F.array(*[F.lit(p) for p in probs]), 10_000)]
-    if second is not None:
-        wants += [F.min(second), F.max(second)]
-    row = df.agg(*wants).first()
-    points = row[0]
-    if not points:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    cuts = sorted(set(points))
-    region = _region(x, cuts, 0, len(cuts))
-    edges = F.array(*[F.lit(c) for c in [cuts[0], *cuts, cuts[-1]]])
-    lower, upper = F.get(edges, region), F.get(edges, region + 1)
-    # A value on a cut may be shared by very many rows: it is a chunk of its own, split along the second key.
-    on_cut = x == lower
-    tie = F.lit(0).cast("bigint") if second is None else _share(second, row[1], row[2])
-    inner = F.when(on_cut, tie).otherwise(_share(x, lower, upper) + _SLICES + 1)
-    number = region.cast("bigint") * (2 * _SLICES + 4) + inner
-    return df.withColumn(name, F.coalesce(number, F.lit(-1).cast("bigint")))
+from tabulens.session import materialized
+
+
+def chunked(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``_tie`` and a chunk number that never decreases along (by, order_by, _tie).
+
+    The rows are written out: the chunks must be the same for all that reads them.
+    """
+    hashed = [quoted(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keys = [quoted(c).asc_nulls_first() for c in by] + _order(order_by)
+    placed = df.withColumn("_tie", F.xxhash64(*hashed)).repartitionByRange(*keys, F.col("_tie"))
+    return materialized(placed.withColumn("_chunk", F.spark_partition_id()), "chunks")
 
 
 def _order(order_by: Sequence[str]) -> list[Column]:
@@ -81,12 +35,14 @@ def _order(order_by: Sequence[str]) -> list[Column]:
 
 def _carried(df: DataFrame, value: str, order_by: Sequence[str], by: list[str], skip_null: bool) -> DataFrame:
     """Per (group, chunk): the last value before the chunk starts."""
-    place = F.struct(*[quoted(c) for c in order_by])
+    # Missing keys come first in order; max_by over structs sees NULL as smallest too.
+    place = F.struct(*[quoted(c) for c in order_by], F.col("_tie"))
     if skip_null:
         place = F.when(quoted(value).isNotNull(), place)
-    ends = df.groupBy(*by, "_chunk").agg(F.max_by(F.struct(quoted(value).alias("v")), place).alias("end"))
-    before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return ends.select(*by, "_chunk", F.last("end", ignorenulls=True).over(before).alias("_carry"))
+    keys = [quoted(k) for k in by]
+    ends = df.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(quoted(value).alias("v")), place).alias("end"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select(*keys, "_chunk", F.last("end", ignorenulls=True).over(before).alias("_carry"))
 
 
 def _with_carry(df: DataFrame, carry: DataFrame, by: list[str]) -> DataFrame:
@@ -97,32 +53,22 @@ def _with_carry(df: DataFrame, carry: DataFrame, by: list[str]) -> DataFrame:
     return d.join(c, same, "left").select("d.*", "c._carry")
 
 
-def forward_fill(
-    df: DataFrame, column: str, order_by: Sequence[str], by: Sequence[str] = (), limit: int | None = None
-) -> DataFrame:
+def forward_fill(df: DataFrame, column: str, order_by: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Each missing value takes the last present one before it in its group."""
     by, order_by = list(by), list(order_by)
-    cut = None if fits_buffer(df, limit) else chunked(df, order_by)
-    if cut is None:
-        w = Window.partitionBy(*by).orderBy(*_order(order_by)).rowsBetween(Window.unboundedPreceding, 0)
-        return df.withColumn(column, F.last(quoted(column), ignorenulls=True).over(w))
-    inside = (
-        Window.partitionBy(*by, "_chunk").orderBy(*_order(order_by)).rowsBetween(Window.unboundedPreceding, 0)
-    )
+    cut = chunked(df, order_by, by)
+    keys = [quoted(k) for k in by]
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(*_order(order_by), "_tie").rowsBetween(Window.unboundedPreceding, 0)
     filled = _with_carry(cut, _carried(cut, column, order_by, by, skip_null=True), by)
     value = F.coalesce(F.last(quoted(column), ignorenulls=True).over(inside), F.col("_carry.v"))
     return filled.withColumn(column, value).select(*[quoted(c) for c in df.columns])
 
 
-def previous_value(
-    df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str], out: str, limit: int | None = None
-) -> DataFrame:
+def previous_value(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str], out: str) -> DataFrame:
     """Adds the value of the row before, in order, within the group."""
     by, order_by = list(by), list(order_by)
-    cut = None if fits_buffer(df, limit) else chunked(df, order_by)
-    if cut is None:
-        return df.withColumn(out, F.lag(quoted(value)).over(Window.partitionBy(*by).orderBy(*_order(order_by))))
-    inside = Window.partitionBy(*by, "_chunk").orderBy(*_order(order_by))
+    cut = chunked(df, order_by, by)
+    inside = Window.partitionBy(*[quoted(k) for k in by], "_chunk").orderBy(*_order(order_by), "_tie")
     joined = _with_carry(cut, _carried(cut, value, order_by, by, skip_null=False), by)
     first = F.row_number().over(inside) == 1
     before = F.when(first, F.col("_carry.v")).otherwise(F.lag(quoted(value)).over(inside))

@@ -213,8 +213,8 @@ def temporal_density(df: DataFrame, col: str) -> DataFrame:
     return totals.select(F.lit(col).alias("column"), "time_points", "n_rows", series.alias("is_series"))
 
 
-def sample_values(df: DataFrame, n: int = 3, max_cols: int = 5) -> DataFrame:
-    """The n smallest distinct values, as text, of the first columns."""
+def sample_values(df: DataFrame, n: int = 3, max_cols: int | None = None) -> DataFrame:
+    """The n smallest distinct values, as text, of all columns or the first ``max_cols``."""
     rows = unpivot_text(df, df.columns[:max_cols]).distinct()
     return smallest_per_group(rows, ["column"], ["value"], n)
 

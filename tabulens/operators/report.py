@@ -22,16 +22,16 @@ def report_overview(df: DataFrame) -> DataFrame:
     )
 
 
-def report_features(df: DataFrame, first: int | None = 10) -> DataFrame:
-    """name, dtype, missing, unique, mean and std of the first columns."""
+def report_features(df: DataFrame, first: int | None = None) -> DataFrame:
+    """name, dtype, missing, unique, mean and std of the columns, or of the ``first`` ones."""
     part = df.select(*df.columns[:first])
     return profile_columns(part).select(
         F.col("column").alias("name"), "dtype", "num_missing", "num_unique", "mean", "std"
     )
 
 
-def report_numeric(df: DataFrame, first: int | None = 5) -> DataFrame:
-    """mean, std, min and max of the first numeric columns, to two decimals."""
+def report_numeric(df: DataFrame, first: int | None = None) -> DataFrame:
+    """mean, std, min and max of the numeric columns, or of the ``first`` ones, to two decimals."""
     found = summarize(df, numeric_columns(df)[:first], probs=())
     return found.select(
         F.col("column").alias("feature"), *[F.round(m, 2).alias(m) for m in ("mean", "std", "min", "max")]

@@ -148,13 +148,13 @@ def time_columns(
 
 
 def match_columns(
-    df: DataFrame, question: str, numeric: Sequence[str], categorical: Sequence[str], limit: int = 4
+    df: DataFrame, question: str, numeric: Sequence[str], categorical: Sequence[str], limit: int | None = None
 ) -> DataFrame:
-    """Adds ``columns``: those the question names, else those its kind suggests, at most ``limit``."""
+    """Adds ``columns``: those the question names, else those its kind suggests; ``limit`` caps their number."""
     every = [*numeric, *categorical]
 
     def listed(cols: Sequence[str]) -> str:
-        return "array(" + ", ".join(f"'{c}'" for c in cols) + ")"
+        return "array(" + ", ".join("'" + c.replace("\\", "\\\\").replace("'", "\\'") + "'" for c in cols) + ")"
 
     # Names in the question, and names a word of the question is part of.
     named = f"filter({listed(every)}, c -> contains(_q, lower(c)) OR exists(_words, w -> contains(lower(c), w)))"
@@ -173,7 +173,7 @@ def match_columns(
         df.withColumn("_q", F.lower(quoted(question)))
         .withColumn("_words", F.filter(F.split("_q", r"(?U)\s+"), lambda w: w != ""))
         .withColumn("_named", F.expr(named))
-        .withColumn("columns", F.expr(f"slice(IF(size(_named) > 0, _named, {suggested}), 1, {limit})"))
+        .withColumn("columns", F.expr(f"slice(IF(size(_named) > 0, _named, {suggested}), 1, {len(every) if limit is None else limit})"))
         .drop("_q", "_words", "_named")
     )
 

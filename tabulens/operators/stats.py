@@ -117,10 +117,11 @@ def notable_pairs(df: DataFrame, cols: Sequence[str], above: float = 0.5, first:
 
 
 def related_columns(
-    df: DataFrame, cols: Sequence[str] | None = None, above: float = 0.3, k: int = 3, numeric_share: float = 0.3
+    df: DataFrame, cols: Sequence[str] | None = None, above: float = 0.3, k: int = 3, numeric_share: float = 0.3,
+    first: int | None = None,
 ) -> DataFrame:
-    """Among the first four columns, those numeric enough; their k strongest pairs over the threshold."""
-    candidates = list(cols or df.columns)[:4]
+    """Among the columns (the ``first`` ones if no columns are named), those numeric enough; their k strongest pairs."""
+    candidates = list(cols or df.columns[:first])
     usable = columns_above_ratio(df.select(*[quoted(c) for c in candidates]), numeric_share)
     found = correlation(df, usable).where(F.abs("r") > above)
     return found.orderBy(F.desc(F.abs("r")), "i", "j").limit(k).select("a", "b", "r")
@@ -185,12 +186,13 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     return rows.groupBy(quoted(a).alias("a"), quoted(b).alias("b")).agg(F.count("*").alias("count"))
 
 
-def crosstab_wide(df: DataFrame, a: str, b: str, max_columns: int = 1000) -> DataFrame:
-    """The same as a matrix; the number of columns is checked before it is built."""
+def crosstab_wide(df: DataFrame, a: str, b: str, values: Sequence[object] | None = None) -> DataFrame:
+    """The same as a matrix with a column for each of ``values``, by default for every value of ``b``.
+
+    A matrix is only as wide as a table can be: name the values of a column with very many, or take ``crosstab``.
+    """
     counts = crosstab(df, a, b)
-    names = [r["b"] for r in counts.select("b").distinct().orderBy("b").limit(max_columns + 1).collect()]
-    if len(names) > max_columns:
-        raise ValueError(f"{b} has more than {max_columns} values; use crosstab() for the long form")
+    names = list(values) if values is not None else [r["b"] for r in counts.select("b").distinct().orderBy("b").collect()]
     return counts.groupBy("a").pivot("b", names).agg(F.sum("count")).na.fill(0)
 
 
@@ -368,11 +370,9 @@ def period_totals(df: DataFrame, date: str, num: str, grain: str = "month", by:
     return df.groupBy(*by, period).agg(F.sum(number(df, num)).alias("value"))
 
 
-def pct_change(
-    df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str] = (), limit: int | None = None
-) -> DataFrame:
+def pct_change(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Adds the percent change from the row before."""
-    out = previous_value(df, value, order_by, by, "previous", limit=limit)
+    out = previous_value(df, value, order_by, by, "previous")
     change = F.try_divide(quoted(value) - F.col("previous"), F.col("previous")) * 100
     return out.withColumn("pct_change", change).drop("previous")
 
@@ -391,11 +391,9 @@ def cagr(df: DataFrame, value: str, date: str, by: Sequence[str] = ()) -> DataFr
     return found.withColumn("cagr", F.when(ok, rate))
 
 
-def volatility(
-    df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str] = (), limit: int | None = None
-) -> DataFrame:
+def volatility(df: DataFrame, value: str, order_by: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Variance of the values and standard deviation of their percent changes."""
-    return pct_change(df, value, order_by, by, limit).groupBy(*by).agg(
+    return pct_change(df, value, order_by, by).groupBy(*by).agg(
         F.var_samp(quoted(value)).alias("variance"), F.stddev_samp("pct_change").alias("volatility")
     )
 
@@ -410,9 +408,9 @@ def trend(df: DataFrame, date: str, value: str, by: Sequence[str] = ()) -> DataF
 
 
 def backup_analysis(
-    df: DataFrame, order_by: Sequence[str], share: float = 0.7, key_first: int = 6, first: int = 4
+    df: DataFrame, order_by: Sequence[str], share: float = 0.7, key_first: int | None = None, first: int | None = None
 ) -> DataFrame:
-    """Average, range, spread, points and overall change of the first columns that are mostly numbers."""
+    """Average, range, spread, points and overall change of the (``first``) columns that are mostly numbers."""
     cols = columns_above_ratio(df, share, key_first)[:first]
     stats = summarize(df, cols, probs=()).alias("s")
     change = growth(df, cols, order_by).select("column", "growth_percent").alias("g")
@@ -438,19 +436,19 @@ def eda(df: DataFrame, limit: int | None = None) -> dict[str, DataFrame]:
     }
 
 
-def chart_picks(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], max_values: int = 20) -> DataFrame:
-    """What to look at first: two numbers, two categories with few values, the strongest pair."""
+def chart_picks(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], max_values: int = 20, first: int | None = None) -> DataFrame:
+    """What to look at: the (``first``) numbers, the (``first``) categories with few values, the strongest pair."""
     from tabulens.operators.profile import distinct_counts
 
     numeric, categorical = list(numeric), list(categorical)
     spark = df.sparkSession
-    rows = [("distribution", c, None) for c in numeric[:2]]
+    rows = [("distribution", c, None) for c in numeric[:first]]
     if categorical:
         few = {
             r["column"]
-            for r in distinct_counts(df, categorical[:2]).where(F.col("num_unique") < max_values).collect()
+            for r in distinct_counts(df, categorical[:first]).where(F.col("num_unique") < max_values).collect()
         }
-        rows += [("counts", c, None) for c in categorical[:2] if c in few]
+        rows += [("counts", c, None) for c in categorical[:first] if c in few]
     if len(numeric) > 1:
         rows += [("relationship", r["a"], r["b"]) for r in most_correlated(df, numeric).collect()]
     return spark.createDataFrame(rows, "pick string, column string, other string")

@@ -11,86 +11,74 @@ from pyspark.sql import functions as F
 
 from tabulens.functions.nulls import quoted
 
-# Doubles of the query matrix that may be sent to every executor at once (128 MB).
-QUERY_CELLS = 16_000_000
+#: Rows and queries that meet in one task at a time.
+ROW_BLOCK = 20_000
+QUERY_BLOCK = 2_000
 _WORK_CELLS = 4_000_000
 
 
 def top_k(
     df: DataFrame, queries: DataFrame, id_col: str, vec: str, query_id: str, query_vec: str, k: int = 5,
-    metric: str = "l2", query_cells: int = QUERY_CELLS,
+    metric: str = "l2", row_block: int = ROW_BLOCK, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """For each query vector the k nearest rows: ``(query_id, rank, id_col, distance)``, ties by id.
 
-    Every task keeps its own k best per query, so what is shuffled is k rows per query and task, not pairs.
-    Queries are sent out in blocks of a counted size; more queries mean more passes over the table.
+    Rows and queries are dealt into blocks of about the given size by a hash, and each pair of blocks is one group: no
+    query passes through the driver, and what leaves a group is k rows per query. Ids keep their own types.
     """
     if metric not in ("l2", "cosine"):
         raise ValueError(f"unknown metric {metric!r}")
-    out = None
-    for ids, matrix in _blocks(queries, query_id, query_vec, query_cells):
-        part = _nearest(df, ids, matrix, id_col, vec, query_id, k, metric)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return df.sparkSession.createDataFrame([], f"{query_id} long, rank int, {id_col} long, distance double")
-    return out
+    rows = df.where(quoted(vec).isNotNull()).select(quoted(id_col).alias("i"), quoted(vec).cast("array<double>").alias("v"))
+    asked = queries.where(quoted(query_vec).isNotNull()).select(quoted(query_id).alias("q"), quoted(query_vec).cast("array<double>").alias("w"))
+    n = max(1, -(-rows.count() // row_block))
+    m = max(1, -(-asked.count() // query_block))
+    here = rows.withColumn("rb", F.pmod(F.xxhash64("i", "v"), F.lit(n)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    there = asked.withColumn("qb", F.pmod(F.xxhash64("q", "w"), F.lit(m)).cast("int")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    types = {f.name: f.dataType for f in [*rows.schema, *asked.schema]}
+    out = f"q {types['q'].simpleString()}, i {types['i'].simpleString()}, d double"
+    near = here.groupBy("rb", "qb").cogroup(there.groupBy("rb", "qb")).applyInPandas(_nearest(k, metric), out)
+    w = Window.partitionBy("q").orderBy("d", "i")
+    return (
+        near.withColumn("rank", F.row_number().over(w))
+        .where(F.col("rank") <= k)
+        .select(F.col("q").alias(query_id), "rank", F.col("i").alias(id_col), F.col("d").alias("distance"))
+    )
 
 
-def _blocks(queries: DataFrame, query_id: str, query_vec: str, cells: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query ids and vectors, a bounded number of them at a time."""
-    rows = queries.select(quoted(query_id).cast("bigint"), quoted(query_vec).cast("array<double>")).toLocalIterator()
-    ids, vectors = [], []
-    for row in rows:
-        ids.append(row[0])
-        vectors.append(row[1])
-        if len(ids) * len(vectors[0]) >= cells:
-            yield np.array(ids), np.array(vectors)
-            ids, vectors = [], []
-    if ids:
-        yield np.array(ids), np.array(vectors)
+def _distances(block: np.ndarray, wanted: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "cosine":
+        norm = np.linalg.norm(wanted, axis=1)[:, None] * np.linalg.norm(block, axis=1)[None, :]
+        return 1.0 - (wanted @ block.T) / np.where(norm == 0, np.nan, norm)
+    squared = np.zeros((len(wanted), len(block)))
+    for d in range(block.shape[1]):
+        squared += (wanted[:, d][:, None] - block[:, d][None, :]) ** 2
+    return np.sqrt(squared)
 
 
-def _nearest(
-    df: DataFrame, ids: np.ndarray, matrix: np.ndarray, id_col: str, vec: str, query_id: str, k: int, metric: str
-) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast((ids, matrix))
+def _nearest(k: int, metric: str):
+    def best(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(rows) and len(queries):
+            # In order of id, so that a stable choice prefers the smaller id among equal distances.
+            rows = rows.sort_values("i", ignore_index=True)
+            ids, block = rows["i"].to_numpy(), np.stack(rows["v"].to_numpy()).astype(float)
+            for start, wanted in _pieces(queries, len(rows)):
+                found = _distances(block, wanted, metric)
+                found = np.where(np.isnan(found), np.inf, found)
+                reach = np.partition(found, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+                q, i = np.nonzero((found <= reach[:, None]) & np.isfinite(found))
+                order = np.lexsort((i, found[q, i], q))
+                q, i = q[order], i[order]
+                q, i = (x[np.arange(len(q)) - np.searchsorted(q, q) < k] for x in (q, i))
+                kept.append((queries["q"].to_numpy()[start + q], ids[i], found[q, i]))
+        columns = [np.concatenate(x) for x in zip(*kept)] if kept else [np.zeros(0, object)] * 3
+        # Text stays Python objects: the Arrow-backed strings of pandas come in chunks that a struct cannot take.
+        return pd.DataFrame({name: pd.Series(x, dtype=x.dtype) for name, x in zip("qid", columns)})
 
-    def distances(block: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if metric == "cosine":
-            norm = np.linalg.norm(wanted, axis=1)[:, None] * np.linalg.norm(block, axis=1)[None, :]
-            return 1.0 - (wanted @ block.T) / np.where(norm == 0, np.nan, norm)
-        squared = np.zeros((len(wanted), len(block)))
-        for d in range(block.shape[1]):
-            squared += (wanted[:, d][:, None] - block[:, d][None, :]) ** 2
-        return np.sqrt(squared)
+    return best
 
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted_ids, wanted = sent.value
-        kept: pd.DataFrame | None = None
-        step = max(1, _WORK_CELLS // len(wanted_ids))
-        for batch in batches:
-            for start in range(0, len(batch), step):
-                piece = batch.iloc[start : start + step]
-                found = distances(np.stack(piece["v"].to_numpy()).astype(float), wanted)
-                row_ids = piece["i"].to_numpy()
-                order = np.stack([np.lexsort((row_ids, line))[:k] for line in found])
-                fresh = pd.DataFrame(
-                    {
-                        "q": np.repeat(wanted_ids, order.shape[1]),
-                        "i": row_ids[order].ravel(),
-                        "d": np.take_along_axis(found, order, 1).ravel(),
-                    }
-                )
-                kept = fresh if kept is None else pd.concat([kept, fresh])
-                kept = kept.sort_values(["q", "d", "i"]).groupby("q").head(k)
-        if kept is not None:
-            yield kept
 
-    rows = df.where(quoted(vec).isNotNull()).select(quoted(id_col).cast("bigint").alias("i"), quoted(vec).alias("v"))
-    near = rows.mapInPandas(best, "q long, i long, d double").where("d IS NOT NULL AND NOT isnan(d)")
-    w = Window.partitionBy("q").orderBy("d", "i")
-    return (
-        near.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select(F.col("q").alias(query_id), "rank", F.col("i").alias(id_col), F.col("d").alias("distance"))
-    )
+def _pieces(queries: pd.DataFrame, n_rows: int) -> Iterator[tuple[int, np.ndarray]]:
+    step = max(1, _WORK_CELLS // n_rows)
+    for start in range(0, len(queries), step):
+        yield start, np.stack(queries["w"].iloc[start : start + step].to_numpy()).astype(float)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,13 +33,15 @@ def build_session(app: str = "tabulens", master: str | None = None, **conf: str)
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, for checkpoints and written intermediates.
 
-    A cluster names it in ``spark.checkpoint.dir``. A local temporary folder is
-    taken only where that setting is absent, as in tests.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is absent, a local session takes a temporary folder;
+    on a cluster each executor would write to its own disk, so that is an error.
     """
     context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        base = context.getCheckpointDir() or tempfile.mkdtemp(prefix="tabulens-")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="tabulens-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
     return base

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,31 +31,79 @@ def read_csv(
     return reader.options(**options).csv(path)
 
 
-def _is_lines(spark: SparkSession, path: str | Sequence[str]) -> bool:
-    """JSON Lines if the first line is a complete object."""
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    try:
-        return bool(first) and isinstance(json.loads(first[0]["value"]), dict)
-    except json.JSONDecodeError:
-        return False
+def _forms(spark: SparkSession, path: str | Sequence[str]) -> tuple[list[str], list[str]]:
+    """Files of JSON Lines, and files that are one document.
+
+    A file whose every line is an object by itself is lines. Any other is a document if it parses as a whole, and lines of
+    which some are bad if it does not.
+    """
+
+    def read(paths: str | Sequence[str], wholetext: bool = False) -> DataFrame:
+        rows = spark.read.text(paths, wholetext=wholetext)
+        return rows.select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+
+    rows = read(path)
+    files = rows.groupBy("file").agg(F.bool_and(F.json_object_keys("value").isNotNull()).alias("lines")).collect()
+    every, odd = [_plain(r["file"]) for r in files], [_plain(r["file"]) for r in files if not r["lines"]]
+    whole: set[str] = set()
+    if odd:
+        # In brackets, as a parser stops after a first complete value: one element, and nothing behind it.
+        one = F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))) == 1
+        whole = {_plain(r["file"]) for r in read(odd, wholetext=True).where(one).select("file").collect()}
+    return [f for f in every if f not in whole], sorted(whole)
+
+
+def _plain(uri: str) -> str:
+    """A path as readers take it: file URIs come percent-encoded."""
+    return unquote(uri)
+
+
+def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type that holds values of both; text where nothing else does."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+        return _merged(a, b)
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(_wider(a.elementType, b.elementType))
+    if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
+        return T.LongType() if {type(a), type(b)} <= {T.LongType, T.IntegerType} else T.DoubleType()
+    return T.StringType()
+
+
+def _merged(a: T.StructType, b: T.StructType) -> T.StructType:
+    other = {f.name: f.dataType for f in b}
+    fields = [T.StructField(f.name, _wider(f.dataType, other.get(f.name, f.dataType))) for f in a]
+    return T.StructType(fields + [f for f in b if f.name not in {x.name for x in a}])
 
 
 def read_json(
     spark: SparkSession, path: str | Sequence[str], lines: bool | None = None, on_bad: str = "fail",
     schema: str | T.StructType | None = None, flatten: bool = True, **options: object,
 ) -> DataFrame:
-    """JSON Lines (splittable), or files holding one array or object each.
+    """JSON Lines (splittable), or files holding one array or object each; each file is looked at for itself.
 
-    ``on_bad``: ``fail``, ``skip`` bad lines, or ``keep`` them in ``_corrupt_record``. A file that is one array
-    is read by one task; store large data as JSON Lines or as many files.
+    ``lines`` says that all files are of one kind and spares the look. ``on_bad``: ``fail``, ``skip`` bad lines, or
+    ``keep`` them in ``_corrupt_record``; what is no object counts as bad. A file that is one array is read by one task:
+    store large data as JSON Lines or as many files. Files in which one column has different types get the wider type.
     """
     mode = {"fail": "FAILFAST", "skip": "DROPMALFORMED", "keep": "PERMISSIVE"}[on_bad]
-    if lines is None:
-        lines = _is_lines(spark, path)
-    reader = spark.read.option("multiLine", not lines).option("mode", mode).options(**options)
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.json(path)
+    many, single = _forms(spark, path) if lines is None else ([path], []) if lines else ([], [path])
+    parts = [(False, many if lines is None else path)] if many else []
+    parts += [(True, single if lines is None else path)] if single else []
+    parts = parts or [(False, path)]
+
+    def read(multi: bool, files: str | Sequence[str], given: str | T.StructType | None) -> DataFrame:
+        reader = spark.read.option("multiLine", multi).option("mode", mode).options(**options)
+        return (reader if given is None else reader.schema(given)).json(files)
+
+    frames = [read(*part, schema) for part in parts]
+    if len(frames) > 1 and schema is None:
+        both = _merged(frames[0].schema, frames[1].schema)
+        frames = [read(*part, both) for part in parts]
+    df = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
     return flatten_structs(df) if flatten else df
 
 

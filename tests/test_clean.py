@@ -116,7 +116,7 @@ def test_dates_of_every_format(spark):
     texts = ["2024-03-04", "04/03/2024", "13/12/2024", "12/13/2024", "2024/03/04", "04-03-2024", "20240304",
              "04.03.2024", "2024-03-04 05:06:07", "4/3/2024 05:06:07", "soon", ""]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
-    got = by_id(clean.parse_dates(df, "t"), "t")
+    got = by_id(clean.parse_dates(df, "t", detect="each"), "t")
     assert [got[i] for i in (0, 1, 4, 5, 6, 7)] == [day] * 6
     assert got[2] == dt.datetime(2024, 12, 13) and got[3] == dt.datetime(2024, 12, 13)
     assert got[8] == got[9] == dt.datetime(2024, 3, 4, 5, 6, 7)
@@ -125,12 +125,32 @@ def test_dates_of_every_format(spark):
     assert first == {0: None, 1: day}
 
 
+def test_whole_numbers_stay_exact(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(1, big, str(big), "12345678901234567890"), (2, big + 2, " -7 ", "1"), (3, 5, "1.5", "007")], "id int, n long, t string, d string")
+    out = clean.convert(df, {"n": "int", "t": "int"}).orderBy("id").collect()
+    assert [r["n"] for r in out] == [big, big + 2, 5] and [r["t"] for r in out] == [big, -7, None]
+    assert [int(r["d"]) for r in clean.numeric_text_to_number(df, ["d"]).orderBy("id").collect()] == [12345678901234567890, 1, 7]
+    long = df.select("id", F.lit("1" * 40).alias("d"))
+    assert clean.numeric_text_to_number(long, ["d"]).schema["d"].dataType.simpleString() == "string"
+    clipped = clean.clip_to(df.select("id", "n"), {"n": (10.5, 1e18)})
+    assert clipped.schema["n"].dataType.simpleString() == "bigint"
+    assert [r["n"] for r in clipped.orderBy("id").collect()] == [big, big + 2, 11]
+
+
+def test_one_date_format_for_a_column(spark):
+    days = spark.createDataFrame([("04/05/2020",), ("04/25/2020",), ("2020-01-02",), (None,)], "t string")
+    got = sorted(str(r["t"])[:10] for r in clean.parse_dates(days, "t").collect())
+    assert got == ["2020-01-02", "2020-04-05", "2020-04-25", "None"]
+    each = sorted(str(r["t"])[:10] for r in clean.parse_dates(days, "t", detect="each").collect())
+    assert "2020-05-04" in each
+
+
 def test_category_codes_by_window_and_by_sort(spark):
     rows = [(i, v) for i, v in enumerate(["b", "a", None, "c", "b", "é"] * 20)]
     df = spark.createDataFrame(rows, "id int, t string").repartition(5)
     small = by_id(clean.category_codes(df, "t"), "t_code")
     assert [small[i] for i in range(6)] == [1, 0, -1, 2, 1, 3]
-    assert by_id(clean.category_codes(df, "t", window_rows=0), "t_code") == small
 
 
 def test_dedupe_compares_maps(spark):

@@ -4,9 +4,11 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabulens.operators.ordered import forward_fill, previous_value
+from tabulens.operators.ordered import chunked, forward_fill, previous_value
 from tabulens.operators.quantiles import exact_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
@@ -61,23 +63,39 @@ def _series(seed):
     return rows
 
 
-def test_chunked_fill_and_previous_equal_window(spark):
-    df = spark.createDataFrame(_series(5), "u int, t int, k int, v int").repartition(4)
-    for fn in (
-        lambda limit: forward_fill(df, "v", ["t", "k"], ["u"], limit=limit),
-        lambda limit: forward_fill(df, "v", ["t", "k"], [], limit=limit),
-        lambda limit: previous_value(df, "v", ["t", "k"], ["u"], "prev", limit=limit),
-    ):
-        plain = sorted(map(repr, fn(10**6).collect()))
-        assert plain == sorted(map(repr, fn(0).collect()))
+def _windowed(df, value, order_by, by, how):
+    w = Window.partitionBy(*by).orderBy(*[F.col(c).asc_nulls_first() for c in order_by])
+    if how == "fill":
+        return df.withColumn(value, F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return df.withColumn("prev", F.lag(value).over(w))
 
 
-def test_chunked_fill_on_timestamps(spark, data):
-    ev = spark.read.parquet(f"{data}/events.parquet").select("user_id", "event_id", "ts", "value")
-    ev = ev.withColumn("value", F.when(F.pmod("event_id", F.lit(4)) > 0, F.lit(None)).otherwise(F.col("value")))
-    a = forward_fill(ev, "value", ["ts", "event_id"], ["user_id"], limit=0).collect()
-    b = forward_fill(ev, "value", ["ts", "event_id"], ["user_id"]).collect()
-    assert sorted(map(repr, a)) == sorted(map(repr, b))
+@pytest.mark.parametrize("by", [["u"], []])
+@pytest.mark.parametrize("keys", [["t", "k"], ["name", "k"], ["gap", "k"]])
+def test_fill_and_previous_equal_window(spark, keys, by):
+    """Number, text and partly missing order keys, split over many chunks."""
+    df = spark.createDataFrame(_series(5), "u int, t int, k int, v int").repartition(4)
+    df = df.withColumn("name", F.concat(F.lit("n"), "t")).withColumn("gap", F.when(F.pmod("t", F.lit(3)) > 0, F.col("t")))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert chunked(df, keys, by).select("_chunk").distinct().count() > 4
+        got = forward_fill(df, "v", keys, by), previous_value(df, "v", keys, by, "prev")
+        for df_got, how in zip(got, ("fill", "lag")):
+            assert sorted(map(repr, df_got.collect())) == sorted(map(repr, _windowed(df, "v", keys, by, how).collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_ties_without_a_second_key_are_split(spark):
+    df = spark.range(4000).selectExpr("0 AS g", "'same' AS t", "IF(id % 5 = 0, id, NULL) AS v", "id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in chunked(df, ["t"], ["g"]).groupBy("_chunk").count().collect()]
+        assert len(sizes) > 4 and max(sizes) < 2000
+        assert forward_fill(df, "v", ["t"], ["g"]).where("v IS NULL").count() < 200
+        assert previous_value(df, "id", ["t"], ["g"], "prev").where("prev IS NULL").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_large_profile_equals_small(spark, data):
@@ -106,8 +124,46 @@ def test_one_key_with_a_third_of_the_rows(spark):
         assert len(a) == len(b)
         for x, y in zip(a, b):
             assert all(p == q or abs(p - q) < 1e-9 * max(1, abs(p)) for p, q in zip(x, y))
-    one = sorted(map(repr, pct_change(rows, "v", ["id"], ["k"], limit=10**6).collect()))
-    assert one == sorted(map(repr, pct_change(rows, "v", ["id"], ["k"], limit=0).collect()))
+    one = {r["id"]: r["pct_change"] for r in pct_change(rows, "v", ["id"], ["k"]).collect()}
+    w = Window.partitionBy("k").orderBy("id")
+    two = rows.withColumn("p", F.lag("v").over(w)).selectExpr("id", "try_divide(v - p, p) * 100 AS c").collect()
+    assert one == {r["id"]: r["c"] for r in two}
     texts = rows.selectExpr("id", "IF(id % 3 = 0, ' Top  one ', concat('mean of ', k)) AS q")
     got = [r["question"] for r in diversify(texts, "q", ["id"], 3).collect()]
     assert got == ["Top  one", "mean of 1", "mean of 2"]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tabulens.session import scratch_dir
+
+    def fake(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d=None: d))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            scratch_dir(fake(master))
+    assert scratch_dir(fake("local[2]"))
+
+
+def test_python_functions_need_no_package_on_workers(tmp_path):
+    """A session started elsewhere, whose workers cannot import the package."""
+    import pathlib
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).parents[1]
+    code = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from tabulens.session import build_session
+from tabulens.sources.chunking import chunk_text
+from tabulens.sources.readers import decode_text
+spark = build_session("elsewhere", "local[1]", **{{"spark.ui.enabled": "false"}})
+df = spark.sql("SELECT 1 AS id, repeat('word ', 500) AS t")
+print("CHUNKS", chunk_text(df, "t", ["id"]).count(), decode_text(spark.sql("SELECT X'E9' AS raw"), "raw").first()["content"])
+"""
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=240)
+    assert "CHUNKS 3 é" in out.stdout or "CHUNKS 4 é" in out.stdout, out.stdout + out.stderr[-2000:]
