@@ -408,6 +408,13 @@ def x01(spark, sf):
     return rounded(found, 5)
 
 
+@query("x01_nearest_text_ids", "SELECT 'c' || label AS label, rank, lpad(vec_id::VARCHAR, 6, '0') AS vec_id, distance FROM (" + _CENTRES.format(d="list_distance(c.centre, e.v)") + ")")
+def x01_text(spark, sf):
+    rows = table(spark, sf, "embeddings").select(F.lpad(F.col("vec_id").cast("string"), 6, "0").alias("vec_id"), "embedding")
+    centres = _centres(spark, sf).select(F.concat(F.lit("c"), "label").alias("label"), "centre")
+    return rounded(top_k(rows, centres, "vec_id", "embedding", "label", "centre"), 5)
+
+
 @query("x01_nearest_cosine", _CENTRES.format(d="(1 - list_cosine_similarity(c.centre, e.v))"))
 def x01_cosine(spark, sf):
     found = top_k(table(spark, sf, "embeddings"), _centres(spark, sf), "vec_id", "embedding", "label", "centre", metric="cosine")

@@ -110,6 +110,20 @@ def k08(spark, sf):
     return clean.forward_fill(rows, "ts", ["event_id"], ["user_id"])
 
 
+@query(
+    "k08_forward_fill_text_key",
+    f"""
+    SELECT event_id, last_value(ts IGNORE NULLS) OVER (ORDER BY event_type, lpad(event_id::VARCHAR, 9, '0')
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ts
+    FROM (SELECT event_type, event_id, {_GAPPY_TS} FROM events)
+    """,
+)
+def k08_text(spark, sf):
+    """One group, in the order of text keys."""
+    rows = table(spark, sf, "events").selectExpr("event_type", "event_id", "lpad(event_id, 9, '0') AS k", _GAPPY_TS)
+    return clean.forward_fill(rows, "ts", ["event_type", "k"]).select("event_id", "ts")
+
+
 def _iqr(c, source):
     return f"(SELECT quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS lo, quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)) AS hi FROM {source})"
 
@@ -243,6 +257,14 @@ def k20(spark, sf):
     return clean.convert(table(spark, sf, "part").selectExpr("p_partkey", _SIZE_TEXT), {"size": "int"})
 
 
+@query("k20_exact_integers", "SELECT l_linenumber, l_orderkey + 9007199254740992 AS as_text, l_orderkey + 9007199254740992 AS as_long FROM lineitem")
+def k20_exact(spark, sf):
+    """Keys that a double cannot hold."""
+    key = F.col("l_orderkey") + F.lit(9007199254740992)
+    rows = table(spark, sf, "lineitem").select(F.col("l_linenumber"), key.cast("string").alias("as_text"), key.alias("as_long"))
+    return clean.convert(rows, {"as_text": "int", "as_long": "int"})
+
+
 @query(
     "k21_to_float",
     "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN p_size + CAST(0.5 AS DOUBLE) ELSE p_size END AS size FROM part",
@@ -282,6 +304,13 @@ def k24(spark, sf):
     return clean.parse_dates(table(spark, sf, "orders").select("o_orderkey", text.alias("placed")), "placed")
 
 
+@query("k24_month_first", "SELECT o_orderkey, date_trunc('day', o_orderdate) AS placed FROM orders")
+def k24_month(spark, sf):
+    """Ambiguous days are read as the other days of the column demand."""
+    rows = table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("placed"))
+    return clean.parse_dates(rows, "placed")
+
+
 @query(
     "k24_parse_dates_one_format",
     "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderdate END AS placed FROM orders",
@@ -292,6 +321,13 @@ def k24_first(spark, sf):
     return clean.parse_dates(table(spark, sf, "orders").select("o_orderkey", text.alias("placed")), "placed", detect="first")
 
 
+@query("k25_long_digits", "SELECT o_orderkey, CAST('9999999999999' || lpad(o_orderkey::VARCHAR, 9, '0') AS DECIMAL(38,0)) AS code FROM orders")
+def k25_long(spark, sf):
+    """Numbers of 22 digits."""
+    code = F.concat(F.lit("9999999999999"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"))
+    return clean.numeric_text_to_number(table(spark, sf, "orders").select("o_orderkey", code.alias("code")))
+
+
 @query("k25_digits_to_number", "SELECT p_partkey, p_brand, CAST(p_size AS BIGINT) AS size FROM part")
 def k25(spark, sf):
     rows = table(spark, sf, "part").select("p_partkey", "p_brand", F.col("p_size").cast("string").alias("size"))

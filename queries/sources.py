@@ -86,6 +86,38 @@ def s05_count(spark, sf):
     return bad_line_count(spark, _partly_bad(spark, sf))
 
 
+@query("s05_bad_first_line", _EVENTS_SQL)
+def s05_first(spark, sf):
+    """Every file starts with a line that is no record."""
+    path = scratch_path(spark, "first")
+    rows = table(spark, sf, "events").select((F.col("event_id") % 8).alias("p"), "event_id", F.to_json(F.struct(*_EVENTS)).alias("value"))
+    bad = spark.range(8).select(F.col("id").alias("p"), F.lit(-1).cast("long").alias("event_id"), F.lit("[1]").alias("value"))
+    rows.unionByName(bad).repartition(8, "p").sortWithinPartitions("p", "event_id").select("value").write.text(path)
+    return read_json(spark, path, on_bad="skip").select(*_EVENTS)
+
+
+@query(
+    "s05_keep_bad_lines",
+    """SELECT CASE WHEN event_id % 9 <> 0 THEN event_id END AS event_id, CASE WHEN event_id % 9 = 0 THEN '{"event_id": 1, "user' END AS bad FROM events""",
+)
+def s05_keep(spark, sf):
+    schema = f"{_EVENTS_SCHEMA}, _corrupt_record string"
+    return read_json(spark, _partly_bad(spark, sf), on_bad="keep", schema=schema).selectExpr("event_id", "_corrupt_record AS bad")
+
+
+@query("s02_read_json_mixed_folder", _EVENTS_SQL)
+def s02_mixed(spark, sf):
+    """Some files hold lines, some one array."""
+    path = scratch_path(spark, "mixed")
+    events = table(spark, sf, "events")
+    lines = events.where("event_id % 3 > 0").select(F.to_json(F.struct(*_EVENTS)).alias("value"), F.lit(-1).alias("part"))
+    lines.write.partitionBy("part").text(path)
+    part = F.floor(F.col("event_id") / _ARRAY_ROWS).alias("part")
+    arrays = events.where("event_id % 3 = 0").groupBy(part).agg(F.to_json(F.collect_list(F.struct(*_EVENTS))).alias("value"))
+    arrays.write.mode("append").partitionBy("part").text(path)
+    return read_json(spark, path).select(*_EVENTS)
+
+
 @query("s06_unwrap_envelope", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def s06(spark, sf):
     rows = F.collect_list(F.struct("o_orderkey", "o_custkey", "o_totalprice"))
@@ -98,6 +130,24 @@ def s07(spark, sf):
     return chunk_text(table(spark, sf, "documents"), "text", ["doc_id"])
 
 
+@query(
+    "s07_chunk_cover",
+    r"""
+    SELECT doc_id, CAST(len(list_distinct(regexp_extract_all(text, '\S+'))) AS BIGINT) AS words, TRUE AS within_size
+    FROM documents WHERE regexp_matches(text, '\S')
+    """,
+)
+def s07_cover(spark, sf):
+    """All words of a text are in its chunks, and no chunk is too long."""
+    chunks = chunk_text(table(spark, sf, "documents"), "text", ["doc_id"])
+    words = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(\S+)"))))
+    return (
+        chunks.select("doc_id", (F.col("length") <= 1000).alias("fits"), words.alias("word"))
+        .groupBy("doc_id", "word").agg(F.bool_and("fits").alias("fits"))
+        .groupBy("doc_id").agg(F.count("*").alias("words"), F.bool_and("fits").alias("within_size"))
+    )
+
+
 @query(
     "s08_chunk_text_fixed",
     r"""
@@ -178,3 +228,18 @@ _PART5 = ("p_partkey", "p_name", "p_brand", "p_type", "p_size")
 )
 def s14(spark, sf):
     return sample_values(table(spark, sf, "part"), max_cols=5)
+
+
+@query(
+    "s14_sample_values_all",
+    union_sql(
+        [
+            f"""SELECT * FROM (SELECT '{c}' AS "column", value, CAST(row_number() OVER (ORDER BY value) AS INT) AS rank
+            FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS value FROM supplier)) WHERE rank <= 2"""
+            for c in ("s_suppkey", "s_name", "s_nationkey", "address")
+        ]
+    ).replace("CAST(address AS VARCHAR)", "CAST(s_suppkey + 7 AS VARCHAR)"),
+)
+def s14_all(spark, sf):
+    rows = table(spark, sf, "supplier").selectExpr("s_suppkey", "s_name", "s_nationkey", "s_suppkey + 7 AS address")
+    return sample_values(rows, 2)
