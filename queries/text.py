@@ -136,6 +136,27 @@ def t11(spark, sf):
     return ts.extract_questions(rows, "said", ["conv_id", "turn"])
 
 
+_ASKED = "concat('1. What patterns explain ', role, ' sales and the trend of turn ', turn, '?\n2. Tell me about the impact on sales in detail?\n3. ', question)"
+
+
+@query("t11_extract_strict")
+def t11_strict(spark, sf):
+    """The patterns look ahead, which DuckDB's cannot."""
+    rows = questions(spark, sf).selectExpr("conv_id", "turn", f"{_ASKED.replace(chr(10), chr(92) + 'n')} AS said")
+    return ts.extract_questions(rows, "said", ["conv_id", "turn"], strict=True)
+
+
+@query(
+    "t11_numbered_lines",
+    rf"""WITH s AS (SELECT conv_id, turn, {_ASKED.replace(chr(10), "' || chr(10) || '")} AS said FROM ({QUESTION_SQL})),
+    f AS (SELECT conv_id, turn, regexp_extract_all(said, '\d+\.\s*(.+)', 1) AS l FROM s)
+    SELECT conv_id, turn, CAST(generate_subscripts(l, 1) - 1 AS INT) AS position, unnest(l) AS line FROM f""",
+)
+def t11_numbered(spark, sf):
+    said = F.expr(_ASKED.replace(chr(10), chr(92) + "n"))
+    return questions(spark, sf).select("conv_id", "turn", F.posexplode(ts.numbered_lines(said)).alias("position", "line"))
+
+
 _ANSWER = """concat(CASE (conv_id + turn) % 5 WHEN 0 THEN 'The analysis shows that the average total is highest here. '
   WHEN 1 THEN 'Based on the data the trend and the correlation are significant, growth follows. '
   WHEN 2 THEN 'Unfortunately there is insufficient data, I would need more. ' WHEN 3 THEN 'Yes ' ELSE '' END, text)"""

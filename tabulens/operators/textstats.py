@@ -211,6 +211,7 @@ ANALYTICAL_TERMS = (
 PLAIN_PHRASES = (
     "what is", "tell me about", "describe", "explain the basic", "what are some", "give me", "list the", "show me",
 )
+# Numbering and bullets in front of a question, and the words that open one.
 _NUMBERING = r"^\d+\.\s*|^[-•*]\s*"
 _QUESTION_WORDS = ("what", "how", "why", "which", "where", "when")
 

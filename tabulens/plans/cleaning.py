@@ -142,9 +142,10 @@ def apply_plan(df: DataFrame, plan: CleaningPlan, limit: int | None = None) -> t
     rows += handled
 
     if plan.text_columns and plan.text_steps:
-        steps = ["remove_stopwords" if s == "lemmatize" else s for s in plan.text_steps]
+        # There is no lemmatiser: the report names the steps that ran.
+        steps = list(dict.fromkeys("remove_stopwords" if s == "lemmatize" else s for s in plan.text_steps))
         out = clean.clean_text(out, plan.text_columns, steps, null_as="None" if plan.compat else None)
-        rows += [("text", c, "cleaned", None, ",".join(plan.text_steps)) for c in plan.text_columns]
+        rows += [("text", c, "cleaned", None, ",".join(steps)) for c in plan.text_columns]
 
     types = {**{c: "datetime" for c in plan.date_columns}, **plan.manual_types}
     if types:
