@@ -11,8 +11,8 @@ percent or more are linked; a component keeps its smallest id.
 3. In every node the smallest id is compared with all others. Candidates that pass the sketch and the size ratio are
    confirmed on full sets, and confirmed links are contracted to components.
 4. Sets of a node that are in one component need no further comparison. What is left of small nodes is compared
-   exhaustively, large nodes that still mix components branch further, and what is large after ``DEPTHS`` is compared
-   exhaustively in blocks. Nothing is capped.
+   exhaustively, large nodes that still mix components branch further. What is large after the last of ``DEPTHS`` is
+   compared as full sets in blocks: those outside the largest component with all. Nothing is capped.
 
 Two sets with similarity of exactly 0.8 meet in a given tree with probability 0.64 at depth 3 and 0.44 at depth 7, so all
 ``TREES`` miss them with 5e-6 and 1e-3; closer pairs are missed far less. Sketches cut pairs at five standard deviations.
@@ -31,6 +31,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -43,7 +44,7 @@ WIDTH = 5
 SIMILARITY = 80
 COORDS = 64
 TREES = 12
-DEPTHS = (3, 5, 7)
+DEPTHS = (3, 7)
 SMALL = 64
 GROUP = 256
 #: A table of candidate ids is broadcast to the scan of the texts up to this many rows (about 30 MB); beyond, both are shuffled.
@@ -193,15 +194,21 @@ def _confirming(width: int):
     return confirm
 
 
+def _with_texts(need: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of need, which has a column doc, with the texts."""
+    need = materialized(need, "need")
+    if need.count() <= BROADCAST_ROWS:
+        need = F.broadcast(need)
+    return docs.select(col(doc_id).cast("long").alias("doc"), col(text).cast("string").alias("text")).join(need, "doc")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets are similar. Each text travels once for each group it is in."""
     salted = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").withColumn("part", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / GROUP)))
     salted = salted.withColumn("g", F.xxhash64("a", "part"))
     hubs = salted.select("g", "a").distinct().select("g", "a", F.col("a").alias("doc"), F.lit(False).alias("member"))
-    need = materialized(salted.select("g", "a", F.col("b").alias("doc"), F.lit(True).alias("member")).unionByName(hubs), "need")
-    if need.count() <= BROADCAST_ROWS:
-        need = F.broadcast(need)
-    texts = docs.select(col(doc_id).cast("long").alias("doc"), col(text).cast("string").alias("text")).join(need, "doc")
+    need = salted.select("g", "a", F.col("b").alias("doc"), F.lit(True).alias("member")).unionByName(hubs)
+    texts = _with_texts(need, docs, doc_id, text)
     dealt = texts.select("g", "a", "doc", "member", "text").repartition("g").sortWithinPartitions("g", "a", "member")
     return dealt.mapInArrow(_confirming(width), "a long, b long").distinct()
 
@@ -220,12 +227,88 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _comparing(width: int):
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        """Pairs of one cell (x, y, or both on either side) whose hashed sets are similar and whose labels differ."""
+        hashes = WordHashes()
+        sets = [hashed_set(words_of(t), width, hashes) for t in cell["text"]]
+        sizes, label, doc = np.array(list(map(len, sets))), cell["label"].to_numpy(), cell["doc"].to_numpy()
+        x, y = np.flatnonzero(cell["left"]), np.flatnonzero(~cell["left"])
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []})
+        # Items that both sides hold, as columns of one matrix for each side, so many columns at a time.
+        shared = np.intersect1d(np.concatenate([sets[i] for i in x]), np.concatenate([sets[i] for i in y]))
+        both = np.zeros((len(x), len(y)), np.float32)
+        for start in range(0, len(shared), 4096):
+            items = shared[start : start + 4096]
+
+            def rows(side: np.ndarray) -> np.ndarray:
+                out = np.zeros((len(side), len(items)), np.float32)
+                for r, i in enumerate(side):
+                    mine = sets[i]
+                    out[r, np.searchsorted(items, mine[np.isin(mine, items)])] = 1
+                return out
+
+            both += rows(x) @ rows(y).T
+        union = sizes[x][:, None] + sizes[y][None, :] - both
+        r, c = np.nonzero((100 * both >= SIMILARITY * union) & (both > 0) & (label[x][:, None] != label[y][None, :]))
+        return pd.DataFrame({"a": doc[x[r]], "b": doc[y[c]]})
+
+    return compare
+
+
+def _families(large: DataFrame) -> DataFrame:
+    """doc, label, family for the documents of nodes that stayed large: nodes with a document in common are one family."""
+    low = large.groupBy("node").agg(F.min("doc").alias("a"))
+    families = components(large.join(low, "node").select("a", F.col("doc").alias("b")).distinct()).withColumnRenamed("label", "family")
+    return materialized(large.select("doc", "label").distinct().join(families, "doc"), "families")
+
+
+def _between_families(pairs: DataFrame, families: DataFrame) -> DataFrame:
+    """The pairs that are not within one family."""
+    for side in ("a", "b"):
+        pairs = pairs.join(families.select(F.col("doc").alias(side), F.col("family").alias(f"of_{side}")), side, "left")
+    return pairs.where("of_a IS NULL OR of_b IS NULL OR of_a <> of_b").select("a", "b")
+
+
+def _apart_in_families(members: DataFrame, docs: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
+    """Similar pairs (a, b) between components of a family, found by comparing sets in blocks.
+
+    The documents outside its largest component are compared with all, in cells of at most ``GROUP`` documents on a side.
+    """
+    main = members.groupBy("family", "label").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
+    sizes = members.join(main, "family").groupBy("family").agg(
+        F.first("main").alias("main"), F.ceil(F.count("*") / GROUP).alias("ys"), F.ceil(F.count_if(F.col("label") != F.col("main")) / GROUP).alias("xs"),
+    )
+    placed = members.join(sizes, "family")
+    xs, ys = F.sequence(F.lit(0).cast("long"), F.col("xs") - 1), F.sequence(F.lit(0).cast("long"), F.col("ys") - 1)
+    here = placed.where(F.col("label") != F.col("main")).select("family", "doc", "label", F.lit(True).alias("left"), F.pmod(F.xxhash64("doc"), "xs").alias("xb"), F.explode(ys).alias("yb"))
+    there = placed.select("family", "doc", "label", F.lit(False).alias("left"), F.explode(xs).alias("xb"), F.pmod(F.xxhash64("doc"), "ys").alias("yb"))
+    texts = _with_texts(here.unionByName(there), docs, doc_id, text)
+    return texts.groupBy("family", "xb", "yb").applyInPandas(_comparing(width), "a long, b long").distinct()
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Labels of components with more links: only links between components are looked at, as links of their labels."""
+    if labels is None:
+        return components(links)
+    ends, outer = links, ("a", "b")
+    for side in outer:
+        ends = ends.join(labels.select(F.col("doc").alias(side), F.col("label").alias(f"of_{side}")), side, "left")
+    ends = materialized(ends.select("a", "b", *(F.coalesce(f"of_{x}", x).alias(f"of_{x}") for x in outer)), "ends")
+    between = ends.where("of_a <> of_b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct()
+    joined = components(between).select(F.col("doc").alias("label"), F.col("label").alias("low"))
+    fresh = ends.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(labels, "doc", "left_anti").withColumn("label", F.col("doc"))
+    return materialized(labels.unionByName(fresh).join(joined, "label", "left").select("doc", F.coalesce("low", "label").alias("label")), "labels")
+
+
 def near_components(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, size, component for every row of docs."""
     sigs = materialized(signatures(docs, width, doc_id, text), "signatures")
     classes = sigs.where("doc IS NOT NULL AND size > 0").groupBy("set_key").agg(F.min("doc").alias("doc"), F.first("size").alias("size"), F.first("sig").alias("sig"))
     classes = materialized(classes, "classes")
-    links, labels = None, None
+    labels: DataFrame | None = None
+    links: DataFrame | None = None  # confirmed, and not in the labels yet
     tested: DataFrame | None = None
     rows = classes.select("doc", "size", "sig").mapInArrow(_nodes(DEPTHS[0], False), _NODE_ROWS)
     for level, depth in enumerate(DEPTHS):
@@ -233,37 +316,52 @@ def near_components(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
         members = materialized(rows.join(pivots, "node").withColumn("near", alike(F.col("pivot"), F.struct("size", "s1", "s2"))), "members")
 
         def try_pairs(pairs: DataFrame) -> None:
-            nonlocal links, labels, tested
+            nonlocal links, tested
             pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
             pairs = materialized(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
             tested = pairs if tested is None else tested.unionByName(pairs)
             if not pairs.isEmpty():
                 found = materialized(confirmed(pairs, docs, width, doc_id, text), "found")
                 links = found if links is None else links.unionByName(found)
-                labels = components(links)
 
-        try_pairs(members.where("near").select(F.col("pivot.doc").alias("a"), F.col("doc").alias("b")))
+        def settle() -> None:
+            nonlocal links, labels
+            if links is not None:
+                labels, links = merged(labels, links), None
+
+        def apart(pairs: DataFrame) -> DataFrame:
+            """The pairs that no confirmed links connect yet."""
+            if labels is None:
+                return pairs
+            for side in ("a", "b"):
+                pairs = pairs.join(labels.select(F.col("doc").alias(side), F.col("label").alias(f"of_{side}")), side, "left")
+            return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+
+        # Each set first meets the smallest id of all its nodes, which settles most, and then the others.
+        star = members.where("near").select(F.col("pivot.doc").alias("a"), F.col("doc").alias("b")).where("a <> b").distinct()
+        star = materialized(star, "star")
+        try_pairs(star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        settle()
+        try_pairs(apart(star))
+        settle()
         named = members.select("node", "doc", "size", "s1", "s2", "n")
         named = named.withColumn("label", F.col("doc")) if labels is None else named.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
         one = F.struct("doc", "size", "s1", "s2", "label")
         small = named.where(F.col("n") <= SMALL).groupBy("node").agg(F.collect_list(one).alias("m"))
-        apart = F.flatten(F.transform("m", lambda x: F.transform(
+        unlinked = F.flatten(F.transform("m", lambda x: F.transform(
             F.filter("m", lambda y: (y["doc"] > x["doc"]) & (y["label"] != x["label"]) & alike(x, y)), lambda y: F.struct(x["doc"].alias("a"), y["doc"].alias("b")),
         )))
-        left = small.where(F.size("m") > 1).select(F.explode(apart).alias("p")).select("p.*")
+        left = small.where(F.size("m") > 1).select(F.explode(unlinked).alias("p")).select("p.*")
         large = named.where(F.col("n") > SMALL)
         mixed = large.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("node")
         large = materialized(large.join(mixed, "node"), "large")
         more = not large.isEmpty()
         if more and level == len(DEPTHS) - 1:
-            blocks = F.ceil(F.col("n") / SMALL)
-            here = large.select("node", F.pmod(F.xxhash64("doc"), blocks).alias("block"), one.alias("x"))
-            there = large.select("node", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), one.alias("y"))
-            x, y = F.col("x"), F.col("y")
-            met = here.join(there, ["node", "block"]).where((x["doc"] < y["doc"]) & (x["label"] != y["label"]) & alike(x, y))
-            left = left.unionByName(met.select(x["doc"].alias("a"), y["doc"].alias("b")))
+            families = _families(large)
+            left = _between_families(left, families).unionByName(_apart_in_families(families, docs, width, doc_id, text))
         try_pairs(left)
         if not more or level == len(DEPTHS) - 1:
+            settle()
             break
         deeper = large.select("node", "doc").join(classes.select("doc", "size", "sig"), "doc")
         rows = deeper.mapInArrow(_nodes(DEPTHS[level + 1] - depth, True), _NODE_ROWS)
@@ -271,7 +369,7 @@ def near_components(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id",
     if labels is not None:
         of_class = of_class.join(labels.withColumnRenamed("doc", "class"), "class", "left").select("set_key", F.coalesce("label", "class").alias("class"))
     out = sigs.select("doc", "size", "set_key").join(of_class, "set_key", "left")
-    return out.select("doc", "size", F.coalesce("class", "doc").alias("component"))
+    return out.select("doc", "size", F.when(F.col("doc").isNotNull(), F.coalesce("class", "doc")).alias("component"))
 
 
 def near_report(docs: DataFrame, width: int = WIDTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
