@@ -35,7 +35,7 @@ PERIOD = 1000
 BLOCK = 16
 MAX_EPOCHS = 4
 POWER = 0.7
-CHUNK_ROWS = 10_000
+CHUNK_ROWS = 2_000
 #: The table of sources is broadcast up to this many rows, joined by a shuffle beyond.
 BROADCAST_SOURCES = 5_000
 
@@ -55,9 +55,9 @@ def shares(docs: DataFrame, weights: Mapping[str | None, float] | None, source:
         given = [("null" if k is None else f"={k}", float(v)) for k, v in weights.items()]
         counts = counts.join(F.broadcast(docs.sparkSession.createDataFrame(given, "src string, w double")), "src", "left")
         counts = counts.withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(F.raise_error(F.concat(F.lit("no weight above zero for source "), F.col("src")))))
-    total = counts.agg(F.sum("w").alias("total"))
-    exact = counts.join(F.broadcast(total)).select("src", "n", (F.col("w") / F.col("total") * period).alias("slots"))
-    return exact.select("src", "n", F.greatest(F.lit(1), F.round("slots")).cast("long").alias("a"))
+    counts = materialized(counts, "weights")
+    total = counts.agg(F.sum("w")).first()[0]
+    return counts.select("src", "n", F.greatest(F.lit(1), F.round(F.col("w") / F.lit(total) * period)).cast("long").alias("a"))
 
 
 def earliest_deadline_first(table: DataFrame) -> DataFrame:
