@@ -32,7 +32,9 @@ from pyspark.sql.functions import pandas_udf
 from tabulens.llm.common import col
 from tabulens.session import materialized
 
-EPSILON = 2.5
+EPSILON = 1.9
+#: The best ``FIRST * k`` estimates are measured to find the score a result must reach.
+FIRST = 6
 ROW_BLOCK = 8192
 QUERY_BLOCK = 2048
 SEED = 11
@@ -79,7 +81,10 @@ def index(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding")
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+    if len(scores) > k:
+        at = np.flatnonzero(scores >= np.partition(scores, -k)[-k])
+        return at[np.lexsort((ids[at], -scores[at]))[:k]]
+    return np.lexsort((ids, -scores))
 
 
 def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int, epsilon: float) -> pd.DataFrame:
@@ -102,13 +107,15 @@ def _search(rows: pd.DataFrame, queries: pd.DataFrame, k: int, epsilon: float) -
         estimate[own[part, None] == ids] = -np.inf
         for i, e in enumerate(estimate):
             j = start + i
-            first = np.argpartition(-e, k - 1)[:k] if len(e) > k else np.arange(len(e))
+            first = np.argpartition(e, -FIRST * k)[-FIRST * k :] if len(e) > FIRST * k else np.arange(len(e))
             first = first[ids[first] != own[j]]
             if not len(first):
                 continue
-            reach = (x[first] @ q[j]).min() if len(first) >= k else -np.inf
-            chosen = np.flatnonzero((e + slack * q_length[j] >= reach) & (ids != own[j]))
-            chosen = np.union1d(chosen, first)
+            measured = x[first] @ q[j]
+            reach = np.partition(measured, -k)[-k] if len(first) >= k else -np.inf
+            within = e + slack * q_length[j] >= reach
+            within[first] = True
+            chosen = np.flatnonzero(within & (ids != own[j]))
             exact = x[chosen] @ q[j]
             best = _top(exact, ids[chosen], k)
             found.append((np.full(len(best), own[j]), ids[chosen][best], exact[best]))
