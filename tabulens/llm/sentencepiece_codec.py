@@ -5,8 +5,8 @@ first, and each relaxes the best score of that position. A character without a p
 score of the worst single character less ten, and is written as byte pieces. Of equal scores the longer last piece wins.
 
 A space becomes U+2581 and a text gets one in front, as the model's vocabulary expects; U+2581 itself is written as byte
-pieces. So decoding returns every text exactly. No piece goes on into a new word, hence texts are searched word by word and
-the results for short words are remembered; where a vocabulary has such pieces, whole texts are searched.
+pieces. So decoding returns every text exactly. Texts are searched in parts that no piece of the vocabulary reaches across
+(whole texts, if there are none), and the results for short parts are remembered.
 
 The model file is read on the driver (its path is a parameter); the pieces, one vocabulary in size, travel as a broadcast.
 
@@ -20,12 +20,11 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -33,6 +32,9 @@ from tabulens.llm.common import col, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+_NEVER = float("-inf")
+_UNKNOWN = (1, 0.0, -1)
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass(frozen=True)
@@ -53,12 +55,35 @@ class Pieces:
         return cls(ordinary, tuple(named[f"<0x{b:02X}>"] for b in range(256)))
 
 
-class Codec:
-    """Encodes and decodes texts; remembers the tokens of short words up to a bound."""
+class _Remembered(dict):
+    """Packed ids of parts of texts; short parts are kept, up to a bound."""
 
-    REMEMBERED = 300_000
+    KEPT = 400_000
     SHORT = 48
 
+    def __init__(self, search):
+        super().__init__()
+        self.search = search
+
+    def __missing__(self, part: str) -> bytes:
+        found = np.array(self.search(part), np.int32).tobytes()
+        if len(part) <= self.SHORT:
+            if len(self) >= self.KEPT:
+                self.clear()
+            self[part] = found
+        return found
+
+
+class _Absent(dict):
+    """Bytes of pieces; none for other ids."""
+
+    def __missing__(self, i: int) -> bytes:
+        return b""
+
+
+class Codec:
+    """Encodes and decodes texts."""
+
     def __init__(self, pieces: Pieces):
         self.bytes = pieces.byte_ids
         self.automaton = ahocorasick.Automaton()
@@ -67,65 +92,68 @@ class Codec:
         self.automaton.make_automaton()
         self.single = {p for p, _, _ in pieces.ordinary if len(p) == 1}
         self.unknown = min((s for p, s, _ in pieces.ordinary if len(p) == 1), default=0.0) - 10.0
-        whole = any(SPACE in p.lstrip(SPACE) for p, _, _ in pieces.ordinary)
-        self.words = re.compile("(?s).+" if whole else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.memory: dict[str, list[int]] = {}
-        self.raw = {i: p.replace(SPACE, " ").encode() for p, _, i in pieces.ordinary} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        self.words = re.compile(self._cut([p for p, _, _ in pieces.ordinary]))
+        self.memory = _Remembered(self.best)
+        self.literal = np.array([self.bytes[b] for b in SPACE.encode()], np.int32).tobytes()
+        self.raw = _Absent({i: p.replace(SPACE, " ").encode() for p, _, i in pieces.ordinary} | {i: bytes([b]) for b, i in enumerate(self.bytes)})
+
+    @staticmethod
+    def _cut(pieces: list[str]) -> str:
+        """A pattern for the parts of a text that no piece reaches across.
+
+        Parts start at a space, and where letters meet other characters unless a piece holds both.
+        """
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
+            return "(?s).+"
+        bare = [p.lstrip(SPACE) for p in pieces]
+        # Superscripts and the like, which are word characters without being letters, stay with what is no letter.
+        odd = "".join(sorted({c for p in bare for c in p if _LETTER.match(c) and not c.isalpha()}))
+        if any(len({bool(_LETTER.match(c)) and c not in odd for c in p}) > 1 for p in bare):
+            return f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+"
+        return rf"{SPACE}*[^\W\d_{odd}]+|{SPACE}*(?:[^\w{SPACE}]|[\d_{odd}])+|{SPACE}+"
 
     def best(self, word: str) -> list[int]:
         """The ids of the segmentation with the best sum of scores."""
         n = len(word)
-        score = [0.0] + [float("-inf")] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        at = 0
-
-        def pass_unknown(upto: int) -> None:
-            nonlocal at
-            while at < upto:
-                if word[at] not in self.single and score[at] + self.unknown > score[at + 1]:
-                    score[at + 1], back[at + 1] = score[at] + self.unknown, (at, -1)
-                at += 1
-
-        for end, (size, value, i) in self.automaton.iter(word):
-            if at < end:
-                pass_unknown(end)
-            start = end + 1 - size
-            if score[start] + value > score[end + 1]:
-                score[end + 1], back[end + 1] = score[start] + value, (start, i)
-            if size == 1 and at == end:
-                at = end + 1
-        pass_unknown(n)
-        out: list[int] = []
-        while n:
-            start, i = back[n]
-            out.extend([i] if i >= 0 else [self.bytes[b] for b in reversed(word[start:n].encode())])
-            n = start
+        # score[i] is the best up to and with character i; score[-1], the last item, is that of nothing.
+        score, back = [_NEVER] * n + [0.0], [_UNKNOWN] * n
+        unknown = () if self.single.issuperset(word) else [i for i, c in enumerate(word) if c not in self.single]
+        waiting = iter((*unknown, n))
+        odd = next(waiting)
+        for end, match in self.automaton.iter(word):
+            while odd < end:
+                if (value := score[odd - 1] + self.unknown) > score[odd]:
+                    score[odd], back[odd] = value, _UNKNOWN
+                odd = next(waiting)
+            if (value := score[end - match[0]] + match[1]) > score[end]:
+                score[end], back[end] = value, match
+        while odd < n:
+            if (value := score[odd - 1] + self.unknown) > score[odd]:
+                score[odd], back[odd] = value, _UNKNOWN
+            odd = next(waiting)
+        out, at = [], n - 1
+        while at >= 0:
+            size, _, i = back[at]
+            out.extend([i] if i >= 0 else [self.bytes[b] for b in reversed(word[at].encode())])
+            at -= size
         out.reverse()
         return out
 
-    def _remembered(self, word: str) -> list[int]:
-        known = self.memory.get(word)
-        if known is None:
-            known = self.best(word)
-            if len(word) <= self.SHORT:
-                if len(self.memory) >= self.REMEMBERED:
-                    self.memory.clear()
-                self.memory[word] = known
-        return known
-
-    def encode(self, text: str) -> list[int]:
+    def encode_packed(self, text: str) -> bytes:
+        """The token ids as 32-bit numbers."""
         if not text:
-            return []
-        out: list[int] = []
+            return b""
+        out = []
         for k, part in enumerate(text.split(SPACE)):
-            if k:
-                out.extend(self.bytes[b] for b in SPACE.encode())
             spaced = part.replace(" ", SPACE)
-            out.extend(chain.from_iterable(map(self._remembered, self.words.findall(spaced if k else SPACE + spaced))))
-        return out
+            out.append(b"".join(map(self.memory.__getitem__, self.words.findall(spaced if k else SPACE + spaced))))
+        return self.literal.join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.raw.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -137,8 +165,10 @@ def encoder(spark: SparkSession, path: str = MODEL):
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = Codec(shared.value)
         for texts in batches:
-            ids = [None if (t := x.as_py()) is None else np.array(codec.encode(t), np.int32) for x in texts]
-            yield pa.array(ids, pa.list_(pa.int32()))
+            packed = [None if (t := x.as_py()) is None else codec.encode_packed(t) for x in texts]
+            ends = np.cumsum([0, *(len(p) // 4 if p else 0 for p in packed)])
+            ids = pa.array(np.frombuffer(b"".join(p for p in packed if p), np.int32))
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids, mask=pa.array([p is None for p in packed], pa.bool_()))
 
     return encode
 
@@ -167,12 +197,12 @@ def decode_docs(docs: DataFrame, tokens: str = "tokens", text: str = "text", pat
 
 
 def codec_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = MODEL) -> DataFrame:
-    """doc_id, n_tokens, n_byte_tokens, the SHA-256 of the ids (joined by commas), and whether decoding gives the text."""
-    byte_ids: Column = F.array(*(F.lit(i) for i in Pieces.load(path).byte_ids))
+    """doc_id, n_tokens, n_byte_tokens, a 64-bit hash of the ids, and whether decoding gives the text."""
+    byte_ids = Pieces.load(path).byte_ids
     both = decode_docs(encode_docs(docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text")), path=path), text="decoded", path=path)
     return both.select(
         "doc_id", F.size(F.coalesce("tokens", F.array().cast("array<int>"))).cast("long").alias("n_tokens"),
-        F.coalesce(F.size(F.filter("tokens", lambda i: F.array_contains(byte_ids, i))), F.lit(0)).cast("long").alias("n_byte_tokens"),
-        F.sha2(F.array_join(F.coalesce("tokens", F.array().cast("array<int>")), ","), 256).alias("tokens_sha256"),
+        F.coalesce(F.size(F.filter("tokens", lambda i: i.isin(*byte_ids))), F.lit(0)).cast("long").alias("n_byte_tokens"),
+        F.xxhash64("tokens").alias("tokens_hash"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
