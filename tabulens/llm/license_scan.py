@@ -9,7 +9,9 @@ Two exact bounds come before any comparison. Size: with threshold t a match need
 at least |B| t / (2 - t) bigrams with the notice, hence one of any |B| - ceil(|B| t / (2 - t)) + 1 of them; of the rarest
 such choice the longer word of each bigram must be in the unit, so a unit without an anchor word goes unread.
 
-All of it is SQL expressions within a row: no shuffle, no Python. The notices are a constant of the plan.
+All of it is SQL expressions within a row: no shuffle, no Python. The notices are a constant of the plan: customary
+wordings, titles, and the texts of MIT, ISC, BSD, Apache, GPL, LGPL, MPL and CC0 by paragraph; of AGPL and CC what differs
+from the GPL or names the licence.
 
 Edge cases: a null or empty text, and units of fewer than two words, match nothing. Repeated rows are scanned alike. Equal
 Dice values: the notice that comes first by name. An empty table gives no rows. Other columns are not looked at.
@@ -17,6 +19,7 @@ Dice values: the notice that comes first by name. An empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Mapping
@@ -24,11 +27,12 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulens.llm import licence_texts
 from tabulens.llm.common import col
 
 DICE = 80
 
-# Customary notices of well-known licences.
+# Notices of well-known licences; WORDINGS and the paragraphs of their texts join them below.
 NOTICES = {
     "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -56,6 +60,76 @@ NOTICES = {
     "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
 
+_MIT_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_BSD_WARRANTY = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_CC = "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons {} 4.0 International Public License (\"Public License\"). To the extent this Public License may be interpreted as a contract, You are granted the Licensed Rights in consideration of Your acceptance of these terms and conditions, and the Licensor grants You such rights in consideration of benefits the Licensor receives from making the Licensed Material available under these terms and conditions."
+_CC_KINDS = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+_SPDX = "MIT ISC Apache-2.0 BSD-2-Clause BSD-3-Clause MPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 BSL-1.0 EPL-2.0 Unlicense Zlib"
+
+# Customary wordings, and the paragraphs of short licences; a paragraph of BSD-2 and BSD-3 is ``bsd-shared``.
+WORDINGS = {
+    "agpl-3.0-licensed": "Licensed under the GNU Affero General Public License v3.0.",
+    "agpl-3.0-preamble": "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",
+    "agpl-3.0-network": "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary means of facilitating copying of software.",
+    "agpl-3.0-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "agpl-title": "GNU AFFERO GENERAL PUBLIC LICENSE",
+    "apache-2.0-licensed": "Licensed under the Apache License 2.0.",
+    "apache-2.0-released": "Released under the Apache License, Version 2.0.",
+    "apache-2.0-released-short": "Released under the Apache License 2.0.",
+    "apache-2.0-short": "Licensed under Apache 2.0.",
+    "apache-2.0-project": "This project is licensed under the Apache License 2.0 - see the LICENSE file for details.",
+    "apache-2.0-title": "Apache License Version 2.0, January 2004",
+    "apache-2.0-title-short": "Apache License, Version 2.0",
+    "apache-2.0-warranty": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "bsd-2-clause-body": f"{NOTICES['bsd-2-clause']} 1. {_BSD_SOURCE} 2. {_BSD_BINARY} {_BSD_WARRANTY}",
+    "bsd-2-clause-licensed": "Licensed under the BSD 2-Clause License.",
+    "bsd-2-clause-title": "BSD 2-Clause License",
+    "bsd-3-clause": _BSD_NAMES,
+    "bsd-3-clause-body": f"{NOTICES['bsd-2-clause']} 1. {_BSD_SOURCE} 2. {_BSD_BINARY} 3. {_BSD_NAMES} {_BSD_WARRANTY}",
+    "bsd-3-clause-terms": f"{NOTICES['bsd-2-clause']} 1. {_BSD_SOURCE} 2. {_BSD_BINARY} 3. {_BSD_NAMES}",
+    "bsd-3-clause-licensed": "Licensed under the BSD 3-Clause License.",
+    "bsd-3-clause-title": "BSD 3-Clause License",
+    "bsd-licensed": "Licensed under the BSD License.",
+    "bsd-shared-binary": _BSD_BINARY,
+    "bsd-shared-source": _BSD_SOURCE,
+    "bsd-shared-warranty": _BSD_WARRANTY,
+    **{f"cc-{k}-4.0-public": _CC.format(v) for k, v in _CC_KINDS.items()},
+    **{f"cc-{k}-4.0-title": f"Creative Commons {v} 4.0 International Public License" for k, v in _CC_KINDS.items()},
+    **{f"cc-{k}-4.0-work": f"This work is licensed under a Creative Commons {v} 4.0 International License." for k, v in _CC_KINDS.items()},
+    "cc0-1.0-title": "CC0 1.0 Universal",
+    "gpl-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "gpl-2.0-licensed": "Licensed under the GNU General Public License v2.0.",
+    "gpl-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl-3.0-licensed": "Licensed under the GNU General Public License v3.0.",
+    "gpl-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "gpl-title": "GNU GENERAL PUBLIC LICENSE",
+    "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "isc-licensed": "Licensed under the ISC License.",
+    "isc-title": "ISC License",
+    "isc-warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "lgpl-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-3.0-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl-title": "GNU LESSER GENERAL PUBLIC LICENSE",
+    "mit-distributed": "Distributed under the MIT License.",
+    "mit-licensed": "Licensed under the MIT License.",
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-permission-full": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "mit-project": "This project is licensed under the MIT License - see the LICENSE file for details.",
+    "mit-project-short": "This project is licensed under the MIT License.",
+    "mit-title": "MIT License",
+    "mit-title-long": "The MIT License (MIT)",
+    "mit-title-the": "The MIT License",
+    "mit-warranty": _MIT_WARRANTY,
+    "mpl-2.0-licensed": "Licensed under the Mozilla Public License 2.0.",
+    "mpl-2.0-title": "Mozilla Public License Version 2.0",
+    **{f"{k.lower()}-spdx": f"SPDX-License-Identifier: {k}" for k in _SPDX.split()},
+}
+NOTICES |= WORDINGS | licence_texts.PARAGRAPHS
+
 
 def bigrams_of(text: str) -> list[str]:
     """The distinct word bigrams of a text, in order."""
@@ -82,7 +156,8 @@ def matches(text: Column, notices: Mapping[str, str] = NOTICES, dice: int = DICE
     if not sets:
         return F.array().cast("array<struct<kind:string,unit:int,licence:string,dice:double>>")
     longest = max(map(len, sets.values())) * (200 - dice) // dice
-    table = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams")) for name, grams in sets.items()))
+    # One text that Spark folds into a constant: a literal for each bigram would take minutes to build.
+    table = F.from_json(F.lit(json.dumps([{"name": name, "grams": grams} for name, grams in sets.items()])), "array<struct<name:string,grams:array<string>>>")
     low = F.lower(F.coalesce(text, F.lit("")))
 
     def kind_of(parts: Column, kind: str) -> Column:

@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import pathlib
 import random
+import re
 import zlib
 
 import pytest
@@ -77,6 +79,60 @@ def test_licence_units(frame, awkward, empty):
     assert license_scan.license_report(empty).count() == 0
 
 
+MIT_FILE = """The MIT License (MIT)
+
+Copyright (c) 2015 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software.
+"""
+
+BSD_FILE = """Copyright (c) The Regents of the University of California.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+3. Neither the name of the University nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+
+
+def test_licence_files(frame):
+    short = {10: ("Licensed under the MIT License.", "mit-licensed"), 11: ("The MIT License (MIT)", "mit-title-long"), 12: ("Licensed under the Apache License 2.0", "apache-2.0-licensed"),
+             13: ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n", "gpl-3.0-title")}
+    docs = frame([(1, MIT_FILE), (2, BSD_FILE), *((i, t) for i, (t, _) in short.items())])
+    got = {r.doc_id: set(r.licences.split(",")) for r in license_scan.license_report(docs).collect()}
+    assert {"mit-title-long", "mit-permission-full", "mit-notice"} <= got[1]
+    assert "bsd-3-clause-terms" in got[2]
+    assert all(name in got[i] for i, (_, name) in short.items())
+
+
+@pytest.mark.parametrize("path, name, least", [("Apache-2.0", "apache-2.0", 0.9), ("GPL-2", "gpl-2.0", 0.9), ("GPL-3", "gpl-3.0", 0.9), ("LGPL-2.1", "lgpl-2.1", 0.8), ("MPL-2.0", "mpl-2.0", 0.9)])
+def test_licence_texts_by_paragraph(frame, path, name, least):
+    file = pathlib.Path("/usr/share/common-licenses", path)
+    if not file.exists():
+        pytest.skip("no licence texts on this machine")
+    text = file.read_text()
+    want = [p for p in re.split("\n[ \t]*\n", text) if len(license_scan.bigrams_of(p)) >= 25]
+    m = frame([(1, text)]).select(license_scan.matches(F.col("text")).alias("m")).first().m
+    own = {x.unit for x in m if x.licence.startswith(name) and x.kind != "text"}
+    assert len(own) >= least * len(want)
+
+
 # ---- classifiers ---------------------------------------------------------------------------------
 
 
