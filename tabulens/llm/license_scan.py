@@ -2,7 +2,8 @@
 
 Units are the lines of a text, its paragraphs of more than one line (parted by blank lines), and the whole text if it has
 several paragraphs. Words are runs of [a-z0-9] of the lower-cased text. A unit matches a notice if
-``2 |A & B| / (|A| + |B|)`` of their sets of word bigrams is ``DICE`` percent or more.
+``2 |A & B| / (|A| + |B|)`` of their sets of word bigrams is ``DICE`` percent or more. Within longer lines, paragraphs and
+comments, runs of words of a notice's length are compared as well (``windows``; the SQL twin has only the units).
 
 Two exact bounds come before any comparison. Size: with threshold t a match needs |A| between |B| t / (2 - t) and
 |B| (2 - t) / t, so a unit meets only notices of its size, and none if it is longer than all allow. Anchors: a match shares
@@ -137,19 +138,26 @@ def bigrams_of(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:])))
 
 
+def _anchor_bigrams(grams: list[str], dice: int) -> list[str]:
+    """Bigrams of which every match has one: those with the longest words, as these are rare in ordinary text."""
+    shared = math.ceil(len(grams) * dice / (200 - dice))
+    return sorted(grams, key=lambda b: (-len(_anchor(b)), b))[: len(grams) - shared + 1]
+
+
+def _anchor(bigram: str) -> str:
+    return max(bigram.split(), key=lambda w: (len(w), w))
+
+
 def anchors(notices: Mapping[str, str], dice: int = DICE) -> list[str]:
     """Words of which every unit that matches any notice has one."""
-    sets = {name: bigrams_of(text) for name, text in notices.items()}
-    # Long words are rare in ordinary text; bigrams are ranked by their longer word.
-    anchor = lambda b: max(b.split(), key=lambda w: (len(w), w))
-    out: set[str] = set()
-    for grams in sets.values():
-        shared = math.ceil(len(grams) * dice / (200 - dice))
-        ranked = sorted(grams, key=lambda b: (-len(anchor(b)), b))
-        out.update(anchor(b) for b in ranked[: len(grams) - shared + 1])
+    out = {_anchor(b) for text in notices.values() for b in _anchor_bigrams(bigrams_of(text), dice)}
     return sorted(out)
 
 
+def _grams(w: Column) -> Column:
+    return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
 def matches(text: Column, notices: Mapping[str, str] = NOTICES, dice: int = DICE) -> Column:
     """array<struct<kind, unit, licence, dice>> of a text column, in order of units; the first notice by name is first."""
     sets = {name: grams for name, source in sorted(notices.items()) if (grams := bigrams_of(source))}
@@ -170,10 +178,7 @@ def matches(text: Column, notices: Mapping[str, str] = NOTICES, dice: int = DICE
     words = F.transform(units, lambda u: F.struct(u["kind"].alias("kind"), u["unit"].alias("unit"), F.split(F.trim(F.regexp_replace(u["t"], "[^a-z0-9]+", " ")), " ").alias("w")))
     read = F.filter(words, lambda u: (F.size(u["w"]) > 1) & F.exists(u["w"], lambda w: w.isin(anchors(notices, dice))))
 
-    def grams(w: Column) -> Column:
-        return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-
-    sized = F.transform(read, lambda u: F.struct(u["kind"].alias("kind"), u["unit"].alias("unit"), grams(u["w"]).alias("g")))
+    sized = F.transform(read, lambda u: F.struct(u["kind"].alias("kind"), u["unit"].alias("unit"), _grams(u["w"]).alias("g")))
     sized = F.filter(sized, lambda u: F.size(u["g"]) <= longest)
 
     def against(u: Column) -> Column:
@@ -186,9 +191,58 @@ def matches(text: Column, notices: Mapping[str, str] = NOTICES, dice: int = DICE
     return F.flatten(F.transform(sized, against))
 
 
+def windows(text: Column, notices: Mapping[str, str] = NOTICES, dice: int = DICE) -> Column:
+    """array<struct<licence, start, dice>>: runs of words anywhere in a text that match a notice; of overlapping runs for one notice the best.
+
+    A run has as many words as the notice and lies so that it shares one of the notice's anchor bigrams at its place. Titles
+    are left out: the name of a licence within prose is no notice.
+    """
+    table, places = [], {}
+    for name, source in sorted(notices.items()):
+        grams, words = bigrams_of(source), re.findall("[a-z0-9]+", source.lower())
+        if not grams or "-title" in name:
+            continue
+        for b in _anchor_bigrams(grams, dice):
+            places.setdefault(b, []).extend({"k": len(table), "q": q} for q in range(len(words) - 1) if f"{words[q]} {words[q + 1]}" == b)
+        table.append({"name": name, "n": len(words), "grams": grams})
+    if not table:
+        return F.array().cast("array<struct<licence:string,start:int,dice:double>>")
+    constant = F.from_json(F.lit(json.dumps(table)), "array<struct<name:string,n:int,grams:array<string>>>")
+    where = F.from_json(F.lit(json.dumps(places)), "map<string,array<struct<k:int,q:int>>>")
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " ")), " ")
+    # A text without an anchor word goes no further.
+    read = F.filter(F.array(words), lambda w: (F.size(w) > 1) & F.exists(w, lambda x: x.isin(anchors(notices, dice))))
+
+    def measured(w: Column, c: Column, t: Column) -> Column:
+        run = F.slice(w, c["start"] + 1, t["n"])
+        return F.transform(F.array(_grams(run)), lambda g: F.struct(t["name"].alias("licence"), c["start"].alias("start"), t["n"].alias("n"), F.size(F.array_intersect(g, t["grams"])).alias("both"), (F.size(g) + F.size(t["grams"])).alias("all")))
+
+    def found(w: Column) -> Column:
+        pairs = F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+        known = F.filter(F.transform(pairs, lambda b, i: F.struct(b.alias("b"), i.alias("i"))), lambda x: x["b"].isin(list(places)))
+        starts = F.flatten(F.transform(known, lambda x: F.transform(F.element_at(where, x["b"]), lambda t: F.struct(F.greatest(F.lit(0), x["i"] - t["q"]).alias("start"), t["k"].alias("k")))))
+        tried = F.flatten(F.transform(F.array_distinct(starts), lambda c: F.flatten(F.transform(F.array(F.get(constant, c["k"])), lambda t: measured(w, c, t)))))
+        return F.filter(tried, lambda x: x["both"] * 200 >= x["all"] * dice)
+
+    def best(x: Column, y: Column) -> Column:
+        near = (x["licence"] == y["licence"]) & (F.abs(x["start"] - y["start"]) < x["n"])
+        ahead = (y["both"] * x["all"] > x["both"] * y["all"]) | ((y["both"] * x["all"] == x["both"] * y["all"]) & (y["start"] < x["start"]))
+        return near & ahead
+
+    kept = F.flatten(F.transform(F.transform(read, found), lambda f: F.filter(f, lambda x: ~F.exists(f, lambda y: best(x, y)))))
+    return F.transform(kept, lambda x: F.struct(x["licence"].alias("licence"), x["start"].alias("start"), (x["both"] * 2 / x["all"]).alias("dice")))
+
+
 def license_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_matches, licences (names in order, joined by commas), best, best_dice for every row."""
-    found = docs.select(col(doc_id).alias("doc_id"), matches(col(text).cast("string")).alias("m"))
+    """doc_id, n_matches, licences (names in order, joined by commas), best, best_dice for every row.
+
+    A notice with more runs of words than matching units counts for each run beyond them.
+    """
+    found = docs.select(col(doc_id).alias("doc_id"), matches(col(text).cast("string")).alias("u"), windows(col(text).cast("string")).alias("r"))
+    units = lambda x: F.size(F.filter("u", lambda y: y["licence"] == x["licence"]))
+    earlier = lambda x: F.size(F.filter("r", lambda y: (y["licence"] == x["licence"]) & ((y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & (y["start"] < x["start"])))))
+    short = lambda x: F.struct(x["licence"].alias("licence"), x["dice"].alias("dice"))
+    found = found.select("doc_id", F.concat(F.transform("u", short), F.transform(F.filter("r", lambda x: earlier(x) >= units(x)), short)).alias("m"))
     best = F.array_min(F.transform("m", lambda x: F.struct((-x["dice"]).alias("d"), x["licence"].alias("licence"))))
     return found.select(
         "doc_id", F.size("m").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.transform("m", lambda x: x["licence"]))), ",").alias("licences"),

@@ -6,6 +6,7 @@ import pathlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,24 @@ def test_licence_texts_by_paragraph(frame, path, name, least):
     assert len(own) >= least * len(want)
 
 
+def test_notices_within_longer_text(frame):
+    prose = " ".join(f"word{i} and more of it" for i in range(300))
+    header = license_scan.NOTICES["apache-2.0-header"].split()
+    comment = "".join(f" * {' '.join(header[i : i + 7])}\n *\n" for i in range(0, len(header), 7))
+    docs = frame([
+        (1, "Some prose about things here. Licensed under the Apache License, Version 2.0."), (2, f"{prose} {license_scan.NOTICES['mit-permission-full']} {prose}"),
+        (3, f"/*\n{comment} */\n{prose}"), (4, prose), (5, "Licensed under the MIT License.\nsee: Licensed under the MIT License. as well as the other files of it here"),
+        (6, f"{prose} it names the MIT License only"),
+    ])
+    got = {r.doc_id: r for r in license_scan.license_report(docs).collect()}
+    assert "apache-2.0" in got[1].licences.split(",") and got[1].best_dice == 1.0
+    assert "mit-permission-full" in got[2].licences.split(",") and got[2].best_dice == 1.0
+    assert "apache-2.0-header" in got[3].licences.split(",")
+    assert got[4].n_matches == got[6].n_matches == 0
+    runs = {r.doc_id: Counter(x.licence for x in r.m) for r in docs.select("doc_id", license_scan.windows(F.col("text")).alias("m")).collect()}
+    assert runs[5]["mit-licensed"] == 2 and runs[1]["apache-2.0"] == 1
+
+
 # ---- classifiers ---------------------------------------------------------------------------------
 
 
