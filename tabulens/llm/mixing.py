@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-The weights become whole numbers of slots in a period (``PERIOD`` or a little more, at least one slot for each source).
-Within the period block i of a source with a of m slots may not start before slot floor(i m / a) and must be done by slot
-ceil((i + 1) m / a); the schedule gives each slot to the released block with the earliest deadline (ties: source order).
-As the shares add up to one, every block meets its window, so after any number of slots each source is within less than
-one block of its share. The schedule repeats every period, which makes the slot of any block of any source a formula: rows
-find their place in parallel, whatever the size of the table.
+Slots go in periods of ``PERIOD``. Before slot t that starts a period, a source with the shares lo before it and hi with it
+has had floor(hi t) - floor(lo t) blocks: all sources together fill the slots, and each is within less than one block of its
+unrounded share, however many periods there are. Within the period block i of a source that gets a of m slots may not start
+before slot floor(i m / a) and must be done by slot ceil((i + 1) m / a); the schedule gives each slot to the released block
+with the earliest deadline (ties: source order), which keeps each source within less than one block of the straight line
+between the period's ends. So each is within less than two blocks of its unrounded share after any number of slots (less than
+one if its share of a period is whole). Periods are scheduled apart from one another, each over the sources it holds.
 
 A source's rows are taken in the order of the MD5 of their id, ``BLOCK`` rows for each block. The mix ends when every row
 of every source has had its turn; sources that would be through earlier start over, up to ``MAX_EPOCHS`` times in all, and
@@ -38,6 +39,8 @@ POWER = 0.7
 CHUNK_ROWS = 2_000
 #: The table of sources is broadcast up to this many rows, joined by a shuffle beyond.
 BROADCAST_SOURCES = 5_000
+#: So is the table of blocks up to this many slots.
+BROADCAST_SLOTS = 100_000
 
 _HEX = 16
 
@@ -46,8 +49,8 @@ def source_key(source: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), col(source).cast("string")), F.lit("null"))
 
 
-def shares(docs: DataFrame, weights: Mapping[str | None, float] | None, source: str, period: int) -> DataFrame:
-    """One row for each source: src, n (rows), a (slots of a period)."""
+def targets(docs: DataFrame, weights: Mapping[str | None, float] | None, source: str) -> DataFrame:
+    """One row for each source: src, n (rows), w (weight)."""
     counts = docs.groupBy(source_key(source).alias("src")).agg(F.count("*").alias("n"))
     if weights is None:
         counts = counts.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(POWER)))
@@ -55,17 +58,42 @@ def shares(docs: DataFrame, weights: Mapping[str | None, float] | None, source:
         given = [("null" if k is None else f"={k}", float(v)) for k, v in weights.items()]
         counts = counts.join(F.broadcast(docs.sparkSession.createDataFrame(given, "src string, w double")), "src", "left")
         counts = counts.withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(F.raise_error(F.concat(F.lit("no weight above zero for source "), F.col("src")))))
-    counts = materialized(counts, "weights")
-    total = counts.agg(F.sum("w")).first()[0]
-    return counts.select("src", "n", F.greatest(F.lit(1), F.round(F.col("w") / F.lit(total) * period)).cast("long").alias("a"))
+    return materialized(counts, "weights")
 
 
-def earliest_deadline_first(table: DataFrame) -> DataFrame:
-    """The sources (src, n, a) with m, the length of the period, and ``slots``, the slots of the period they get in order.
+def laid_out(counts: DataFrame) -> DataFrame:
+    """Sources with w as a share of one, and lo and hi, the sums of shares before and with a source."""
+    line = counts.withColumn("sum", F.sum("w").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0)))
+    line = line.withColumn("hi", F.col("sum") / F.max("sum").over(Window.partitionBy(F.lit(0))))
+    line = line.withColumn("lo", F.lag("hi", 1, 0.0).over(Window.orderBy("src")))
+    return line.select("src", "n", (F.col("hi") - F.col("lo")).alias("w"), "lo", "hi")
 
-    The sources are one row here: at most one for each slot of the period.
+
+def _blocks_before(slot: Column) -> Column:
+    """Blocks of a source before a slot that starts a period: its share rounded so that all sources together fill the slots."""
+    return (F.floor(F.col("hi") * slot) - F.floor(F.col("lo") * slot)).cast("long")
+
+
+def schedule(line: DataFrame, period: int, block: int) -> DataFrame:
+    """One row for each block of each source: src, block, slot, last (the block with the last row of the first pass)."""
+    last = F.ceil(F.col("n") / block) - 1
+    periods = line.agg(F.max(F.ceil((last + 2) / F.col("w") / period))).first()[0] or 0
+    if not periods:
+        return line.sparkSession.createDataFrame([], "src string, block long, slot long, last long")
+    each = line.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(periods - 1).cast("long"))))
+    each = each.withColumns({"first": _blocks_before(F.col("p") * period), "a": _blocks_before((F.col("p") + 1) * period)}).withColumn("a", F.col("a") - F.col("first")).where("a > 0")
+    turns = earliest_deadline_first(each.select("p", "src", "n", "a", "first"), "p")
+    placed = turns.select("p", "src", "n", "first", F.posexplode("slots").alias("j", "at"))
+    return placed.select("src", (F.col("first") + F.col("j")).alias("block"), (F.col("p") * period + F.col("at")).alias("slot"), last.cast("long").alias("last"))
+
+
+def earliest_deadline_first(table: DataFrame, *by: str) -> DataFrame:
+    """The sources (src, n, a) with m, the length of the period, and ``slots``, the slots of the period they get in order; for each value of ``by``.
+
+    The sources of a period are one row here: at most one for each slot of the period, as those without a block are left out.
     """
-    line = table.agg(F.array_sort(F.collect_list(F.struct("src", "a", "n"))).alias("s"), F.sum("a").alias("m")).where("m > 0")
+    more = [c for c in table.columns if c not in ("src", "a", "n", *by)]
+    line = table.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("src", "a", "n", *more))).alias("s"), F.sum("a").alias("m")).where("m > 0")
     state = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("order"))
 
     def step(now: Column, t: Column) -> Column:
@@ -79,20 +107,21 @@ def earliest_deadline_first(table: DataFrame) -> DataFrame:
         return F.struct(done.alias("done"), F.concat(now["order"], F.array(best)).alias("order"))
 
     order = F.aggregate(F.sequence(F.lit(0), F.col("m").cast("int") - 1), state, step, lambda now: now["order"])
-    placed = line.select("s", "m", order.alias("order")).select("m", "order", F.posexplode("s").alias("i", "x"))
+    placed = line.select(*by, "s", "m", order.alias("order")).select(*by, "m", "order", F.posexplode("s").alias("i", "x"))
     mine = F.filter(F.transform("order", lambda o, slot: F.when(o == F.col("i"), slot)), lambda slot: slot.isNotNull())
-    return placed.select("x.src", "x.n", "x.a", "m", mine.alias("slots"))
-
-
-def _slot(block: Column) -> Column:
-    return F.floor(block / F.col("__a")) * F.col("__m") + F.element_at("__slots", (block % F.col("__a")).cast("int") + 1)
+    return placed.select(*by, "x.src", "x.n", "x.a", *(f"x.{c}" for c in more), "m", mine.alias("slots"))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id", period: int = PERIOD, block: int = BLOCK, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """The rows with ``__epoch``, ``__slot`` (their block's turn) and ``__position`` in the mix."""
-    plan = materialized(earliest_deadline_first(shares(docs, weights, source, period)), "shares")
-    n_sources, rows = plan.agg(F.count("*"), F.sum("n")).first()
-    plan = plan.select(F.col("src").alias("__src"), *(F.col(c).alias(f"__{c}") for c in ("n", "a", "m", "slots")))
+    counts = targets(docs, weights, source)
+    rows = counts.agg(F.sum("n")).first()[0]
+    places = materialized(schedule(materialized(laid_out(counts), "shares"), period, block), "places")
+    # The mix ends with the last slot that a first pass over any source needs.
+    end = (places.where("block = last").agg(F.max("slot")).first()[0] or 0) + 1
+    places = places.where(F.col("slot") < end).select(F.col("src").alias("__src"), F.col("block").alias("__block"), F.col("slot").alias("__slot"))
+    plan = materialized(places.groupBy("__src").agg(F.count("*").alias("__blocks")).join(counts.select(F.col("src").alias("__src"), F.col("n").alias("__n")), "__src"), "plan")
+    n_sources = plan.count()
     digits = max(0, math.ceil(math.log((rows or 1) / CHUNK_ROWS, _HEX))) if rows else 0
     key = F.md5(F.coalesce(col(doc_id).cast("string"), F.lit("null")))
     keyed = docs.withColumns({"__src": source_key(source), "__key": key})
@@ -104,17 +133,14 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, so
     inner = Window.partitionBy("__src", "__part").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     chunks = sizes.withColumn("q", F.coalesce(F.sum("c").over(inner), F.lit(0))).join(parts, ["__src", "__part"]).select("__src", "__chunk", (F.col("p") + F.col("q")).alias("__before"))
     chunks = chunks.join(F.broadcast(plan) if n_sources <= BROADCAST_SOURCES else plan, "__src")
-    # The last slot that a first pass over any source needs.
-    last = plan.select(F.max(_slot(F.floor((F.col("__n") - 1) / block))).alias("last")).first()[0]
-    end = F.lit((last + 1) if last is not None else 0)
     within = Window.partitionBy("__src", "__chunk").orderBy("__key", col(doc_id), F.xxhash64(*(col(c) for c in docs.columns)))
     ranked = keyed.withColumn("__k", F.row_number().over(within) - 1).join(chunks, ["__src", "__chunk"]).withColumn("__k", F.col("__k") + F.col("__before"))
-    in_rest = F.size(F.filter("__slots", lambda s: s < end % F.col("__m")))
-    items = (F.floor(end / F.col("__m")) * F.col("__a") + in_rest) * block
-    epochs = F.least(F.floor((items - 1 - F.col("__k")) / F.col("__n")), F.lit(max_epochs - 1))
+    epochs = F.floor((F.col("__blocks") * block - 1 - F.col("__k")) / F.col("__n"))
+    epochs = F.least(epochs, F.lit(max_epochs - 1))
     turns = ranked.withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs.cast("long"))))
     item = F.col("__k") + F.col("__epoch") * F.col("__n")
-    placed = turns.withColumn("__slot", _slot(F.floor(item / block)).cast("long")).withColumn("__position", F.col("__slot") * block + item % block)
+    turns = turns.withColumns({"__block": F.floor(item / block).cast("long"), "__at": item % block})
+    placed = turns.join(F.broadcast(places) if end <= BROADCAST_SLOTS else places, ["__src", "__block"]).withColumn("__position", F.col("__slot") * block + F.col("__at"))
     return placed.select(*(col(c) for c in docs.columns), "__epoch", "__slot", "__position")
 
 

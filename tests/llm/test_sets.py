@@ -197,6 +197,20 @@ def _by_slot(rows):
     return out
 
 
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 2}, {"a": 0.5, "b": 0.4999, "c": 0.0001}, {f"s{i:03}": 1 + i % 7 + i / 31 for i in range(150)}])
+def test_blocks_follow_unrounded_weights(spark, weights):
+    total = sum(Fraction(w) for w in weights.values())
+    counts = spark.createDataFrame([(s, 1 if w / float(total) < 0.01 and len(weights) < 9 else 8000 // len(weights), float(w)) for s, w in weights.items()], "src string, n long, w double")
+    placed = mixing.schedule(mixing.laid_out(counts), 100, 1).orderBy("slot").collect()
+    assert [r.slot for r in placed] == list(range(len(placed))) and len(placed) > 5000
+    done, share = Counter(), {s: float(Fraction(w) / total) for s, w in weights.items()}
+    for t, r in enumerate(placed, 1):
+        assert r.block == done[r.src]
+        done[r.src] += 1
+        if t % 10 == 0 or len(weights) < 9:
+            assert all(abs(done[s] - w * t) < (1 if t % 100 == 0 else 2) for s, w in share.items())
+
+
 def test_mix_of_awkward_rows(awkward, empty):
     out = mixing.mix(awkward)
     assert out.columns == awkward.columns
