@@ -26,7 +26,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once at least, small sources up to four times, in the order of the mix."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, max_epochs=mixing.MAX_EPOCHS)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

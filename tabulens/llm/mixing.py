@@ -9,8 +9,9 @@ between the period's ends. So each is within less than two blocks of its unround
 one if its share of a period is whole). Periods are scheduled apart from one another, each over the sources it holds.
 
 A source's rows are taken in the order of the MD5 of their id, ``BLOCK`` rows for each block. The mix ends when every row
-of every source has had its turn; sources that would be through earlier start over, up to ``MAX_EPOCHS`` times in all, and
-leave their slots empty after that. Nothing is dropped. Without given weights a source weighs its row count to the power
+of every source has had its turn; sources that would be through earlier start over as often as their share asks. With
+``max_epochs`` no row comes more often than that, and the other sources get the freed share (``shares_reached`` tells the
+outcome). Nothing is dropped. Without given weights a source weighs its row count to the power
 ``POWER``.
 
 A row's number in its source is its number in a chunk of the hash range plus the sizes of the chunks before it, so a source
@@ -34,6 +35,7 @@ from tabulens.session import materialized
 
 PERIOD = 1000
 BLOCK = 16
+#: A customary limit for callers that want one.
 MAX_EPOCHS = 4
 POWER = 0.7
 CHUNK_ROWS = 2_000
@@ -61,6 +63,20 @@ def targets(docs: DataFrame, weights: Mapping[str | None, float] | None, source:
     return materialized(counts, "weights")
 
 
+def limited(counts: DataFrame, block: int, max_epochs: int | None) -> DataFrame:
+    """Weights with which no source needs more than ``max_epochs`` passes before every row has had its turn; what that frees goes to the others in proportion."""
+    if max_epochs is None:
+        return counts
+    longest = counts.agg(F.max(F.ceil(F.col("n") / block) / F.col("w"))).first()[0]
+    return counts.withColumn("w", F.least(F.col("w"), F.lit(max_epochs) * F.col("n") / block / F.lit(longest)))
+
+
+def shares_reached(rows: DataFrame, source: str = "source") -> DataFrame:
+    """src, rows and share of the mix that each source has in what ``mixed`` or ``mix`` returned."""
+    counts = rows.groupBy(source_key(source).alias("src")).agg(F.count("*").alias("rows"))
+    return counts.withColumn("share", F.col("rows") / F.sum("rows").over(Window.partitionBy(F.lit(0))))
+
+
 def laid_out(counts: DataFrame) -> DataFrame:
     """Sources with w as a share of one, and lo and hi, the sums of shares before and with a source."""
     line = counts.withColumn("sum", F.sum("w").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0)))
@@ -112,9 +128,9 @@ def earliest_deadline_first(table: DataFrame, *by: str) -> DataFrame:
     return placed.select(*by, "x.src", "x.n", "x.a", *(f"x.{c}" for c in more), "m", mine.alias("slots"))
 
 
-def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id", period: int = PERIOD, block: int = BLOCK, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id", period: int = PERIOD, block: int = BLOCK, max_epochs: int | None = None) -> DataFrame:
     """The rows with ``__epoch``, ``__slot`` (their block's turn) and ``__position`` in the mix."""
-    counts = targets(docs, weights, source)
+    counts = limited(targets(docs, weights, source), block, max_epochs)
     rows = counts.agg(F.sum("n")).first()[0]
     places = materialized(schedule(materialized(laid_out(counts), "shares"), period, block), "places")
     # The mix ends with the last slot that a first pass over any source needs.
@@ -136,7 +152,8 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, so
     within = Window.partitionBy("__src", "__chunk").orderBy("__key", col(doc_id), F.xxhash64(*(col(c) for c in docs.columns)))
     ranked = keyed.withColumn("__k", F.row_number().over(within) - 1).join(chunks, ["__src", "__chunk"]).withColumn("__k", F.col("__k") + F.col("__before"))
     epochs = F.floor((F.col("__blocks") * block - 1 - F.col("__k")) / F.col("__n"))
-    epochs = F.least(epochs, F.lit(max_epochs - 1))
+    if max_epochs is not None:
+        epochs = F.least(epochs, F.lit(max_epochs - 1))
     turns = ranked.withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), epochs.cast("long"))))
     item = F.col("__k") + F.col("__epoch") * F.col("__n")
     turns = turns.withColumns({"__block": F.floor(item / block).cast("long"), "__at": item % block})
@@ -144,7 +161,7 @@ def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, so
     return placed.select(*(col(c) for c in docs.columns), "__epoch", "__slot", "__position")
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id", max_epochs: int | None = None) -> DataFrame:
     """The rows in the order of the mix (within and across the written files), repeated as it asks; columns as they were."""
-    ordered = mixed(docs, weights, source, doc_id).repartitionByRange("__position").sortWithinPartitions("__position")
+    ordered = mixed(docs, weights, source, doc_id, max_epochs=max_epochs).repartitionByRange("__position").sortWithinPartitions("__position")
     return ordered.select(*(col(c) for c in docs.columns))

@@ -211,6 +211,16 @@ def test_blocks_follow_unrounded_weights(spark, weights):
             assert all(abs(done[s] - w * t) < (1 if t % 100 == 0 else 2) for s, w in share.items())
 
 
+def test_small_sources_reach_their_share(frame):
+    docs = frame([(i, "t", "small" if i < 8 else "large") for i in range(808)])
+    weights = {"small": 1, "large": 1}
+    got = {r.src: r.share for r in mixing.shares_reached(mixing.mixed(docs, weights, block=4)).collect()}
+    assert abs(got["=small"] - 0.5) < 0.01
+    rows = mixing.mixed(docs, weights, block=4, max_epochs=5).collect()
+    assert {r.doc_id for r in rows} == set(range(808)) and max(Counter(r.doc_id for r in rows).values()) == 5
+    assert max(r["__slot"] for r in rows) < 215
+
+
 def test_mix_of_awkward_rows(awkward, empty):
     out = mixing.mix(awkward)
     assert out.columns == awkward.columns
