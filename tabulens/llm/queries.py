@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulens.llm import chat_format, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, toxicity, vector_codes
+from tabulens.llm import (
+    byte_bpe, chat_format, fill_middle, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, toxicity, vector_codes, vector_trie,
+)
 from tabulens.llm.common import Query, table
 
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -58,10 +60,62 @@ def op10_nearest_codes(spark: SparkSession, sf: str) -> DataFrame:
     return vector_codes.nearest_vectors(table(spark, sf, "embeddings"))
 
 
+def op11_vector_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_trie.code_report(table(spark, sf, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.bpe_report(table(spark, sf, "documents"), path=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN)
+
+
+def op13_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
+    return fill_middle.fill_in_middle_report(table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Query] = {q.__name__: q for q in (
     op1_toxicity, op2_license_scan, op3_source_mixing, op4_quality_classifier, op5_sentencepiece, op6_chat_formatting, op7_quality_rules, op8_line_dedup, op9_minhash_near_dedup, op10_nearest_codes,
+    op11_vector_trie, op12_byte_bpe, op13_fill_in_middle,
 )}
 
+def _vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Rounds of assigning distinct parts to entries and moving these; a distance and an entry's number are one whole number."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+  SELECT p, c.x, c.n, min(list_sum(list_transform(list_zip(c.x, e.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::HUGEINT * {entries} + e.e) AS best
+  FROM counted c JOIN book{k} e USING (p) GROUP BY p, c.x, c.n
+)""")
+        if k < rounds:
+            steps.append(f"""means{k} AS (
+  SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY j)::BIGINT[] AS x FROM (
+    SELECT p, (best % {entries})::BIGINT AS e, j, sum(v * n) AS s, sum(n) AS n
+    FROM (SELECT p, best, n, unnest(x) AS v, unnest(range(len(x))) AS j FROM near{k}) GROUP BY ALL
+  ) GROUP BY p, e
+), book{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN means{k} m USING (p, e)
+)""")
+    chain = ", ".join(steps)
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), cut AS MATERIALIZED (
+  SELECT r, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) AS t(p)
+), counted AS MATERIALIZED (
+  SELECT p, x, count(*) AS n FROM cut GROUP BY p, x
+), book0 AS MATERIALIZED (
+  SELECT p, r - 1 AS e, x FROM cut WHERE r <= {entries}
+), {chain}, coded AS (
+  SELECT r, string_agg(format('{{:02x}}', (best % {entries})::BIGINT), '' ORDER BY p) AS code, sum(best // {entries})::BIGINT AS error
+  FROM cut JOIN near{rounds} USING (p, x) GROUP BY r
+), books AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds}
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (r), books"""
+
+
 ORACLES: dict[str, str] = {
     "op2_license_scan": license_scan.SQL,
     "op3_source_mixing": r"""
@@ -149,4 +203,21 @@ WITH lines AS (
 SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id""",
+    "op11_vector_trie": _vector_codes_sql(),
+    "op13_fill_in_middle": r"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS w,
+    sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents
+), drawn AS (
+  SELECT *, len(w) AS n, list_transform(range(4), lambda k: ('0x' || h[8 * k + 1 : 8 * k + 8])::BIGINT) AS d FROM split
+), cut AS (
+  SELECT *, least(d[1] % (n + 1), d[2] % (n + 1)) AS a, greatest(d[1] % (n + 1), d[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR d[3] % 100 >= 50 THEN 'plain' WHEN d[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+  SELECT *, array_to_string(w[1 : a], '') AS p, array_to_string(w[a + 1 : b], '') AS m, array_to_string(w[b + 1 : n], '') AS s FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts""",
 }

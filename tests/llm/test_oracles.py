@@ -16,7 +16,7 @@ def test_query_matches_sql(spark, data, name):
     assert compare(spark, connect(data), QUERIES[name], ORACLES[name], data) is None
 
 
-@pytest.mark.parametrize("name", ["op2_license_scan", "op3_source_mixing", "op7_quality_rules", "op8_line_dedup"])
+@pytest.mark.parametrize("name", ["op2_license_scan", "op3_source_mixing", "op7_quality_rules", "op8_line_dedup", "op13_fill_in_middle"])
 def test_query_matches_sql_on_awkward_rows(spark, awkward, tmp_path, name):
     rows = awkward.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
@@ -26,7 +26,7 @@ def test_query_matches_sql_on_awkward_rows(spark, awkward, tmp_path, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_nothing_else_imports_the_package():
