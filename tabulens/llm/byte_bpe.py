@@ -56,36 +56,62 @@ def load_ranks(path: str = RANKS) -> dict[bytes, int]:
 
 
 class _Remembered(dict):
-    """Packed ids of pre-tokens; short ones are kept, up to a bound."""
+    """Packed ids of pre-tokens; of short ones, those met again among the last ``2 * KEPT`` are not searched again."""
 
-    KEPT = 400_000
+    KEPT = 100_000
     SHORT = 48
 
     def __init__(self, search):
         super().__init__()
-        self.search = search
+        self.search, self.older = search, {}
 
     def __missing__(self, token: str) -> bytes:
-        found = np.array(self.search(token.encode()), np.int32).tobytes()
-        if len(token) <= self.SHORT:
-            if len(self) >= self.KEPT:
-                self.clear()
-            self[token] = found
+        found = self.older.get(token)
+        if found is None:
+            found = np.array(self.search(token.encode()), np.int32).tobytes()
+            if len(token) > self.SHORT:
+                return found
+        if len(self) >= self.KEPT:
+            self.older = dict(self)
+            self.clear()
+        self[token] = found
         return found
 
 
 class Encoder:
-    """Encodes texts and pieces of them."""
+    """Encodes texts and pieces of them. What it remembers of pre-tokens stays behind when it travels."""
+
+    #: Pre-tokens of more bytes are merged by way of a heap.
+    FEW = 40
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
-        self.ranks = ranks
+        self.ranks, self.pattern = ranks, pattern
         self.split = regex.compile(pattern).findall
         self.memory = _Remembered(self.merged)
 
+    def __reduce__(self):
+        return type(self), (self.ranks, self.pattern)
+
     def merged(self, token: bytes) -> list[int]:
         """The ids of one pre-token."""
         if token in self.ranks:
             return [self.ranks[token]]
+        return self._by_list(token) if len(token) <= self.FEW else self._by_heap(token)
+
+    def _by_list(self, token: bytes) -> list[int]:
+        ranks, none = self.ranks, len(self.ranks) + (1 << 32)
+        at = list(range(len(token) + 1))
+        pairs = [ranks.get(token[i : i + 2], none) for i in range(len(token) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            del at[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = ranks.get(token[at[i] : at[i + 2]], none)
+            if i:
+                pairs[i - 1] = ranks.get(token[at[i - 1] : at[i + 1]], none)
+        return [ranks[token[a:b]] for a, b in zip(at, at[1:])]
+
+    def _by_heap(self, token: bytes) -> list[int]:
         n, rank = len(token), self.ranks.get
         after, before, dead = list(range(1, n + 2)), list(range(-1, n)), bytearray(n + 1)
         waiting = [(r, i, i + 2) for i in range(n - 1) if (r := rank(token[i : i + 2])) is not None]
@@ -170,11 +196,11 @@ def encode(
     """The documents with ``out``, an array<int> of ids; without the text if ``keep_text`` is false."""
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(load_ranks(path))
+    shared = spark.sparkContext.broadcast(Encoder(load_ranks(path), pattern))
 
     @arrow_udf("array<int>")
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(shared.value, pattern)
+        encoder = shared.value
         for texts in batches:
             yield _lists([encoder.packed(t.as_py() or "") for t in texts])
 
@@ -186,7 +212,7 @@ def encode(
 
     @arrow_udf(f"ids binary, head {_PLACES}, tail {_PLACES}")
     def piece(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        encoder = Encoder(shared.value, pattern)
+        encoder = shared.value
         places = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
         kind = pa.struct([("ids", pa.binary()), ("head", places), ("tail", places)])
         for batch in batches:
@@ -211,11 +237,11 @@ def encode(
 
 def decoder(spark: SparkSession, path: str = RANKS):
     """A column function from array<int> to the bytes it stands for (binary; cast it to string for text)."""
-    shared = spark.sparkContext.broadcast({rank: entry for entry, rank in load_ranks(path).items()})
+    shared = spark.sparkContext.broadcast(_Entries({rank: entry for entry, rank in load_ranks(path).items()}))
 
     @arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        entry = _Entries(shared.value)
+        entry = shared.value
         for ids in batches:
             yield pa.array([None if x is None else b"".join(map(entry.__getitem__, x.tolist())) for x in _rows(ids)], pa.binary())
 
