@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +59,7 @@ def load_ranks(path: str = RANKS) -> dict[bytes, int]:
 class _Remembered(dict):
     """Packed ids of pre-tokens; of short ones, those met again among the last ``2 * KEPT`` are not searched again."""
 
-    KEPT = 100_000
+    KEPT = 150_000
     SHORT = 48
 
     def __init__(self, search):
@@ -68,7 +69,7 @@ class _Remembered(dict):
     def __missing__(self, token: str) -> bytes:
         found = self.older.get(token)
         if found is None:
-            found = np.array(self.search(token.encode()), np.int32).tobytes()
+            found = array("i", self.search(token.encode())).tobytes()
             if len(token) > self.SHORT:
                 return found
         if len(self) >= self.KEPT:
@@ -79,19 +80,16 @@ class _Remembered(dict):
 
 
 class Encoder:
-    """Encodes texts and pieces of them. What it remembers of pre-tokens stays behind when it travels."""
+    """Encodes texts and pieces of them."""
 
     #: Pre-tokens of more bytes are merged by way of a heap.
     FEW = 40
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
-        self.ranks, self.pattern = ranks, pattern
+        self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.memory = _Remembered(self.merged)
 
-    def __reduce__(self):
-        return type(self), (self.ranks, self.pattern)
-
     def merged(self, token: bytes) -> list[int]:
         """The ids of one pre-token."""
         if token in self.ranks:
@@ -148,6 +146,13 @@ class Encoder:
         return {"ids": b"".join(packed), "head": places(at <= into), "tail": places(at >= following) if following is not None else []}
 
 
+def _kept(shared: dict, pattern: str) -> Encoder:
+    """The encoder of a worker: it stays with the broadcast from task to task, and so does what it remembers."""
+    if "encoder" not in shared:
+        shared["encoder"] = Encoder(shared["ranks"], pattern)
+    return shared["encoder"]
+
+
 def cut(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int, int, int | None, str]]:
     """(number, start, end of what the chunk before reaches, start of the next chunk, characters) of the chunks of a text."""
     out, start, into = [], 0, 0
@@ -195,12 +200,12 @@ def encode(
 ) -> DataFrame:
     """The documents with ``out``, an array<int> of ids; without the text if ``keep_text`` is false."""
     spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(Encoder(load_ranks(path), pattern))
+    small_batches(spark, 4 << 20)
+    shared = spark.sparkContext.broadcast({"ranks": load_ranks(path)})
 
     @arrow_udf("array<int>")
     def whole(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = shared.value
+        encoder = _kept(shared.value, pattern)
         for texts in batches:
             yield _lists([encoder.packed(t.as_py() or "") for t in texts])
 
@@ -212,7 +217,7 @@ def encode(
 
     @arrow_udf(f"ids binary, head {_PLACES}, tail {_PLACES}")
     def piece(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        encoder = shared.value
+        encoder = _kept(shared.value, pattern)
         places = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
         kind = pa.struct([("ids", pa.binary()), ("head", places), ("tail", places)])
         for batch in batches:
@@ -237,11 +242,11 @@ def encode(
 
 def decoder(spark: SparkSession, path: str = RANKS):
     """A column function from array<int> to the bytes it stands for (binary; cast it to string for text)."""
-    shared = spark.sparkContext.broadcast(_Entries({rank: entry for entry, rank in load_ranks(path).items()}))
+    shared = spark.sparkContext.broadcast({rank: entry for entry, rank in load_ranks(path).items()})
 
     @arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        entry = shared.value
+        entry = _Entries(shared.value)
         for ids in batches:
             yield pa.array([None if x is None else b"".join(map(entry.__getitem__, x.tolist())) for x in _rows(ids)], pa.binary())
 
