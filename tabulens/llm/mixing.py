@@ -1,12 +1,17 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Slots go in periods of ``PERIOD``. Before slot t that starts a period, a source with the shares lo before it and hi with it
-has had floor(hi t) - floor(lo t) blocks: all sources together fill the slots, and each is within less than one block of its
-unrounded share, however many periods there are. Within the period block i of a source that gets a of m slots may not start
-before slot floor(i m / a) and must be done by slot ceil((i + 1) m / a); the schedule gives each slot to the released block
-with the earliest deadline (ties: source order), which keeps each source within less than one block of the straight line
-between the period's ends. So each is within less than two blocks of its unrounded share after any number of slots (less than
-one if its share of a period is whole). Periods are scheduled apart from one another, each over the sources it holds.
+Block i of a source with share w of the mix may not start before slot floor(i / w) and must be done by slot ceil((i + 1) / w),
+counted over the whole mix; each slot goes to the released block with the earliest deadline (ties: source order). So after any
+number of slots each source is within less than one block of its share, and every block is placed exactly once. Shares are
+whole numbers out of a power of two, the largest with which products of slots and shares fit 64 bits; a rounded share moves a
+source by less than a hundredth of a block in 2 ** 28 slots.
+
+The schedule is cut into periods that are computed apart from one another. For that it must be known which blocks are done at
+the start of a period. At slot T every block that is due by T is done, and no block that is released at T or later. Of the
+others, at most one for each source, let Q(T) be the number that is still waiting: ceil(w T) summed over the sources, less T.
+Those with the latest deadlines wait, taken in turn as long as, for every slot t < T, no more than Q(t) of them were released
+before t (more were not waiting then). That is what earliest deadline first leaves, without having run it up to T: each period
+looks at its own slots for the smallest Q, and the minima of periods are carried along each source by a window.
 
 A source's rows are taken in the order of the MD5 of their id, ``BLOCK`` rows for each block. The mix ends when every row
 of every source has had its turn; sources that would be through earlier start over as often as their share asks. With
@@ -15,7 +20,8 @@ outcome). Nothing is dropped. Without given weights a source weighs its row coun
 ``POWER``.
 
 A row's number in its source is its number in a chunk of the hash range plus the sizes of the chunks before it, so a source
-with most rows is as many chunks as it needs; prefix sums go in two levels.
+with most rows is as many chunks as it needs; prefix sums go in two levels. What is held at once is one row with all sources
+and, for each period, its slots and sources; a period has as many slots as there are sources at least.
 
 Edge cases: a null source is a source of its own. Null ids are ordered as the text ``null``. Rows with one id follow one
 another, ordered by a hash of all columns. Given weights for absent sources are left out; sources without a given weight, or
@@ -33,7 +39,8 @@ from pyspark.sql import functions as F
 from tabulens.llm.common import col
 from tabulens.session import materialized
 
-PERIOD = 1000
+#: Slots of a period, or the number of sources if that is more.
+PERIOD = 256
 BLOCK = 16
 #: A customary limit for callers that want one.
 MAX_EPOCHS = 4
@@ -77,62 +84,115 @@ def shares_reached(rows: DataFrame, source: str = "source") -> DataFrame:
     return counts.withColumn("share", F.col("rows") / F.sum("rows").over(Window.partitionBy(F.lit(0))))
 
 
-def laid_out(counts: DataFrame) -> DataFrame:
-    """Sources with w as a share of one, and lo and hi, the sums of shares before and with a source."""
-    line = counts.withColumn("sum", F.sum("w").over(Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0)))
-    line = line.withColumn("hi", F.col("sum") / F.max("sum").over(Window.partitionBy(F.lit(0))))
-    line = line.withColumn("lo", F.lag("hi", 1, 0.0).over(Window.orderBy("src")))
-    return line.select("src", "n", (F.col("hi") - F.col("lo")).alias("w"), "lo", "hi")
+def _div(x: Column, y: Column | int) -> Column:
+    """Whole division of whole numbers that are not negative."""
+    return F.call_function("div", x, F.lit(y).cast("long") if isinstance(y, int) else y)
 
 
-def _blocks_before(slot: Column) -> Column:
-    """Blocks of a source before a slot that starts a period: its share rounded so that all sources together fill the slots."""
-    return (F.floor(F.col("hi") * slot) - F.floor(F.col("lo") * slot)).cast("long")
+def _ceil_div(x: Column, y: Column | int) -> Column:
+    return _div(x + y - 1, y)
 
 
-def schedule(line: DataFrame, period: int, block: int) -> DataFrame:
-    """One row for each block of each source: src, block, slot, last (the block with the last row of the first pass)."""
-    last = F.ceil(F.col("n") / block) - 1
-    periods = line.agg(F.max(F.ceil((last + 2) / F.col("w") / period))).first()[0] or 0
-    if not periods:
-        return line.sparkSession.createDataFrame([], "src string, block long, slot long, last long")
-    each = line.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(periods - 1).cast("long"))))
-    each = each.withColumns({"first": _blocks_before(F.col("p") * period), "a": _blocks_before((F.col("p") + 1) * period)}).withColumn("a", F.col("a") - F.col("first")).where("a > 0")
-    turns = earliest_deadline_first(each.select("p", "src", "n", "a", "first"), "p")
-    placed = turns.select("p", "src", "n", "first", F.posexplode("slots").alias("j", "at"))
-    return placed.select("src", (F.col("first") + F.col("j")).alias("block"), (F.col("p") * period + F.col("at")).alias("slot"), last.cast("long").alias("last"))
+def whole_shares(counts: DataFrame, block: int, period: int) -> tuple[DataFrame, int, int, int]:
+    """The sources in one row (``v``: src, n, a in order of src), the sum of their shares a, the slots of a period, and how many periods there are."""
+    top = counts.agg(F.count("*").alias("k"), F.sum("w").alias("w"), F.max(F.ceil(F.col("n") / block) / F.col("w")).alias("x")).first()
+    if not top["k"]:
+        return counts.select(F.array().alias("v")).where("false"), 0, 0, 0
+    slots, length = math.ceil(top["x"] * top["w"]) + top["k"] + 2, max(period, top["k"])
+    bits = 61 - math.ceil(math.log2(slots + length))
+    share = F.greatest(F.lit(1).cast("long"), F.round(F.col("w") / F.lit(top["w"]) * F.lit(float(1 << bits))).cast("long"))
+    line = counts.select("src", "n", share.alias("a")).agg(F.array_sort(F.collect_list(F.struct("src", "n", "a"))).alias("v"))
+    line = materialized(line, "shares")
+    total = line.select(F.aggregate("v", F.lit(0).cast("long"), lambda s, x: s + x["a"])).first()[0]
+    return line, total, length, -(-slots // length)
+
+
+def _by_source(order_by: str) -> Window:
+    return Window.partitionBy("src").orderBy(order_by)
+
+
+def waiting(line: DataFrame, total: int, periods: int, length: int) -> DataFrame:
+    """One row for each source and period p: src, n, a, and ``first`` and ``done``, its blocks done when the period starts and ends."""
+    spark = line.sparkSession
+    every = spark.range(periods).select(F.col("id").alias("p"), F.lit(0).alias("one")).repartition(max(1, min(periods, spark.sparkContext.defaultParallelism * 4)), "p")
+    every = every.join(F.broadcast(line.withColumn("one", F.lit(0))), "one")
+    begin, end = F.col("p") * length, (F.col("p") + 1) * length
+
+    def backlog(t: Column) -> Column:
+        return F.aggregate("v", -t, lambda s, x: s + _ceil_div(x["a"] * t, total))
+
+    every = every.withColumn("q", F.transform(F.sequence(begin + 1, end), backlog)).withColumn("least", F.array_min("q"))
+    # The last block that each source has released before the period ends.
+    each = every.select("p", "q", "least", F.explode("v").alias("x")).select("p", "q", "least", "x.*")
+    each = each.withColumn("i", _ceil_div(F.col("a") * end, total) - 1)
+    each = each.withColumn("r", _div(F.col("i") * total, F.col("a")))
+    here = F.col("r") >= begin
+    after = F.array_min(F.slice("q", F.when(here, F.col("r") - begin + 1).otherwise(F.lit(1)).cast("int"), F.lit(length)))
+    each = each.select("p", "src", "n", "a", "i", "r", here.cast("int").alias("here"), F.when(here, after).otherwise(F.col("least")).alias("g"))
+    # The smallest number of waiting blocks in the slots from a block's release on.
+    each = each.withColumn("run", F.sum("here").over(_by_source("p").rowsBetween(Window.unboundedPreceding, 0)))
+    since = Window.partitionBy("src", "run").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("g", F.min("g").over(since)).withColumn("open", (F.col("a") * end) % total != 0)
+    due = _ceil_div((F.col("i") + 1) * total, F.col("a"))
+    at_end = each.groupBy("p").agg(F.array_sort(F.collect_list(F.struct(due.alias("due"), "src", "n", "a", "i", "r", "g", "open"))).alias("s"))
+    at_end = at_end.withColumn("late", F.reverse(F.filter("s", lambda x: x["open"])))
+    start = F.struct(F.transform("late", lambda x: F.struct(x["r"].alias("r"), x["g"].alias("room"))).alias("rooms"), F.array().cast("array<string>").alias("wait"))
 
+    def take(now: Column, x: Column) -> Column:
+        full = F.exists(now["rooms"], lambda k: (k["r"] >= x["r"]) & (k["room"] <= 0))
+        rooms = F.transform(now["rooms"], lambda k: F.struct(k["r"].alias("r"), F.when(k["r"] >= x["r"], k["room"] - 1).otherwise(k["room"]).alias("room")))
+        return F.when(full, now).otherwise(F.struct(rooms.alias("rooms"), F.concat(now["wait"], F.array(x["src"])).alias("wait")))
 
-def earliest_deadline_first(table: DataFrame, *by: str) -> DataFrame:
-    """The sources (src, n, a) with m, the length of the period, and ``slots``, the slots of the period they get in order; for each value of ``by``.
+    at_end = at_end.select("p", "s", F.aggregate("late", start, take, lambda now: now["wait"]).alias("wait"))
+    done = at_end.select("p", "wait", F.explode("s").alias("x")).select("p", "x.src", "x.n", "x.a", (F.col("x.i") + 1 - F.array_contains("wait", F.col("x.src")).cast("long")).alias("done"))
+    return done.withColumn("first", F.lag("done", 1, 0).over(_by_source("p")))
+
+
+def earliest_deadline_first(table: DataFrame, total: int, length: int) -> DataFrame:
+    """For each source and period of ``waiting`` with a block in it: p, src, n, first, and ``slots``, the slots its blocks get in order.
 
     The sources of a period are one row here: at most one for each slot of the period, as those without a block are left out.
     """
-    more = [c for c in table.columns if c not in ("src", "a", "n", *by)]
-    line = table.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("src", "a", "n", *more))).alias("s"), F.sum("a").alias("m")).where("m > 0")
-    state = F.struct(F.transform("s", lambda x: F.lit(0).cast("long")).alias("done"), F.array().cast("array<int>").alias("order"))
+    table = table.withColumn("k", F.col("done") - F.col("first")).where("k > 0")
+    line = table.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("src", "a", "n", "first", "k"))).alias("s"))
+    state = F.struct(F.transform("s", lambda x: x["first"]).alias("next"), F.array().cast("array<int>").alias("order"))
 
     def step(now: Column, t: Column) -> Column:
         def offer(x: Column, i: Column) -> Column:
-            done, m = now["done"][i], F.col("m")
-            released = (done < x["a"]) & (F.floor(done * m / x["a"]) <= t)
-            return F.when(released, F.struct(F.ceil((done + 1) * m / x["a"]).alias("deadline"), i.alias("i")))
+            block = now["next"][i]
+            released = (block < x["first"] + x["k"]) & (_div(block * total, x["a"]) <= t)
+            return F.when(released, F.struct(_ceil_div((block + 1) * total, x["a"]).alias("deadline"), i.alias("i")))
+
+        def taken(best: Column) -> Column:
+            following = F.transform(now["next"], lambda d, i: F.when(i == best, d + 1).otherwise(d))
+            return F.struct(following.alias("next"), F.concat(now["order"], F.array(best)).alias("order"))
 
+        # As an element of an array the choice is worked out once for the slot.
         best = F.array_min(F.filter(F.transform("s", offer), lambda o: o.isNotNull()))["i"]
-        done = F.transform(now["done"], lambda d, i: d + F.when(i == best, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")))
-        return F.struct(done.alias("done"), F.concat(now["order"], F.array(best)).alias("order"))
+        return F.get(F.transform(F.array(best), taken), F.lit(0))
 
-    order = F.aggregate(F.sequence(F.lit(0), F.col("m").cast("int") - 1), state, step, lambda now: now["order"])
-    placed = line.select(*by, "s", "m", order.alias("order")).select(*by, "m", "order", F.posexplode("s").alias("i", "x"))
-    mine = F.filter(F.transform("order", lambda o, slot: F.when(o == F.col("i"), slot)), lambda slot: slot.isNotNull())
-    return placed.select(*by, "x.src", "x.n", "x.a", *(f"x.{c}" for c in more), "m", mine.alias("slots"))
+    begin = F.col("p") * length
+    order = F.aggregate(F.sequence(begin, begin + length - 1), state, step, lambda now: now["order"])
+    placed = line.select("p", "s", order.alias("order")).select("p", "order", F.posexplode("s").alias("i", "x"))
+    mine = F.filter(F.transform("order", lambda o, slot: F.when(o == F.col("i"), F.col("p") * length + slot)), lambda slot: slot.isNotNull())
+    return placed.select("p", "x.src", "x.n", "x.first", mine.alias("slots"))
+
+
+def schedule(counts: DataFrame, period: int, block: int) -> DataFrame:
+    """One row for each block of each source (src, n, w): src, block, slot, last (the block with the last row of the first pass)."""
+    line, total, length, periods = whole_shares(counts, block, period)
+    if not periods:
+        return counts.sparkSession.createDataFrame([], "src string, block long, slot long, last long")
+    turns = earliest_deadline_first(waiting(line, total, periods, length), total, length)
+    placed = turns.select("src", "n", "first", F.posexplode("slots").alias("j", "slot"))
+    return placed.select("src", (F.col("first") + F.col("j")).alias("block"), "slot", (F.ceil(F.col("n") / block) - 1).cast("long").alias("last"))
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", doc_id: str = "doc_id", period: int = PERIOD, block: int = BLOCK, max_epochs: int | None = None) -> DataFrame:
     """The rows with ``__epoch``, ``__slot`` (their block's turn) and ``__position`` in the mix."""
     counts = limited(targets(docs, weights, source), block, max_epochs)
     rows = counts.agg(F.sum("n")).first()[0]
-    places = materialized(schedule(materialized(laid_out(counts), "shares"), period, block), "places")
+    places = materialized(schedule(counts, period, block), "places")
     # The mix ends with the last slot that a first pass over any source needs.
     end = (places.where("block = last").agg(F.max("slot")).first()[0] or 0) + 1
     places = places.where(F.col("slot") < end).select(F.col("src").alias("__src"), F.col("block").alias("__block"), F.col("slot").alias("__slot"))

@@ -120,34 +120,36 @@ ORACLES: dict[str, str] = {
     "op2_license_scan": license_scan.SQL,
     "op3_source_mixing": r"""
 WITH RECURSIVE counts AS (
-  SELECT coalesce('=' || source, 'null') AS src, count(*) AS n FROM documents GROUP BY 1
+  SELECT coalesce('=' || source, 'null') AS src, count(*) AS n, pow(count(*), 0.7) AS w FROM documents GROUP BY 1
+), top AS (
+  SELECT sum(w) AS w, ceil(max(ceil(n / 16) / w) * sum(w))::BIGINT + count(*) + 2 AS slots, greatest(256, count(*)) AS period FROM counts
 ), weighed AS (
-  SELECT src, n, greatest(1, round(pow(n, 0.7) / sum(pow(n, 0.7)) OVER () * 1000))::BIGINT AS a FROM counts
+  SELECT src, n, greatest(1, round(c.w / top.w * pow(2, 61 - ceil(log2(slots + period)))))::HUGEINT AS a, slots FROM counts c, top
 ), line AS (
-  SELECT list(a ORDER BY src) AS a, sum(a)::BIGINT AS m FROM weighed
+  SELECT list(a ORDER BY src) AS a, sum(a)::HUGEINT AS m, max(slots) AS slots FROM weighed
 ), edf AS (
-  SELECT -1::BIGINT AS t, 0::BIGINT AS pick, list_transform(a, lambda x: 0::BIGINT) AS done FROM line
+  SELECT -1::BIGINT AS t, 0::HUGEINT AS pick, list_transform(a, lambda x: 0::HUGEINT) AS done FROM line WHERE m > 0
   UNION ALL
-  SELECT t + 1, best, list_transform(done, lambda d, i: d + (i = best)::BIGINT) FROM (
-    SELECT t, done, list_min(list_transform(a, lambda x, i: CASE WHEN done[i] < x AND done[i] * m // x <= t + 1
+  SELECT t + 1, best, list_transform(done, lambda d, i: d + (i = best)::HUGEINT) FROM (
+    SELECT t, done, list_min(list_transform(a, lambda x, i: CASE WHEN done[i] * m // x <= t + 1
       THEN ((done[i] + 1) * m + x - 1) // x * 100000 + i END)) % 100000 AS best
-    FROM edf, line WHERE t + 1 < m
+    FROM edf, line WHERE t + 1 < slots
   )
 ), places AS (
   SELECT pick, list(t ORDER BY t) AS slots FROM edf WHERE t >= 0 GROUP BY pick
 ), plan AS (
-  SELECT w.*, (SELECT m FROM line) AS m, slots FROM (SELECT *, row_number() OVER (ORDER BY src) AS i FROM weighed) w JOIN places ON i = pick
+  SELECT src, n, slots FROM (SELECT src, n, row_number() OVER (ORDER BY src) AS i FROM weighed) w JOIN places ON i = pick
 ), ends AS (
-  SELECT max(((n - 1) // 16) // a * m + slots[((n - 1) // 16) % a + 1]) + 1 AS e FROM plan
+  SELECT max(slots[(n - 1) // 16 + 1]) + 1 AS e FROM plan
 ), budget AS (
-  SELECT *, (e // m * a + len(list_filter(slots, lambda s: s < e % m))) * 16 AS items FROM plan, ends
+  SELECT *, len(list_filter(slots, lambda s: s < e)) * 16 AS items FROM plan, ends
 ), ranked AS (
   SELECT doc_id, source, coalesce('=' || source, 'null') AS src,
     row_number() OVER (PARTITION BY source ORDER BY md5(coalesce(doc_id::VARCHAR, 'null')), doc_id) - 1 AS k FROM documents
 ), turns AS (
-  SELECT doc_id, source, k, n, a, m, slots, unnest(range(least((items - 1 - k) // n, 3) + 1)) AS epoch FROM ranked JOIN budget USING (src)
+  SELECT doc_id, source, k, n, slots, unnest(range((items - 1 - k) // n + 1)) AS epoch FROM ranked JOIN budget USING (src)
 ), placed AS (
-  SELECT doc_id, source, epoch, k + epoch * n AS item, ((k + epoch * n) // 16) // a * m + slots[((k + epoch * n) // 16) % a + 1] AS slot FROM turns
+  SELECT doc_id, source, epoch, k + epoch * n AS item, slots[(k + epoch * n) // 16 + 1] AS slot FROM turns
 )
 SELECT doc_id, source, epoch, slot, slot * 16 + item % 16 AS position FROM placed""",
     "op6_chat_formatting": r"""

@@ -157,24 +157,26 @@ def test_components_of_long_chains(spark):
 # ---- mixing --------------------------------------------------------------------------------------
 
 
-def brute_schedule(shares):
-    """Earliest deadline first, slot by slot, with exact fractions."""
-    m, done, order = sum(shares), [0] * len(shares), []
-    for t in range(m):
-        ready = [(-(-(done[i] + 1) * m // a), i) for i, a in enumerate(shares) if done[i] < a and done[i] * m // a <= t]
-        pick = min(ready)[1]
+def brute_schedule(a, n):
+    """Earliest deadline first, slot by slot, over the whole mix; a share is a[i] of the sum."""
+    m, done, order = sum(a), [0] * len(a), []
+    for t in range(n):
+        due, pick = min((-(-(done[i] + 1) * m // x), i) for i, x in enumerate(a) if done[i] * m // x <= t)
+        assert due > t
         done[pick] += 1
-        order.append(pick)
-        assert all(abs(done[i] - Fraction((t + 1) * a, m)) < 1 for i, a in enumerate(shares))
+        order.append((pick, done[pick] - 1))
+        assert all(abs(done[i] - Fraction((t + 1) * x, m)) < 1 for i, x in enumerate(a))
     return order
 
 
-@pytest.mark.parametrize("shares", [[1], [500, 10, 10, 10, 470], [7, 3, 5, 1, 1, 1], [333, 333, 334], [1] * 40 + [60]])
-def test_schedule_by_brute_force(spark, shares):
-    table = spark.createDataFrame([(f"s{i:03}", 10, a) for i, a in enumerate(shares)], "src string, n long, a long")
-    got = {r.src: r.slots for r in mixing.earliest_deadline_first(table).collect()}
-    order = brute_schedule(shares)
-    assert got == {f"s{i:03}": [t for t, x in enumerate(order) if x == i] for i in range(len(shares))}
+@pytest.mark.parametrize("shares", [[1], [500, 10, 10, 10, 470], [7, 3, 5, 1, 1, 1], [333, 333, 334], [1] * 40 + [60], [90_000, 7, 7, 7, 9_000, 1, 1, 1, 1]])
+@pytest.mark.parametrize("length", [9, 50])
+def test_schedule_by_brute_force(spark, shares, length):
+    names = [f"s{i:03}" for i in range(len(shares))]
+    line = spark.createDataFrame([([(x, 10, a) for x, a in zip(names, shares)],)], "v array<struct<src: string, n: long, a: long>>")
+    turns = mixing.earliest_deadline_first(mixing.waiting(line, sum(shares), 12, length), sum(shares), length)
+    got = {slot: (r.src, r.first + j) for r in turns.collect() for j, slot in enumerate(r.slots)}
+    assert got == {t: (names[i], k) for t, (i, k) in enumerate(brute_schedule(shares, 12 * length))}
 
 
 def test_mix_keeps_every_row_and_its_shares(frame, monkeypatch):
@@ -201,14 +203,21 @@ def _by_slot(rows):
 def test_blocks_follow_unrounded_weights(spark, weights):
     total = sum(Fraction(w) for w in weights.values())
     counts = spark.createDataFrame([(s, 1 if w / float(total) < 0.01 and len(weights) < 9 else 8000 // len(weights), float(w)) for s, w in weights.items()], "src string, n long, w double")
-    placed = mixing.schedule(mixing.laid_out(counts), 100, 1).orderBy("slot").collect()
+    placed = mixing.schedule(counts, 100, 1).orderBy("slot").collect()
     assert [r.slot for r in placed] == list(range(len(placed))) and len(placed) > 5000
     done, share = Counter(), {s: float(Fraction(w) / total) for s, w in weights.items()}
     for t, r in enumerate(placed, 1):
         assert r.block == done[r.src]
         done[r.src] += 1
-        if t % 10 == 0 or len(weights) < 9:
-            assert all(abs(done[s] - w * t) < (1 if t % 100 == 0 else 2) for s, w in share.items())
+        assert all(abs(done[s] - w * t) < 1 for s, w in share.items())
+
+
+def test_no_row_comes_twice_in_an_epoch(frame):
+    docs = frame([(i, "t", "ab"[i % 2] if i < 800 else f"small{i % 50:02}") for i in range(1050)])
+    for weights in (None, {"a": 9, "b": 3} | {f"small{i:02}": 10.0 ** -(i % 3) for i in range(50)}):
+        rows = mixing.mixed(docs, weights, period=20, block=2).collect()
+        assert {r.doc_id for r in rows} == set(range(1050))
+        assert len({(r.doc_id, r["__epoch"]) for r in rows}) == len(rows) == len({r["__position"] for r in rows})
 
 
 def test_small_sources_reach_their_share(frame):
