@@ -1,13 +1,15 @@
 """Toxicity by multiple-instance learning: sentences are the instances, documents carry the labels.
 
-A sentence's words add up to a logit; a document is toxic if any of its sentences is (noisy-or):
-``p(document) = 1 - prod(1 - p(sentence))``. The weights are fitted to the labels of documents alone by minimising the
-cross entropy of that probability, with a sparsity penalty that leaves weights only to words which tell; so the sentences at
-fault come out of the fit without having been labelled.
-
-Training takes at most ``PER_CLASS`` documents of each label and ``VOCABULARY`` words: those in at least ``MIN_DOCS`` of the
+A sentence's words, and the beginnings of words (``BEGINNINGS`` letters), add up to a logit; a document is toxic if any of its
+sentences is (noisy-or): ``p(document) = 1 - prod(1 - p(sentence))``. Beginnings are what words that are bent or put together
+in many ways have in common, each of which is too rare to tell by itself. The weights are fitted to the labels of documents
+alone by minimising the cross entropy of that probability, with a sparsity penalty that leaves weights only to what tells; so
+the sentences at fault come out of the fit without having been labelled. The penalty is the one of ``PENALTIES`` that does
+best on a fold of the training rows (one in ``INNER``) after a fit to the others; then all are fitted with it.
+
+Training takes at most ``PER_CLASS`` documents of each label and ``VOCABULARY`` features: those in at least ``MIN_DOCS`` of the
 sampled documents whose share differs most between the labels, counted by Spark. What reaches the driver is the sampled
-sentences as word numbers. Classes are weighted back to their true shares. Scoring looks at every sentence of every text.
+sentences as feature numbers. Classes are weighted back to their true shares. Scoring looks at every sentence of every text.
 
 Edge cases: a null or empty text has no sentence and scores 0. Without labelled documents of both kinds every sentence has
 the smoothed share of toxic documents as its probability. Null labels and null ids are no training rows. Repeated rows score
@@ -16,7 +18,10 @@ alike. An empty table gives no rows. Other columns are not looked at.
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -32,7 +37,10 @@ PER_CLASS = 2500
 VOCABULARY = 5000
 MIN_DOCS = 4
 STEPS = 150
-PENALTY = 1e-3
+#: Lengths of the beginnings of words.
+BEGINNINGS = range(4, 11)
+PENALTIES = (1e-3, 3e-4, 1e-4, 3e-5)
+INNER = 4
 
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -43,28 +51,60 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(text or "") if _WORD.search(m[0])]
 
 
+def features(word: str) -> list[str]:
+    """A word and its beginnings, which end in a sign that no word holds."""
+    return [word, *(word[:k] + "-" for k in BEGINNINGS if k < len(word))]
+
+
+class _Telling(dict):
+    """Of a word, the features that have a weight; remembered up to a bound."""
+
+    KEPT = 200_000
+
+    def __init__(self, weights: dict[str, float]):
+        super().__init__()
+        self.weights = weights
+
+    def __missing__(self, word: str) -> list[str]:
+        found = [f for f in features(word) if f in self.weights]
+        if len(self) >= self.KEPT:
+            self.clear()
+        self[word] = found
+        return found
+
+
 @dataclass(frozen=True)
 class Model:
-    """Logit weights of words and the logit of a sentence without any of them."""
+    """Logit weights of features and the logit of a sentence without any of them."""
 
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
 
+    def reader(self) -> Callable[[str | None], list[tuple[int, int, float]]]:
+        """A function from a text to (start, end, probability) of every sentence; each feature counts once in a sentence."""
+        telling = _Telling(self.weights)
+
+        def read(text: str | None) -> list[tuple[int, int, float]]:
+            text, out = text or "", []
+            for start, end in sentences(text):
+                found = {f for word in set(_WORD.findall(text[start:end].lower())) for f in telling[word]}
+                # The exact sum does not depend on the order of a set.
+                logit = math.fsum((self.bias, *(self.weights[f] for f in found)))
+                out.append((start, end, 1.0 / (1.0 + math.exp(-max(-700.0, logit)))))
+            return out
+
+        return read
+
     def sentence_probabilities(self, text: str | None) -> list[tuple[int, int, float]]:
-        """(start, end, probability) of every sentence; each word counts once in a sentence."""
-        text, get, out = text or "", self.weights.get, []
-        for start, end in sentences(text):
-            logit = self.bias + sum(w for word in set(_WORD.findall(text[start:end].lower())) if (w := get(word)))
-            out.append((start, end, 1.0 / (1.0 + float(np.exp(-logit)))))
-        return out
+        return self.reader()(text)
 
 
 def noisy_or(probabilities: list[float]) -> float:
     return float(-np.expm1(np.log1p(-np.minimum(probabilities, 1 - 1e-12)).sum())) if probabilities else 0.0
 
 
-def fit(bags: list[list[list[int]]], labels: np.ndarray, weight: np.ndarray, n_words: int, base_rate: float, steps: int = STEPS, penalty: float = PENALTY) -> tuple[float, np.ndarray]:
-    """Bias and word weights for documents given as sentences of distinct word numbers: Adam with soft thresholding."""
+def fit(bags: list[list[list[int]]], labels: np.ndarray, weight: np.ndarray, n_words: int, base_rate: float, steps: int = STEPS, penalty: float = PENALTIES[0]) -> tuple[float, np.ndarray]:
+    """Bias and weights for documents given as sentences of distinct feature numbers: Adam with soft thresholding."""
     keep = [i for i, bag in enumerate(bags) if bag]
     y, weight = labels[keep].astype(float), weight[keep] / weight[keep].sum()
     lens = np.array([len(s) for i in keep for s in bags[i]])
@@ -91,6 +131,26 @@ def fit(bags: list[list[list[int]]], labels: np.ndarray, weight: np.ndarray, n_w
     return bias, w
 
 
+def loss(bags: list[list[list[int]]], labels: np.ndarray, weight: np.ndarray, bias: float, w: np.ndarray) -> float:
+    """Weighted cross entropy of the noisy-or."""
+    total = 0.0
+    for bag, y, k in zip(bags, labels, weight):
+        p = noisy_or([1 / (1 + math.exp(-min(40.0, max(-40.0, bias + w[s].sum())))) for s in bag])
+        total -= k * math.log(min(1 - 1e-9, max(1e-9, p if y == 1 else 1 - p)))
+    return total
+
+
+def fit_best(bags: list[list[list[int]]], labels: np.ndarray, weight: np.ndarray, n_words: int, base_rate: float, fold: np.ndarray, penalties: tuple[float, ...] = PENALTIES) -> tuple[float, np.ndarray]:
+    """``fit`` with the penalty that does best on the rows of ``fold`` (ties: the larger one)."""
+    pick = lambda at: ([bags[i] for i in at], labels[at], weight[at])
+    inside, outside = np.flatnonzero(~fold), np.flatnonzero(fold)
+    best = penalties[0]
+    if len(set(labels[inside])) == 2 and len(set(labels[outside])) == 2:
+        losses = [loss(*pick(outside), *fit(*pick(inside), n_words, base_rate, penalty=p)) for p in penalties]
+        best = penalties[int(np.argmin(losses))]
+    return fit(bags, labels, weight, n_words, base_rate, penalty=best)
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column | None = None, doc_id: str = "doc_id", text: str = "text", per_class: int = PER_CLASS) -> Model:
     """A model from the labels for which ``keep`` (over column ``doc``) holds."""
     small_batches(docs.sparkSession)
@@ -102,7 +162,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column
 
     @pandas_udf("array<array<string>>")
     def split(texts: pd.Series) -> pd.Series:
-        return pd.Series([[sorted(set(_WORD.findall(t[a:b].lower()))) for a, b in sentences(t)] for t in texts], dtype=object)
+        own = lambda sentence: sorted({f for word in _WORD.findall(sentence.lower()) for f in features(word)})
+        return pd.Series([[own(t[a:b]) for a, b in sentences(t)] for t in texts], dtype=object)
 
     bags = sample.select("doc", "label", split("text").alias("bag")).persist()
     try:
@@ -123,7 +184,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", keep: Column
     if not len(vocabulary) or len(set(y)) < 2:
         return Model(float(np.log(share / (1 - share))))
     weight = np.where(y == 1, positive / max(1, (y == 1).sum()), negative / max(1, (y == 0).sum()))
-    bias, w = fit([[s["ids"] for s in r["bag"]] for r in rows], y, weight, len(vocabulary), share)
+    fold = np.array([zlib.crc32(f"{r['doc']}:inner".encode()) % INNER == 0 for r in rows])
+    bias, w = fit_best([[s["ids"] for s in r["bag"]] for r in rows], y, weight, len(vocabulary), share, fold)
     return Model(float(bias), {word: float(w[i]) for word, i in vocabulary.items() if w[i]})
 
 
@@ -133,9 +195,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", at_least: float = 0
 
     @pandas_udf("score double, offending array<struct<start: int, end: int, p: double>>")
     def judge(texts: pd.Series) -> pd.DataFrame:
-        rows = []
+        rows, read = [], model.reader()
         for t in texts:
-            found = model.sentence_probabilities(t)
+            found = read(t)
             rows.append((noisy_or([p for _, _, p in found]), [{"start": a, "end": b, "p": p} for a, b, p in found if p >= at_least]))
         return pd.DataFrame(rows, columns=["score", "offending"])
 
