@@ -69,11 +69,11 @@ def scatter(
     return points if n <= max_points else points.sample(False, max_points / n, seed)
 
 
-def box(df: DataFrame, num: str, cat: str | None = None, limit: int | None = None) -> DataFrame:
+def box(df: DataFrame, num: str, cat: str | None = None) -> DataFrame:
     """Minimum, quartiles and maximum, per category where one is given."""
     rows = df if cat is None else df.where(quoted(cat).isNotNull()).withColumn("category", quoted(cat))
     by = [] if cat is None else ["category"]
-    return summarize(rows, [num], by, limit=limit).select(
+    return summarize(rows, [num], by).select(
         *by, "min", F.col("q25").alias("q1"), F.col("q50").alias("median"), F.col("q75").alias("q3"), "max"
     )
 
@@ -84,7 +84,7 @@ def heatmap(df: DataFrame, cols: Sequence[str] | None = None, first: int | None
 
 
 def dashboard(
-    df: DataFrame, num: str, cat: str, other: str, limit: int | None = None, categories: int | None = None
+    df: DataFrame, num: str, cat: str, other: str, categories: int | None = None
 ) -> dict[str, DataFrame]:
     """Distribution, comparison (of the first ``categories``, by default all), relationship and summary of a table."""
     means = compare_groups(df, cat, num).select("category", "mean").orderBy("category")
@@ -92,7 +92,7 @@ def dashboard(
         "distribution": histogram(df, num),
         "comparison": means if categories is None else means.limit(categories),
         "relationship": scatter(df, num, other),
-        "summary": summarize(df, [num], probs=(0.5,), limit=limit).select(
+        "summary": summarize(df, [num], probs=(0.5,)).select(
             "mean", F.col("q50").alias("median"), "std"
         ),
     }

@@ -41,13 +41,13 @@ def dedupe(df: DataFrame) -> DataFrame:
 # ---- missing values ------------------------------------------------------------------------------
 
 
-def fill_values(df: DataFrame, cols: Sequence[str], how: str, limit: int | None = None) -> dict[str, object]:
+def fill_values(df: DataFrame, cols: Sequence[str], how: str) -> dict[str, object]:
     """What ``impute`` would put into each column."""
     cols = list(cols)
     if not cols:
         return {}
     if how == "median":
-        return {c: (q[0] if q else None) for c, q in collect_quantiles(df, cols, [0.5], limit).items()}
+        return {c: (q[0] if q else None) for c, q in collect_quantiles(df, cols, [0.5]).items()}
     if how == "mean":
         return {c: m for c, (m, _) in _moments(df, cols).items()}
     if how == "mode":
@@ -79,24 +79,23 @@ def fill_with(df: DataFrame, fills: Mapping[str, object]) -> DataFrame:
 
 def impute(
     df: DataFrame, cols: Sequence[str], how: str, constants: Mapping[str, object] | None = None,
-    limit: int | None = None,
 ) -> DataFrame:
     """Fill missing values by ``median, mean, mode, constant`` or ``unknown``."""
     if how == "constant":
         return fill_with(df, {c: (constants or {}).get(c, UNKNOWN) for c in cols})
-    return fill_with(df, fill_values(df, cols, how, limit))
+    return fill_with(df, fill_values(df, cols, how))
 
 
 # ---- outliers ------------------------------------------------------------------------------------
 
 
 def outlier_bounds(
-    df: DataFrame, cols: Sequence[str], method: str = "iqr", threshold: float = 3.0, limit: int | None = None
+    df: DataFrame, cols: Sequence[str], method: str = "iqr", threshold: float = 3.0
 ) -> dict[str, tuple[float, float]]:
     """Lower and upper bound per column; a column without spread (z-score) or values has none."""
     if method == "iqr":
         out = {}
-        for c, q in collect_quantiles(df, cols, [0.25, 0.75], limit).items():
+        for c, q in collect_quantiles(df, cols, [0.25, 0.75]).items():
             if q:
                 step = 1.5 * (q[1] - q[0])
                 out[c] = (q[0] - step, q[1] + step)
@@ -112,10 +111,10 @@ def _outside(df: DataFrame, c: str, bounds: tuple[float, float]) -> Column:
 
 
 def outlier_counts(
-    df: DataFrame, cols: Sequence[str], method: str = "iqr", threshold: float = 3.0, limit: int | None = None
+    df: DataFrame, cols: Sequence[str], method: str = "iqr", threshold: float = 3.0
 ) -> DataFrame:
     """Bounds and number of values outside them, per column."""
-    bounds = outlier_bounds(df, cols, method, threshold, limit)
+    bounds = outlier_bounds(df, cols, method, threshold)
     entries = []
     for c in cols:
         low, high = bounds.get(c, (None, None))
@@ -163,7 +162,6 @@ def outliers(
     action: str = "clip",
     threshold: float = 3.0,
     sequential: bool = True,
-    limit: int | None = None,
 ) -> DataFrame:
     """Clip outliers to the bounds or drop their rows; missing values stay.
 
@@ -172,14 +170,14 @@ def outliers(
     """
     cols = list(cols or numeric_columns(df))
     if action == "clip":
-        return clip_to(df, outlier_bounds(df, cols, method, threshold, limit))
+        return clip_to(df, outlier_bounds(df, cols, method, threshold))
     if action != "drop":
         raise ValueError(f"unknown outlier action {action!r}")
     if not sequential:
-        return keep_within(df, outlier_bounds(df, cols, method, threshold, limit))
+        return keep_within(df, outlier_bounds(df, cols, method, threshold))
     out = df
     for c in cols:
-        out = keep_within(out, outlier_bounds(out, [c], method, threshold, limit))
+        out = keep_within(out, outlier_bounds(out, [c], method, threshold))
     return out
 
 

@@ -1,9 +1,11 @@
-"""Order-dependent columns without putting a whole group into one task.
-
-A window over (group, order) sends every row of a group to one task. Instead the rows are range-partitioned on group and
-order keys, of whatever sortable type, with a hash of the row last so that ties and missing keys split as well. A partition
-is a chunk: the window runs inside (group, chunk), and what a chunk needs from earlier ones is one row per chunk and group,
-carried over by a second window on that much smaller table. There is no other path for small inputs.
+"""Order-dependent columns without putting a whole group into one task, and without writing the table.
+
+A window over (group, order) sends every row of a group to one task. Instead the keys are cut into ranges: a sample of the
+keys (group and order keys of any sortable type, with a hash of the row last, so that ties and missing keys split as well) is
+written once as a handful of bounds, and every row's range is an expression over its own keys. The window runs inside
+(group, range). What a range needs from earlier ones is one row; as ranges are contiguous, only a group that holds a bound is
+in several, so there are at most as many such rows as ranges: they are broadcast. Only columns that are asked for are read and
+shuffled. There is no other path for small inputs.
 """
 
 from __future__ import annotations
@@ -17,16 +19,44 @@ from pyspark.sql import types as T
 from tabulens.functions.nulls import quoted
 from tabulens.session import materialized
 
+#: Keys sampled for each range.
+SAMPLED = 50
+
+
+def _key(by: Sequence[str], order_by: Sequence[str]) -> Column:
+    """The keys in order; within a struct, as in an ascending sort, missing comes first."""
+    groups = [quoted(c).alias(f"g{i}") for i, c in enumerate(by)]
+    return F.struct(*groups, *[quoted(c).alias(f"o{i}") for i, c in enumerate(order_by)], F.col("_tie").alias("t"))
 
-def chunked(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``_tie`` and a chunk number that never decreases along (by, order_by, _tie).
 
-    The rows are written out: the chunks must be the same for all that reads them.
-    """
+def _bounds(placed: DataFrame, key: Column, ranges: int) -> DataFrame:
+    """One row: the keys at which ranges begin, all but the first one's."""
+    sample = placed.select(key.alias("key")).orderBy(F.rand(0)).limit(SAMPLED * ranges)
+    keys = sample.agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    at = F.transform(F.sequence(F.lit(1), F.lit(max(1, ranges - 1))), lambda i: F.get("keys", F.floor(i * F.size("keys") / ranges).cast("int")))
+    return keys.select(F.array_distinct(F.filter(at, lambda k: k.isNotNull())).alias("bounds"))
+
+
+def chunked(df: DataFrame, order_by: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Adds ``_tie``, ``_chunk``, which never decreases along (by, order_by, _tie), and ``_spans``: the group may be in several."""
     hashed = [quoted(f.name) for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    keys = [quoted(c).asc_nulls_first() for c in by] + _order(order_by)
-    placed = df.withColumn("_tie", F.xxhash64(*hashed)).repartitionByRange(*keys, F.col("_tie"))
-    return materialized(placed.withColumn("_chunk", F.spark_partition_id()), "chunks")
+    placed = df.withColumn("_tie", F.xxhash64(*hashed))
+    key = _key(by, order_by)
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Written, so that all that reads the ranges sees the same ones.
+    bounds = materialized(_bounds(placed, key, ranges), "bounds")
+    found = placed.select("*", key.alias("_key"), bounds.scalar().alias("_bounds"), F.lit(0).alias("_chunk"))
+    # Binary search, a column for each step: compiled code without a loop over bounds.
+    for step in [1 << k for k in range(ranges.bit_length() - 1, -1, -1)]:
+        beyond = F.get("_bounds", F.col("_chunk") + (step - 1)) <= F.col("_key")
+        found = found.withColumn("_chunk", F.col("_chunk") + F.when(beyond, F.lit(step)).otherwise(F.lit(0)))
+    spans = F.lit(not by)
+    for near in (F.get("_bounds", F.col("_chunk") - 1), F.get("_bounds", F.col("_chunk"))):
+        same = F.lit(bool(by))
+        for i, c in enumerate(by):
+            same = same & near[f"g{i}"].eqNullSafe(quoted(c))
+        spans = spans | same
+    return found.withColumn("_spans", spans).drop("_key", "_bounds")
 
 
 def _order(order_by: Sequence[str]) -> list[Column]:
@@ -34,31 +64,30 @@ def _order(order_by: Sequence[str]) -> list[Column]:
 
 
 def _carried(df: DataFrame, value: str, order_by: Sequence[str], by: list[str], skip_null: bool) -> DataFrame:
-    """Per (group, chunk): the last value before the chunk starts."""
-    # Missing keys come first in order; max_by over structs sees NULL as smallest too.
-    place = F.struct(*[quoted(c) for c in order_by], F.col("_tie"))
-    if skip_null:
-        place = F.when(quoted(value).isNotNull(), place)
-    keys = [quoted(k) for k in by]
-    ends = df.groupBy(*keys, "_chunk").agg(F.max_by(F.struct(quoted(value).alias("v")), place).alias("end"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    return ends.select(*keys, "_chunk", F.last("end", ignorenulls=True).over(before).alias("_carry"))
+    """Per (group, chunk) with an earlier one of the same group: the last value before the chunk starts."""
+    place = _key([], order_by)
+    wanted = F.col("_spans") & quoted(value).isNotNull() if skip_null else F.col("_spans")
+    # Rows of other groups become one group: a filter on them would repeat the search for the range within itself.
+    keys = [F.when(F.col("_spans"), quoted(k)).alias(f"_g{i}") for i, k in enumerate(by)]
+    names = [f"_g{i}" for i in range(len(by))]
+    ends = df.groupBy("_spans", *keys, F.when(F.col("_spans"), F.col("_chunk")).alias("_at"))
+    ends = ends.agg(F.max_by(F.struct(quoted(value).alias("v")), F.when(wanted, place)).alias("end"))
+    before = Window.partitionBy("_spans", *names).orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    return ends.select(*names, "_at", F.last("end", ignorenulls=True).over(before).alias("_carry")).where("_carry IS NOT NULL")
 
 
 def _with_carry(df: DataFrame, carry: DataFrame, by: list[str]) -> DataFrame:
-    d, c = df.alias("d"), carry.alias("c")
-    same = F.col("d._chunk") == F.col("c._chunk")
-    for k in by:
-        same = same & F.col(f"d.`{k}`").eqNullSafe(F.col(f"c.`{k}`"))
-    return d.join(c, same, "left").select("d.*", "c._carry")
+    same = F.col("_chunk") == F.col("_at")
+    for i, k in enumerate(by):
+        same = same & quoted(k).eqNullSafe(F.col(f"_g{i}"))
+    return df.join(F.broadcast(carry), same, "left")
 
 
 def forward_fill(df: DataFrame, column: str, order_by: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Each missing value takes the last present one before it in its group."""
     by, order_by = list(by), list(order_by)
     cut = chunked(df, order_by, by)
-    keys = [quoted(k) for k in by]
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*_order(order_by), "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*[quoted(k) for k in by], "_chunk").orderBy(*_order(order_by), "_tie").rowsBetween(Window.unboundedPreceding, 0)
     filled = _with_carry(cut, _carried(cut, column, order_by, by, skip_null=True), by)
     value = F.coalesce(F.last(quoted(column), ignorenulls=True).over(inside), F.col("_carry.v"))
     return filled.withColumn(column, value).select(*[quoted(c) for c in df.columns])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulens.functions.nulls import number, quoted
-from tabulens.operators.quantiles import collect_quantiles, fits_buffer, of_sorted
+from tabulens.operators.quantiles import collect_quantiles
 from tabulens.operators.schema import (
     columns_of,
     numeric_columns,
@@ -136,11 +136,11 @@ def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bo
     return out
 
 
-def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """min, max, mean, median and sample standard deviation per numeric column."""
     from tabulens.operators.stats import summarize
 
-    found = summarize(df, cols or numeric_columns(df), probs=(0.5,), limit=limit)
+    found = summarize(df, cols or numeric_columns(df), probs=(0.5,))
     return found.select("column", "min", "max", "mean", F.col("q50").alias("median"), "std")
 
 
@@ -186,22 +186,22 @@ def date_ranges(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return per_column(df, entries)
 
 
-def basic_stats(df: DataFrame, cols: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+def basic_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """mean, median, std, min, max, q1, q3, count per numeric column."""
     from tabulens.operators.stats import summarize
 
-    found = summarize(df, cols or numeric_columns(df), limit=limit)
+    found = summarize(df, cols or numeric_columns(df))
     return found.select(
         "column", "mean", F.col("q50").alias("median"), "std", "min", "max",
         F.col("q25").alias("q1"), F.col("q75").alias("q3"), "count",
     )
 
 
-def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+def describe_numeric(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, quartiles, max per numeric column, with exact quartiles."""
     from tabulens.operators.stats import summarize
 
-    found = summarize(df, cols or numeric_columns(df), limit=limit)
+    found = summarize(df, cols or numeric_columns(df))
     return found.select("column", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
@@ -219,21 +219,18 @@ def sample_values(df: DataFrame, n: int = 3, max_cols: int | None = None) -> Dat
     return smallest_per_group(rows, ["column"], ["value"], n)
 
 
-def profile_columns(df: DataFrame, approx: bool = False, limit: int | None = None) -> DataFrame:
+def profile_columns(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: type, missing, distinct, numeric statistics, outliers, date range.
 
-    A table that fits a buffer is read once for the statistics and once for the distinct counts. A larger
-    one is read again for the outliers, with the means as literals, and for the medians.
+    One scan for the statistics, one for the outliers with the means as literals, those of the medians and distinct counts.
     """
     numeric = numeric_columns(df)
-    small = fits_buffer(df, limit, len(numeric))
     entries = []
     for f in df.schema:
         is_num, is_time = f.name in numeric, isinstance(f.dataType, _TEMPORAL)
         x = number(df, f.name) if is_num else F.lit(None).cast("double")
         t = quoted(f.name) if is_time else F.lit(None)
         here = present(df, f.name)
-        sorted_values = F.sort_array(F.collect_list(x)) if is_num and small else F.lit(None).cast("array<double>")
         entries.append(
             F.struct(
                 F.lit(f.name).alias("column"),
@@ -247,18 +244,9 @@ def profile_columns(df: DataFrame, approx: bool = False, limit: int | None = Non
                 F.stddev_samp(x).alias("std"),
                 F.min(t).cast("timestamp_ntz").alias("min_date"),
                 F.max(t).cast("timestamp_ntz").alias("max_date"),
-                sorted_values.alias("sorted"),
             )
         )
-    base = per_column(df, entries)
-    if small:
-        far = F.filter("sorted", lambda v: (F.abs(v - F.col("mean")) / F.col("std")) > 3)
-        count = F.when(F.col("std") > 0, F.size(far)).otherwise(0).cast("bigint")
-        stats = base.withColumn("median", F.when(F.size("sorted") > 0, of_sorted(F.col("sorted"), 0.5))).withColumn(
-            "num_outliers", F.when(F.col("is_num"), count)
-        )
-    else:
-        stats = _profile_large(df, base, numeric)
+    stats = _with_medians(df, per_column(df, entries), numeric)
     # Both sides have one row per column.
     return stats.join(F.broadcast(distinct_counts(df, approx=approx)), "column").select(
         "column", "dtype", "num_missing", "pct_missing", "num_unique", "min", "max", "mean", "median", "std",
@@ -266,10 +254,10 @@ def profile_columns(df: DataFrame, approx: bool = False, limit: int | None = Non
     )
 
 
-def _profile_large(df: DataFrame, base: DataFrame, numeric: Sequence[str]) -> DataFrame:
+def _with_medians(df: DataFrame, base: DataFrame, numeric: Sequence[str]) -> DataFrame:
     """Medians and outliers by further scans; everything that passes the driver has one row per column."""
     rows = base.collect()
-    median = {c: q[0] for c, q in collect_quantiles(df, numeric, [0.5], limit=0).items() if q} if numeric else {}
+    median = {c: q[0] for c, q in collect_quantiles(df, numeric, [0.5]).items() if q}
     entries = []
     for r in rows:
         hit = F.lit(False)
@@ -292,7 +280,7 @@ def long_metrics(part: str, df: DataFrame, key: str, metrics: Sequence[str]) ->
     ).select("part", "column", "m.metric", "m.value")
 
 
-def comprehensive_profile(df: DataFrame, limit: int | None = None) -> DataFrame:
+def comprehensive_profile(df: DataFrame) -> DataFrame:
     """Description, correlations, distinct and missing counts as one long table."""
     from tabulens.operators.stats import correlation
 
@@ -301,7 +289,7 @@ def comprehensive_profile(df: DataFrame, limit: int | None = None) -> DataFrame:
     )
     return (
         long_metrics(
-            "describe", describe_numeric(df, limit=limit), "column",
+            "describe", describe_numeric(df), "column",
             ["count", "mean", "std", "min", "q25", "q50", "q75", "max"],
         )
         .unionByName(long_metrics("correlation", pairs, "column", ["r"]))

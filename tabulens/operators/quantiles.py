@@ -1,170 +1,161 @@
-"""Exact quantiles that no single task has to hold.
-
-Up to a counted number of cells a group's values are sorted in one aggregation
-buffer. Above it the order statistics are found digit by digit: every double has
-an integer key that grows with it; a histogram over the leading digits of the key
-says which bucket holds the wanted rank, and only that bucket's rows go on to the
-next digits. Histograms are partially aggregated and have a fixed number of
-buckets, so neither many rows nor one hot group enlarges what a task keeps.
+"""Exact quantiles in three scans, whatever the number of rows, columns and groups.
+
+The first scan sketches every column of every group (bounded, mergeable) and takes from it, for each wanted quantile, a value
+a little below and one a little above: a bracket. The second counts how many values lie before and inside each bracket, which
+proves that the wanted ranks are inside. The third fetches the values inside, counted by value. A bracket that still holds more
+than ``FEW`` values is narrowed by a sketch of its inside and another count before that, so no task holds more than that many
+values of a group, and a bracket whose ends are equal needs no values at all. Tables of any size go this one way.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tabulens.functions.nulls import number, quoted
-from tabulens.operators.schema import per_column
-
-# Cells (rows times columns) up to which aggregation buffers may see all values.
-BUFFER_CELLS = 8_000_000
+from tabulens.session import materialized
 
-# Key bits below the histogram, level by level: 1/256 of an octave, then 4096 and 256 parts of the one before.
-_SHIFTS = (20, 8, 0)
-# Rows in one bucket that may be sorted by value without narrowing further.
-_EXACT_ROWS = 1_000_000
-# Wanted buckets that may pass through the driver.
-_TARGET_ROWS = 20_000
+#: Accuracy of the sketches: their ranks are off by less than rows / ACCURACY. Brackets leave twice that.
+ACCURACY = 1000
+MARGIN = 2 / ACCURACY
+#: Distinct values of a bracket that may be fetched.
+FEW = 200_000
+#: Parts that the inside of a bracket is cut into to narrow it, and how often at most.
+PARTS = 100
+ROUNDS = 6
+#: Columns that go into one scan.
+BATCH = 40
+#: Groups whose brackets are sent to all tasks; more are joined by a shuffle.
+SENT_GROUPS = 10_000
 
 
-def fits_buffer(df: DataFrame, limit: int | None = None, cols: int = 1) -> bool:
-    """Counted, not estimated: on a parquet scan this reads footers only."""
-    limit = BUFFER_CELLS if limit is None else limit
-    return limit > 0 and df.count() * max(cols, 1) <= limit
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(by..., column, quantiles)``: linear interpolation, NULL and NaN ignored; NULL where a group has no value."""
+    parts = [_of_batch(df, cols[i : i + BATCH], list(probs), list(by)) for i in range(0, len(cols), BATCH)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def quarter(cols: Sequence[str]) -> int:
-    """Columns per aggregation when buffers are large: up to four run side by side, each reading its own columns."""
-    return -(-len(cols) // 4) or 1
+def collect_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> dict[str, list[float] | None]:
+    """One small row per column on the driver, to be used as literals."""
+    found = {r["column"]: r["quantiles"] for r in exact_quantiles(df, cols, probs).collect()} if cols else {}
+    return {c: found.get(c) for c in cols}
 
 
-def position_in(n: Column, p: float) -> Column:
-    return (n - 1) * F.lit(float(p))
+def _of_batch(df: DataFrame, cols: Sequence[str], probs: list[float], by: list[str]) -> DataFrame:
+    keys = [f"g{i}" for i in range(len(by))]
+    # Adding 0.0 turns -0.0 into 0.0.
+    rows = df.select(*[quoted(b).alias(k) for b, k in zip(by, keys)], *[(number(df, c) + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)])
+    slots = [(i, j) for i in range(len(cols)) for j in range(len(probs))]
+    state = _counted(rows, keys, _sketched(rows, keys, len(cols), probs), slots, probs)
+    for _ in range(ROUNDS):
+        if _most_inside(state, slots) <= FEW:
+            break
+        state = _counted(rows, keys, _narrowed(rows, keys, state, slots, probs), slots, probs)
+    return _read_off(rows, keys, state, slots, probs, cols, by)
 
 
-def of_sorted(values: Column, p: float) -> Column:
-    """The quantile of a sorted array, by linear interpolation."""
-    at = position_in(F.size(values), p)
-    low = F.floor(at)
-    part = at - low
-    below = F.get(values, low.cast("int"))
-    return F.when(part > 0, below * (1 - part) + F.get(values, low.cast("int") + 1) * part).otherwise(below)
+def _kept(found: DataFrame, keys: list[str]) -> DataFrame | Row:
+    """One row on the driver, or a written table of one row for each group."""
+    return materialized(found, "brackets") if keys else found.first()
 
 
-def exact_quantiles(
-    df: DataFrame,
-    cols: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    limit: int | None = None,
-) -> DataFrame:
-    """Rows ``(by..., column, quantiles)``: linear interpolation, NULL and NaN ignored."""
-    by = list(by)
-    if fits_buffer(df, limit, len(cols)):
-        pairs = [
-            F.struct(F.lit(c).alias("column"), F.sort_array(F.collect_list(number(df, c))).alias("sorted"))
-            for c in cols
-        ]
-        rows = per_column(df, pairs, by, batch=quarter(cols))
-        found = F.when(F.size("sorted") > 0, F.array(*[of_sorted(F.col("sorted"), p) for p in probs]))
-        return rows.select(*by, "column", found.alias("quantiles"))
-    return _by_digits(df, cols, probs, by)
-
-
-def collect_quantiles(
-    df: DataFrame, cols: Sequence[str], probs: Sequence[float], limit: int | None = None
-) -> dict[str, list[float] | None]:
-    """One small row per column on the driver, to be used as literals."""
-    found = {r["column"]: r["quantiles"] for r in exact_quantiles(df, cols, probs, limit=limit).collect()}
-    return {c: found.get(c) for c in cols}
+def _attached(rows: DataFrame, keys: list[str], state: DataFrame | Row) -> DataFrame:
+    """The rows with what is known of their group: as literals where there is one group."""
+    if isinstance(state, Row):
+        return rows.select("*", *[F.lit(v).cast("long" if c[0] in "nbm" else "double").alias(c) for c, v in state.asDict().items()])
+    known = state.withColumnsRenamed({k: f"own_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keys])
+    sent = F.broadcast(known) if state.count() <= SENT_GROUPS else known
+    return rows.join(sent, same).drop(*[f"own_{k}" for k in keys])
 
 
-def _key(v: Column) -> Column:
-    """A whole number that never decreases with v; one step is less than 3e-9 of the value."""
-    level = F.greatest(F.least(F.log2(F.abs(v)), F.lit(1100.0)), F.lit(-1100.0)) + 1101
-    step = F.floor(level * (1 << 28))
-    return F.when(v == 0, F.lit(0).cast("bigint")).when(v > 0, step).otherwise(-step)
+def _at(n: Column, p: float) -> Column:
+    return (n - 1) * F.lit(float(p))
 
 
-def _by_digits(df: DataFrame, cols: Sequence[str], probs: Sequence[float], by: list[str]) -> DataFrame:
-    keys = by + ["column"]
-    # Adding 0.0 turns -0.0 into 0.0.
-    # Columns go by number until the end: cheaper to hash than names.
-    pairs = [F.struct(F.lit(i).alias("column"), (number(df, c) + F.lit(0.0)).alias("v")) for i, c in enumerate(cols)]
-    values = (
-        df.select(*[quoted(b) for b in by], F.explode(F.array(*pairs)).alias("p"))
-        .select(*by, "p.column", "p.v")
-        .where("v IS NOT NULL")
-        .withColumn("key", _key(F.col("v")))
-    )
-    target, shift = None, None
-    for next_shift in _SHIFTS:
-        rows = values if target is None else _inside(values, target, keys, shift)
-        carried = [] if target is None else ["n", "base", "ranks"]
-        hist = rows.groupBy(*keys, *carried, F.shiftright("key", next_shift).alias("bucket")).agg(
-            F.count("*").alias("cnt")
-        )
-        if target is None:
-            n = F.sum("cnt").over(Window.partitionBy(*keys))
-            wanted = [f(position_in(F.col("n"), p)) for p in probs for f in (F.floor, F.ceil)]
-            hist = hist.withColumn("n", n).withColumn("base", F.lit(0).cast("bigint"))
-            hist = hist.withColumn("ranks", F.array_distinct(F.array(*wanted)))
-        target, shift = _holding(hist, keys, carried, "bucket"), next_shift
-        target, done = _settle(target)
-        if done:
-            break
-    last = (
-        _inside(values, target, keys, shift)
-        .groupBy(*keys, "n", "base", "ranks", F.col("v").alias("bucket"))
-        .agg(F.count("*").alias("cnt"))
-    )
-    found = (
-        _holding(last, keys, ["base"], "bucket")
-        .select(*keys, "n", F.col("bucket").alias("v"), F.explode("ranks").alias("rank"))
-        .groupBy(*keys, "n")
-        .agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
-    )
-
-    def quantile(p: float) -> Column:
-        at = position_in(F.col("n"), p)
-        lower, upper = F.floor(at), F.ceil(at)
-        below = F.element_at("at", lower)
-        return F.when(lower == upper, below).otherwise(
-            below * (1 - (at - lower)) + F.element_at("at", upper) * (at - lower)
-        )
-
-    name = F.get(F.array(*[F.lit(c) for c in cols]), F.col("column")).alias("column")
-    return found.select(*[quoted(b) for b in by], name, F.array(*[quantile(p) for p in probs]).alias("quantiles"))
-
-
-def _holding(hist: DataFrame, keys: list[str], within: list[str], order: str) -> DataFrame:
-    """The buckets that contain a wanted rank, with the ranks they contain."""
-    part = keys + [c for c in within if c == "base"]
-    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = hist.withColumn("start", F.col("base") + F.sum("cnt").over(w) - F.col("cnt"))
-    hits = F.filter("ranks", lambda r: (r >= F.col("start")) & (r < F.col("start") + F.col("cnt")))
-    return (
-        placed.withColumn("ranks", hits)
-        .where(F.size("ranks") > 0)
-        .select(*keys, "n", F.col("start").alias("base"), "bucket", "cnt", "ranks")
-    )
-
-
-def _settle(target: DataFrame) -> tuple[DataFrame, bool]:
-    """Few wanted buckets become a local table, and are done when none is large; many stay part of the plan."""
-    rows = target.limit(_TARGET_ROWS + 1).collect()
-    if len(rows) > _TARGET_ROWS:
-        return target, False
-    local = F.broadcast(target.sparkSession.createDataFrame(rows, target.schema))
-    return local, all(r["cnt"] <= _EXACT_ROWS for r in rows)
-
-
-def _inside(values: DataFrame, target: DataFrame, keys: list[str], shift: int) -> DataFrame:
-    """Values within a wanted bucket."""
-    v, t = values.alias("v"), target.alias("t")
-    same = F.shiftright(F.col("v.key"), shift) == F.col("t.bucket")
-    for k in keys:
-        same = same & F.col(f"v.`{k}`").eqNullSafe(F.col(f"t.`{k}`"))
-    return v.join(t, same).select("v.*", "t.n", "t.base", "t.ranks")
+def _sketched(rows: DataFrame, keys: list[str], n_cols: int, probs: list[float]) -> DataFrame | Row:
+    ends = [min(1.0, max(0.0, e)) for p in probs for e in (p - MARGIN, p + MARGIN)]
+    aggs = [x for i in range(n_cols) for x in (F.count(f"x{i}").alias(f"n{i}"), F.percentile_approx(f"x{i}", ends, ACCURACY).alias(f"e{i}"))]
+    found = rows.groupBy(*keys).agg(*aggs)
+    picked = [F.get(f"e{i}", F.lit(2 * j + up)).alias(f"{end}{i}_{j}") for i in range(n_cols) for j in range(len(probs)) for up, end in enumerate(("lo", "hi"))]
+    return _kept(found.select(*keys, *[f"n{i}" for i in range(n_cols)], *picked), keys)
+
+
+def _counted(rows: DataFrame, keys: list[str], state: DataFrame | Row, slots: list[tuple[int, int]], probs: list[float]) -> DataFrame | Row:
+    """Adds b (values before the bracket) and m (values in it); a bracket without its ranks becomes the whole column."""
+    aggs = [F.any_value(f"n{i}").alias(f"n{i}") for i in sorted({i for i, _ in slots})]
+    for i, j in slots:
+        x, lo, hi = F.col(f"x{i}"), F.col(f"lo{i}_{j}"), F.col(f"hi{i}_{j}")
+        aggs += [F.any_value(lo).alias(f"lo{i}_{j}"), F.any_value(hi).alias(f"hi{i}_{j}"), F.count_if(x < lo).alias(f"b{i}_{j}"), F.count_if(x.between(lo, hi)).alias(f"m{i}_{j}")]
+    found = _attached(rows, keys, state).groupBy(*keys).agg(*aggs)
+    out = []
+    for i, j in slots:
+        n, b, m = F.col(f"n{i}"), F.col(f"b{i}_{j}"), F.col(f"m{i}_{j}")
+        at = _at(n, probs[j])
+        proven = (b <= F.floor(at)) & (F.ceil(at) < b + m)
+        every = {"lo": F.lit(-math.inf), "hi": F.lit(math.inf), "b": F.lit(0).cast("long"), "m": n}
+        out += [F.when(proven | (n == 0), F.col(f"{c}{i}_{j}")).otherwise(whole).alias(f"{c}{i}_{j}") for c, whole in every.items()]
+    return _kept(found.select(*keys, *[f"n{i}" for i in sorted({i for i, _ in slots})], *out), keys)
+
+
+def _most_inside(state: DataFrame | Row, slots: list[tuple[int, int]]) -> int:
+    if isinstance(state, Row):
+        return max((state[f"m{i}_{j}"] for i, j in slots if state[f"n{i}"] and state[f"lo{i}_{j}"] < state[f"hi{i}_{j}"]), default=0)
+    open_ = [F.when(F.col(f"lo{i}_{j}") < F.col(f"hi{i}_{j}"), F.col(f"m{i}_{j}")) for i, j in slots]
+    return state.agg(F.max(F.greatest(*open_, F.lit(0), F.lit(0)))).first()[0] or 0
+
+
+def _narrowed(rows: DataFrame, keys: list[str], state: DataFrame | Row, slots: list[tuple[int, int]], probs: list[float]) -> DataFrame | Row:
+    """Brackets from a sketch of the values inside the last ones."""
+    ends = [k / PARTS for k in range(PARTS + 1)]
+    aggs, picked = [F.any_value(f"n{i}").alias(f"n{i}") for i in sorted({i for i, _ in slots})], []
+    for i, j in slots:
+        s = f"{i}_{j}"
+        inside = F.when(F.col(f"x{i}").between(F.col(f"lo{s}"), F.col(f"hi{s}")), F.col(f"x{i}"))
+        aggs += [F.percentile_approx(inside, ends, ACCURACY).alias(f"e{s}"), F.any_value(f"b{s}").alias(f"b{s}"), F.any_value(f"m{s}").alias(f"m{s}")]
+        share = (_at(F.col(f"n{i}"), probs[j]) - F.col(f"b{s}")) / F.col(f"m{s}")
+        below = F.greatest(F.floor((share - MARGIN) * PARTS), F.lit(0)).cast("int")
+        above = F.least(F.ceil((share + MARGIN) * PARTS) + 1, F.lit(PARTS)).cast("int")
+        picked += [F.get(f"e{s}", below).alias(f"lo{s}"), F.get(f"e{s}", above).alias(f"hi{s}")]
+    found = _attached(rows, keys, state).groupBy(*keys).agg(*aggs)
+    return _kept(found.select(*keys, *[f"n{i}" for i in sorted({i for i, _ in slots})], *picked), keys)
+
+
+def _read_off(
+    rows: DataFrame, keys: list[str], state: DataFrame | Row, slots: list[tuple[int, int]], probs: list[float], cols: Sequence[str], by: list[str]
+) -> DataFrame:
+    spark = rows.sparkSession
+    table = _attached(spark.range(1).select(), keys, state) if isinstance(state, Row) else state
+    each = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(float(probs[j])).alias("p"), *[F.col(f"{c}{i}_{j}").alias(c) for c in ("lo", "hi", "b")], F.col(f"n{i}").alias("n"))
+        for i, j in slots
+    ])
+    wanted = table.select(*keys, F.explode(each).alias("s")).select(*keys, "s.*").withColumn("at", (F.col("n") - 1) * F.col("p"))
+
+    open_ = {(i, j): F.col(f"x{i}").between(F.col(f"lo{i}_{j}"), F.col(f"hi{i}_{j}")) & (F.col(f"lo{i}_{j}") < F.col(f"hi{i}_{j}")) for i, j in slots}
+    held = [F.when(hit, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"x{i}").alias("v"))) for (i, j), hit in open_.items()]
+    # Few rows are left when the brackets are opened for each value.
+    near = _attached(rows, keys, state).where(reduce(lambda a, b: a | b, open_.values()))
+    values = near.select(*keys, F.explode(F.filter(F.array(*held), lambda h: h.isNotNull())).alias("h")).select(*keys, "h.*")
+    values = values.groupBy(*keys, "i", "j", "v").agg(F.count("*").alias("c"))
+    upto = Window.partitionBy(*keys, "i", "j").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    values = values.withColumn("end", F.sum("c").over(upto)).withColumn("start", F.col("end") - F.col("c"))
+    values = values.withColumnsRenamed({k: f"own_{k}" for k in keys} | {"i": "own_i", "j": "own_j"})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in [*keys, "i", "j"]])
+    low, high = F.floor("at") - F.col("b"), F.ceil("at") - F.col("b")
+    pick = lambda r: F.max(F.when((F.col("start") <= r) & (r < F.col("end")), F.col("v")))
+    found = wanted.join(values, same, "left").groupBy(*keys, "i", "j").agg(
+        F.any_value("lo").alias("lo"), F.any_value("hi").alias("hi"), F.any_value("at").alias("at"), F.any_value("n").alias("n"), pick(low).alias("low"), pick(high).alias("high"),
+    )
+    equal = F.col("lo") == F.col("hi")
+    found = found.withColumns({"low": F.when(equal, F.col("lo")).otherwise(F.col("low")), "high": F.when(equal, F.col("lo")).otherwise(F.col("high"))})
+    part = F.col("at") - F.floor("at")
+    value = F.when(part > 0, F.col("low") * (1 - part) + F.col("high") * part).otherwise(F.col("low"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("j", value.alias("q")))), lambda s: s["q"])
+    done = found.groupBy(*keys, "i").agg(F.when(F.any_value("n") > 0, ordered).alias("quantiles"))
+    name = F.get(F.array(*[F.lit(c) for c in cols]), F.col("i")).alias("column")
+    return done.select(*[F.col(k).alias(b) for k, b in zip(keys, by)], name, "quantiles")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabulens.functions.nulls import number, quoted
 from tabulens.operators.ordered import previous_value
 from tabulens.operators.profile import smallest_per_group, top_values, unpivot_text
-from tabulens.operators.quantiles import collect_quantiles, exact_quantiles, fits_buffer, of_sorted, quarter
+from tabulens.operators.quantiles import collect_quantiles, exact_quantiles
 from tabulens.operators.schema import columns_above_ratio, numeric_columns, per_column
 
 _PAIR_BATCH = 400
@@ -26,43 +26,37 @@ def summarize(
     cols: Sequence[str],
     by: Sequence[str] = (),
     probs: Sequence[float] = (0.25, 0.5, 0.75),
-    limit: int | None = None,
 ) -> DataFrame:
     """Rows ``(by..., column, count, mean, std, min, max, qXX...)``; text columns are parsed as numbers."""
     by = list(by)
-    small = not probs or fits_buffer(df, limit, len(cols))
     entries = []
     for c in cols:
         x = number(df, c)
-        parts = [
-            F.lit(c).alias("column"),
-            F.count(x).alias("count"),
-            F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("std"),
-            F.min(x).alias("min"),
-            F.max(x).alias("max"),
-        ]
-        if probs and small:
-            parts.append(F.sort_array(F.collect_list(x)).alias("sorted"))
-        entries.append(F.struct(*parts))
-    found = per_column(df, entries, by, batch=quarter(cols) if probs and small else 40)
-    if probs and not small:
-        q = exact_quantiles(df, cols, probs, by, limit=0)
-        f, q = found.alias("f"), q.alias("q")
+        entries.append(
+            F.struct(
+                F.lit(c).alias("column"),
+                F.count(x).alias("count"),
+                F.avg(x).alias("mean"),
+                F.stddev_samp(x).alias("std"),
+                F.min(x).alias("min"),
+                F.max(x).alias("max"),
+            )
+        )
+    found = per_column(df, entries, by)
+    if probs:
+        q = exact_quantiles(df, cols, probs, by)
+        f, q = found.alias("f"), (q if by else F.broadcast(q)).alias("q")
         same = F.col("f.column") == F.col("q.column")
         for b in by:
             same = same & F.col(f"f.`{b}`").eqNullSafe(F.col(f"q.`{b}`"))
         found = f.join(q, same, "left").select("f.*", "q.quantiles")
-    if small:
-        qs = [of_sorted(F.col("sorted"), p).alias(_label(p)) for p in probs]
-    else:
-        qs = [F.get("quantiles", F.lit(i)).alias(_label(p)) for i, p in enumerate(probs)]
+    qs = [F.get("quantiles", F.lit(i)).alias(_label(p)) for i, p in enumerate(probs)]
     return found.select(*by, "column", "count", "mean", "std", "min", "max", *qs)
 
 
-def summary_stats(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> DataFrame:
+def summary_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """mean, median, std, min, max, count and range per column."""
-    return summarize(df, cols, probs=(0.5,), limit=limit).select(
+    return summarize(df, cols, probs=(0.5,)).select(
         "column", "mean", F.col("q50").alias("median"), "std", "min", "max", "count",
         (F.col("max") - F.col("min")).alias("range"),
     )
@@ -239,10 +233,10 @@ def top_entities(df: DataFrame, entity: str, num: str, n: int = 10) -> DataFrame
 # ---- one column ----------------------------------------------------------------------------------
 
 
-def distribution(df: DataFrame, col: str, limit: int | None = None) -> DataFrame:
+def distribution(df: DataFrame, col: str) -> DataFrame:
     """Centre, spread, adjusted skewness with its class, and outliers beyond 1.5 interquartile ranges."""
     x = number(df, col)
-    quartiles = collect_quantiles(df, [col], [0.25, 0.5, 0.75], limit)[col] or [None] * 3
+    quartiles = collect_quantiles(df, [col], [0.25, 0.5, 0.75])[col] or [None] * 3
     q1, median, q3 = quartiles
     if q1 is None:
         outside = F.lit(False)
@@ -269,7 +263,7 @@ def distribution(df: DataFrame, col: str, limit: int | None = None) -> DataFrame
     )
 
 
-def describe_any(df: DataFrame, cols: Sequence[str], numeric: Sequence[str], limit: int | None = None) -> DataFrame:
+def describe_any(df: DataFrame, cols: Sequence[str], numeric: Sequence[str]) -> DataFrame:
     """Statistics of numeric columns and top values of the others, as rows ``(column, metric, label, value)``."""
     from tabulens.operators.profile import describe_numeric, distinct_counts, long_metrics
 
@@ -278,7 +272,7 @@ def describe_any(df: DataFrame, cols: Sequence[str], numeric: Sequence[str], lim
     out = None
     if nums:
         metrics = ["mean", "std", "min", "max", "q25", "q50", "q75"]
-        out = long_metrics("numeric", describe_numeric(df, nums, limit), "column", metrics).select(
+        out = long_metrics("numeric", describe_numeric(df, nums), "column", metrics).select(
             "column", "metric", F.lit("").alias("label"), "value"
         )
     if cats:
@@ -293,7 +287,7 @@ def describe_any(df: DataFrame, cols: Sequence[str], numeric: Sequence[str], lim
     return out
 
 
-def column_analysis(df: DataFrame, cols: Sequence[str], share: float = 0.5, limit: int | None = None) -> DataFrame:
+def column_analysis(df: DataFrame, cols: Sequence[str], share: float = 0.5) -> DataFrame:
     """Range, mean and present values where more than half parse as numbers; else distinct count and top value."""
     numeric = columns_above_ratio(df.select(*[quoted(c) for c in cols]), share)
     others = [c for c in cols if c not in numeric]
@@ -423,7 +417,7 @@ def backup_analysis(
 # ---- overview ------------------------------------------------------------------------------------
 
 
-def eda(df: DataFrame, limit: int | None = None) -> dict[str, DataFrame]:
+def eda(df: DataFrame) -> dict[str, DataFrame]:
     """Shape, missing values, description and the five strongest correlations."""
     from tabulens.operators.profile import describe_numeric, missing_counts, profile_dataset
 
@@ -431,7 +425,7 @@ def eda(df: DataFrame, limit: int | None = None) -> dict[str, DataFrame]:
     return {
         "shape": profile_dataset(df),
         "missing": missing_counts(df),
-        "describe": describe_numeric(df, nums, limit),
+        "describe": describe_numeric(df, nums),
         "correlations": strongest_pairs(df, nums, 5),
     }
 

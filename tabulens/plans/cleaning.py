@@ -117,7 +117,7 @@ class CleaningPlan:
 REPORT_SCHEMA = "step string, column string, action string, affected long, detail string"
 
 
-def apply_plan(df: DataFrame, plan: CleaningPlan, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+def apply_plan(df: DataFrame, plan: CleaningPlan) -> tuple[DataFrame, DataFrame]:
     """Duplicates, missing values, outliers, text, types, in that order; returns the table and a report.
 
     Only counts and one value per column reach the driver. Where later steps read statistics, the table
@@ -136,9 +136,9 @@ def apply_plan(df: DataFrame, plan: CleaningPlan, limit: int | None = None) -> t
         out = unique if removed else out
         rows.append(("duplicates", None, "removed" if removed else "none_found", removed, None))
 
-    out, filled = _handle_missing(out, plan, limit)
+    out, filled = _handle_missing(out, plan)
     rows += filled
-    out, handled = _handle_outliers(out, plan, limit)
+    out, handled = _handle_outliers(out, plan)
     rows += handled
 
     if plan.text_columns and plan.text_steps:
@@ -154,7 +154,7 @@ def apply_plan(df: DataFrame, plan: CleaningPlan, limit: int | None = None) -> t
     return out, spark.createDataFrame(rows, REPORT_SCHEMA)
 
 
-def _handle_missing(df: DataFrame, plan: CleaningPlan, limit: int | None) -> tuple[DataFrame, list[tuple]]:
+def _handle_missing(df: DataFrame, plan: CleaningPlan) -> tuple[DataFrame, list[tuple]]:
     if plan.strategy == "leave":
         return df, [("missing", None, "left", None, None)]
     gaps = {r["column"]: r["num_missing"] for r in missing_counts(df).collect() if r["num_missing"]}
@@ -170,19 +170,19 @@ def _handle_missing(df: DataFrame, plan: CleaningPlan, limit: int | None) -> tup
         if how == "constant":
             found = {c: plan.constant_values.get(c, clean.UNKNOWN) for c in cols}
         else:
-            found = clean.fill_values(df, cols, how, limit)
+            found = clean.fill_values(df, cols, how)
         fills.update(found)
         rows += [("missing", c, f"filled_{how}", gaps[c], str(found[c])) for c in cols]
     return clean.fill_with(df, fills), rows
 
 
-def _handle_outliers(df: DataFrame, plan: CleaningPlan, limit: int | None) -> tuple[DataFrame, list[tuple]]:
+def _handle_outliers(df: DataFrame, plan: CleaningPlan) -> tuple[DataFrame, list[tuple]]:
     if plan.outlier_strategy == "leave":
         return df, [("outliers", None, "left", None, None)]
     cols = numeric_columns(df)
     if not cols:
         return df, []
-    args = (plan.outlier_method, plan.zscore_threshold, limit)
+    args = (plan.outlier_method, plan.zscore_threshold)
     rows = []
     if plan.outlier_strategy == "clip":
         found = [r for r in clean.outlier_counts(df, cols, *args).collect() if r["num_outliers"]]

@@ -1,4 +1,4 @@
-"""The narrowing and chunked paths must equal the plain ones; ``limit=0`` forces them."""
+"""Exact quantiles and ordered columns beside plain ones, with hot groups and narrow bounds."""
 
 import random
 
@@ -9,17 +9,23 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabulens.operators.ordered import chunked, forward_fill, previous_value
+from tabulens.operators import quantiles
 from tabulens.operators.quantiles import exact_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
 
 
-def _quantiles(df, cols, by, limit):
-    rows = exact_quantiles(df, cols, PROBS, by, limit=limit).collect()
+def _quantiles(df, cols, by):
+    rows = exact_quantiles(df, cols, PROBS, by).collect()
     return {tuple(r[b] for b in by) + (r["column"],): r["quantiles"] for r in rows}
 
 
-def test_narrowed_quantiles_equal_pandas(spark):
+@pytest.mark.parametrize("few, sent", [(quantiles.FEW, quantiles.SENT_GROUPS), (30, 0), (1, 0)])
+def test_quantiles_equal_pandas(spark, monkeypatch, few, sent):
+    """As they are, and with brackets that have to be narrowed again and joined by a shuffle."""
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "SENT_GROUPS", sent)
+    monkeypatch.setattr(quantiles, "PARTS", 10 if few > 1 else 3)
     rng = np.random.default_rng(3)
     n = 4000
     frame = pd.DataFrame(
@@ -32,25 +38,50 @@ def test_narrowed_quantiles_equal_pandas(spark):
         }
     )
     frame.loc[rng.random(n) < 0.1, "smooth"] = None
-    df = spark.createDataFrame(frame)
+    frame.loc[rng.random(n) < 0.05, "g"] = None
+    df = spark.createDataFrame(frame).repartition(5)
     cols = ["smooth", "heavy", "ties", "close"]
-    got = _quantiles(df, cols, [], 0)
+    got = _quantiles(df, cols, [])
     for c in cols:
         np.testing.assert_allclose(got[(c,)], frame[c].quantile(PROBS), rtol=1e-12)
-    grouped = _quantiles(df, cols, ["g"], 0)
-    for g, part in frame.groupby("g"):
+    grouped = _quantiles(df, cols, ["g"])
+    assert len(grouped) == 7 * len(cols)
+    for g, part in frame.groupby("g", dropna=False):
         for c in cols:
-            np.testing.assert_allclose(grouped[(g, c)], part[c].quantile(PROBS), rtol=1e-12)
-    plain = _quantiles(df, cols, ["g"], 10**6)
-    for k, v in plain.items():
-        np.testing.assert_allclose(grouped[k], v, rtol=1e-12)
+            np.testing.assert_allclose(grouped[(None if g != g else g, c)], part[c].quantile(PROBS), rtol=1e-12)
+
+
+@pytest.mark.parametrize("few", [quantiles.FEW, 5])
+def test_quantiles_of_wrong_brackets(spark, monkeypatch, few):
+    """Brackets that miss their ranks are found out by the count."""
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "MARGIN", -0.01)
+    df = spark.range(2000).selectExpr("double(pmod(id * 7919, 2003)) AS x", "id % 3 AS g")
+    want = df.toPandas()
+    np.testing.assert_allclose(_quantiles(df, ["x"], [])[("x",)], want["x"].quantile(PROBS))
+    got = _quantiles(df, ["x"], ["g"])
+    for g, part in want.groupby("g"):
+        np.testing.assert_allclose(got[(g, "x")], part["x"].quantile(PROBS))
 
 
 def test_quantiles_of_nothing_and_one(spark):
-    df = spark.createDataFrame([(None,), (float("nan"),)], "x double")
-    assert _quantiles(df, ["x"], [], 0) == {}
+    df = spark.createDataFrame([(None, 1), (float("nan"), 1), (7.0, 2)], "x double, g int")
+    assert _quantiles(df.where("g = 1"), ["x"], []) == {("x",): None}
+    assert _quantiles(df, ["x"], ["g"]) == {(1, "x"): None, (2, "x"): [7.0] * len(PROBS)}
+    assert _quantiles(df.where("false"), ["x"], []) == {("x",): None} and _quantiles(df.where("false"), ["x"], ["g"]) == {}
     one = spark.createDataFrame([(5.0,), (None,)], "x double")
-    assert _quantiles(one, ["x"], [], 0)[("x",)] == [5.0] * len(PROBS)
+    assert _quantiles(one, ["x"], [])[("x",)] == [5.0] * len(PROBS)
+    odd = spark.createDataFrame([(float("inf"), "a"), (1.0, "a"), (-0.0, "a")], "`a.x` double, `my group` string")
+    assert [r.quantiles for r in exact_quantiles(odd, ["a.x"], [0.0, 0.5], ["my group"]).collect()] == [[0.0, 1.0]]
+
+
+def test_one_task_sees_few_values(spark, monkeypatch):
+    """No aggregate collects raw values, and the values fetched are a small part."""
+    monkeypatch.setattr(quantiles, "FEW", 100)
+    df = spark.range(0, 200_000, 1, 8).selectExpr("sin(id) AS x")
+    found = exact_quantiles(df, ["x"], [0.25, 0.5])
+    assert "collect_list(x" not in found._jdf.queryExecution().toString()
+    np.testing.assert_allclose(found.first().quantiles, np.quantile(np.sin(np.arange(200_000)), [0.25, 0.5]), rtol=1e-12)
 
 
 def _series(seed):
@@ -86,6 +117,23 @@ def test_fill_and_previous_equal_window(spark, keys, by):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_ordered_columns_read_what_is_asked_for(spark, tmp_path):
+    """No copy of other columns: neither the scan nor the shuffle holds them, and what is carried is a row for each range at most."""
+    rows = spark.range(2000).selectExpr("id % 2 AS g", "id AS t", "IF(id % 7 = 0, id, NULL) AS v", "repeat('x', 200) AS unrelated", "map('a', id) AS m")
+    rows.write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    plan = forward_fill(df.select("g", "t", "v"), "v", ["t"], ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "unrelated" not in plan and "BroadcastHashJoin" in plan
+    cut = chunked(df, ["t"], ["g"])
+    assert cut.where("NOT _spans").count() == 0
+    from tabulens.operators.ordered import _carried
+
+    assert 0 < _carried(cut, "v", ["t"], ["g"], True).count() <= 8
+    many = spark.range(2000).selectExpr("id AS g", "1 AS t", "id AS v")
+    assert chunked(many, ["t"], ["g"]).where("_spans").count() <= 8
+    assert forward_fill(df.where("false"), "v", ["t"], ["g"]).count() == 0
+
+
 def test_ties_without_a_second_key_are_split(spark):
     df = spark.range(4000).selectExpr("0 AS g", "'same' AS t", "IF(id % 5 = 0, id, NULL) AS v", "id")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -98,12 +146,13 @@ def test_ties_without_a_second_key_are_split(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
-def test_large_profile_equals_small(spark, data):
+def test_profile_with_narrow_brackets(spark, data, monkeypatch):
     from tabulens.operators.profile import profile_columns
 
     orders = spark.read.parquet(f"{data}/orders.parquet")
     small = {r["column"]: r for r in profile_columns(orders).collect()}
-    large = {r["column"]: r for r in profile_columns(orders, limit=0).collect()}
+    monkeypatch.setattr(quantiles, "FEW", 5)
+    large = {r["column"]: r for r in profile_columns(orders).collect()}
     for c, r in small.items():
         for k, v in r.asDict().items():
             w = large[c][k]
@@ -111,19 +160,19 @@ def test_large_profile_equals_small(spark, data):
 
 
 def test_one_key_with_a_third_of_the_rows(spark):
-    """Hot key, hot value, hot text: same results as without the large-table paths."""
+    """Hot key, hot value, hot text: same results as in pandas."""
     from tabulens.operators.stats import pct_change, summarize
     from tabulens.operators.textstats import diversify
 
     rows = spark.range(0, 6000, 1, 6).selectExpr(
         "IF(id % 3 = 0, 0, id % 97) AS k", "id", "IF(id % 3 = 0, 5.0D, double(id % 1013)) AS v"
     )
+    held = rows.toPandas()
     for by in ([], ["k"]):
-        a = sorted(map(tuple, summarize(rows, ["v"], by, limit=10**6).collect()))
-        b = sorted(map(tuple, summarize(rows, ["v"], by, limit=0).collect()))
-        assert len(a) == len(b)
-        for x, y in zip(a, b):
-            assert all(p == q or abs(p - q) < 1e-9 * max(1, abs(p)) for p, q in zip(x, y))
+        for r in summarize(rows, ["v"], by).collect():
+            v = held.v if not by else held.v[held.k == r.k]
+            got, want = (r["count"], r["mean"], r["std"], r["q25"], r["q50"], r["q75"]), (len(v), v.mean(), v.std(), *v.quantile([0.25, 0.5, 0.75]))
+            assert got == pytest.approx(want)
     one = {r["id"]: r["pct_change"] for r in pct_change(rows, "v", ["id"], ["k"]).collect()}
     w = Window.partitionBy("k").orderBy("id")
     two = rows.withColumn("p", F.lag("v").over(w)).selectExpr("id", "try_divide(v - p, p) * 100 AS c").collect()
