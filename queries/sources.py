@@ -118,6 +118,20 @@ def s02_mixed(spark, sf):
     return read_json(spark, path).select(*_EVENTS)
 
 
+@query("s02_read_json_partitions", "SELECT event_id, user_id, event_type, value FROM events WHERE event_id % 11 <> 0")
+def s02_partitions(spark, sf):
+    """Folders name the kind of event; some files hold lines, one in eleven bad, some one array."""
+    path = scratch_path(spark, "kinds")
+    body = ("event_id", "user_id", "value")
+    events = table(spark, sf, "events").where("event_id % 11 <> 0 OR event_id % 2 = 0")
+    line = F.when(F.col("event_id") % 11 == 0, F.lit('{"event_id": 1, "user')).otherwise(F.to_json(F.struct(*body)))
+    events.where("event_id % 2 = 0").select("event_type", line.alias("value")).write.partitionBy("event_type").text(path)
+    part = F.floor(F.col("event_id") / _ARRAY_ROWS)
+    arrays = events.where("event_id % 2 = 1").groupBy("event_type", part).agg(F.to_json(F.collect_list(F.struct(*body))).alias("value"))
+    arrays.select("event_type", "value").repartition(2, "event_type").write.option("maxRecordsPerFile", 1).mode("append").partitionBy("event_type").text(path)
+    return read_json(spark, path, on_bad="skip").select(*_EVENTS)
+
+
 @query("s06_unwrap_envelope", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def s06(spark, sf):
     rows = F.collect_list(F.struct("o_orderkey", "o_custkey", "o_totalprice"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulens.functions.nulls import quoted
+from tabulens.session import materialized, scratch_path
+from tabulens.sources import json_documents
 from tabulens.sources.chunking import chunk_text
+from tabulens.sources.json_documents import plain_path
 
 CORRUPT = "_corrupt_record"
 
@@ -31,31 +34,46 @@ def read_csv(
     return reader.options(**options).csv(path)
 
 
-def _forms(spark: SparkSession, path: str | Sequence[str]) -> tuple[list[str], list[str]]:
-    """Files of JSON Lines, and files that are one document.
+#: A file of objects is lines if at least this share of its lines are objects by themselves.
+LINES_SHARE = 0.5
 
-    A file whose every line is an object by itself is lines. Any other is a document if it parses as a whole, and lines of
-    which some are bad if it does not.
-    """
 
-    def read(paths: str | Sequence[str], wholetext: bool = False) -> DataFrame:
-        rows = spark.read.text(paths, wholetext=wholetext)
-        return rows.select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+def _base(path: str | Sequence[str], files: Sequence[str]) -> str | None:
+    """The folder below which folder names are partition columns; None where the path names files."""
+    if not isinstance(path, str):
+        return None
+    ends = path.split("://", 1)[-1].rstrip("/")
+    if any(f == path or f.endswith(ends) for f in files):
+        return None
+    head = re.split(r"[*?\[{]", path, maxsplit=1)[0]
+    return path if head == path else head.rsplit("/", 1)[0]
 
-    rows = read(path)
-    files = rows.groupBy("file").agg(F.bool_and(F.json_object_keys("value").isNotNull()).alias("lines")).collect()
-    every, odd = [_plain(r["file"]) for r in files], [_plain(r["file"]) for r in files if not r["lines"]]
-    whole: set[str] = set()
-    if odd:
-        # In brackets, as a parser stops after a first complete value: one element, and nothing behind it.
-        one = F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))) == 1
-        whole = {_plain(r["file"]) for r in read(odd, wholetext=True).where(one).select("file").collect()}
-    return [f for f in every if f not in whole], sorted(whole)
 
+def _forms(spark: SparkSession, path: str | Sequence[str]) -> tuple[list[str], list[str], str | None, tuple[DataFrame, DataFrame] | None]:
+    """Files of JSON Lines, files that are one document, the base of partition columns, and what cutting documents needs.
 
-def _plain(uri: str) -> str:
-    """A path as readers take it: file URIs come percent-encoded."""
-    return unquote(uri)
+    A document begins with a bracket and ends with its counterpart, which no earlier one closes. A file of that kind that
+    begins with a brace is lines all the same if half of its lines are objects. Everything else is lines, bad ones included.
+    """
+    ends = materialized(json_documents.file_ends(spark, path), "ends")
+    pairs = (F.col("first") == "[") & (F.col("last") == "]") | (F.col("first") == "{") & (F.col("last") == "}")
+    look = ends.select("file", "first", pairs.alias("pairs")).collect()
+    every = [plain_path(r["file"]) for r in look]
+    base = _base(path, every)
+    objects = [plain_path(r["file"]) for r in look if r["pairs"] and r["first"] == "{"]
+    lines: set[str] = set()
+    if objects:
+        rows = json_documents.as_text(spark, objects, base).select(F.col("_metadata.file_path").alias("file"), F.btrim("value", F.lit(json_documents.BLANK)).alias("value"))
+        # In brackets, as a parser stops after a first complete value: one element, and nothing behind it.
+        one = F.json_object_keys("value").isNotNull() & (F.json_array_length(F.concat(F.lit("["), "value", F.lit("]"))) == 1)
+        share = rows.where("value != ''").groupBy("file").agg(F.avg(F.coalesce(one, F.lit(False)).cast("int")).alias("share"))
+        lines = {plain_path(r["file"]) for r in share.collect() if r["share"] >= LINES_SHARE}
+    maybe = [r["file"] for r in look if r["pairs"] and plain_path(r["file"]) not in lines]
+    if not maybe:
+        return every, [], base, None
+    ends = ends.where(F.col("file").isin(maybe))
+    single, pieces, starts = json_documents.documents_of(spark, ends, base)
+    return [f for f in every if f not in set(single)], single, base, (pieces, starts)
 
 
 def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
@@ -83,27 +101,37 @@ def read_json(
     spark: SparkSession, path: str | Sequence[str], lines: bool | None = None, on_bad: str = "fail",
     schema: str | T.StructType | None = None, flatten: bool = True, **options: object,
 ) -> DataFrame:
-    """JSON Lines (splittable), or files holding one array or object each; each file is looked at for itself.
+    """JSON Lines, or files holding one array or object each; each file is looked at for itself. Partition columns are kept.
 
-    ``lines`` says that all files are of one kind and spares the look. ``on_bad``: ``fail``, ``skip`` bad lines, or
-    ``keep`` them in ``_corrupt_record``; what is no object counts as bad. A file that is one array is read by one task:
-    store large data as JSON Lines or as many files. Files in which one column has different types get the wider type.
+    ``lines`` says that all files are of one kind and spares the look. ``on_bad``: ``fail``, ``skip`` bad records, or
+    ``keep`` them in ``_corrupt_record``; what is no object counts as bad. Lines and arrays are read by many tasks: an array is
+    cut into its records, which are written as lines (of one partition folder each) and read again. Files in which one column
+    has different types get the wider type.
     """
     mode = {"fail": "FAILFAST", "skip": "DROPMALFORMED", "keep": "PERMISSIVE"}[on_bad]
-    many, single = _forms(spark, path) if lines is None else ([path], []) if lines else ([], [path])
-    parts = [(False, many if lines is None else path)] if many else []
-    parts += [(True, single if lines is None else path)] if single else []
-    parts = parts or [(False, path)]
-
-    def read(multi: bool, files: str | Sequence[str], given: str | T.StructType | None) -> DataFrame:
-        reader = spark.read.option("multiLine", multi).option("mode", mode).options(**options)
+    parts: list[tuple[str | Sequence[str], dict[str, object]]]
+    if lines is not None:
+        parts = [(path, {"multiLine": not lines})]
+    else:
+        many, single, base, cut = _forms(spark, path)
+        keep = {} if base is None else {"basePath": base}
+        parts = [(many if single else path, keep if single else {})] if many or not single else []
+        if single:
+            found = json_documents.records(*cut, single)
+            folder, own = scratch_path(spark, "records"), [c for c in found.columns if c != "value"]
+            writer = found.write.partitionBy(*own) if own else found.write
+            writer.text(folder)
+            parts.append((folder, {}))
+
+    def read(files: str | Sequence[str], extra: dict[str, object], given: str | T.StructType | None) -> DataFrame:
+        reader = spark.read.option("mode", mode).options(**extra).options(**options)
         return (reader if given is None else reader.schema(given)).json(files)
 
     frames = [read(*part, schema) for part in parts]
     if len(frames) > 1 and schema is None:
         both = _merged(frames[0].schema, frames[1].schema)
         frames = [read(*part, both) for part in parts]
-    df = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+    df = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1], allowMissingColumns=True)
     return flatten_structs(df) if flatten else df
 
 
