@@ -5,10 +5,10 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from queries.common import GAPPY_ORDERS_SQL, gappy_orders, query, rounded, table, union_sql
-from queries.profiling import DESCRIBE, _distinct_sql, _stats_sql, _top_sql
+from queries.profiling import _METRICS, DESCRIBE, _distinct_sql, _stats_sql, _top_sql
 from tabulens.operators import report
 from tabulens.operators import stats as st
-from tabulens.operators.forecast import forecast, forecast_end
+from tabulens.operators.forecast import FEATURES_SQL, PLACES, SEGMENT_SQL, daily_series, forecast, forecast_breaks, forecast_end, normal_sums
 from tabulens.operators.vectors import top_k
 
 _L_NUM = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -243,6 +243,30 @@ def a19(spark, sf):
     return rounded(st.eda(_priced(spark, sf))["describe"])
 
 
+@query(
+    "a19_eda",
+    union_sql(
+        [f"""SELECT 'shape' AS part, '{k}' AS item, '' AS metric, CAST({v} AS DOUBLE) AS value FROM lineitem""" for k, v in (("n_rows", "count(*)"), ("n_cols", f"max({len(_PRICED_COLS)})"))]
+        + [f"SELECT 'missing', '{c}', 'num_missing', CAST(count(*) - count({c}) AS DOUBLE) FROM ({_PRICED_SQL})" for c in _PRICED_COLS]
+        + [f"SELECT 'describe', '{c}', '{m}', CAST(round(CAST({e.format(c=c)} AS DOUBLE), 4) AS DOUBLE) FROM ({_PRICED_SQL})" for c in _PRICED_COLS for m, e in _METRICS.items()]
+        + [f"SELECT * FROM (SELECT 'correlations', a || ' ~ ' || b, 'r', round(r, 4) FROM ({_pairs_sql(_PRICED_COLS, _PRICED_SQL)}) ORDER BY abs(r) DESC LIMIT 5)"]
+    ),
+)
+def a19_all(spark, sf):
+    """All four parts as one long table."""
+    parts = st.eda(_priced(spark, sf))
+
+    def long(part, df, item, metrics):
+        entries = F.array(*[F.struct(F.lit(label).alias("metric"), F.col(m).cast("double").alias("value")) for m, label in metrics.items()])
+        return df.select(F.lit(part).alias("part"), item.alias("item"), F.explode(entries).alias("m")).select("part", "item", "m.*")
+
+    shape = [long("shape", parts["shape"], F.lit(k), {k: ""}) for k in ("n_rows", "n_cols")]
+    out = shape[0].unionByName(shape[1])
+    out = out.unionByName(long("missing", parts["missing"], F.col("column"), {"num_missing": "num_missing"}))
+    out = out.unionByName(long("describe", parts["describe"], F.col("column"), {m: m for m in _METRICS}))
+    return rounded(out.unionByName(long("correlations", parts["correlations"], F.concat_ws(" ~ ", "a", "b"), {"r": "r"})))
+
+
 @query(
     "a20_chart_picks",
     f"""
@@ -379,6 +403,29 @@ def f01_by(spark, sf):
     return rounded(forecast(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", 30, ["o_orderstatus"]), 2)
 
 
+_SUMS_SQL = f"""
+WITH days AS (SELECT o_orderdate::DATE - DATE '1970-01-01' AS d, dayofweek(o_orderdate) + 1 AS dow, sum(o_totalprice / 1e6) AS y FROM orders GROUP BY 1, 2),
+ends AS (SELECT d::DOUBLE AS d, dow, y, min(d) OVER ()::DOUBLE AS lo, max(d) OVER ()::DOUBLE AS hi FROM days),
+f AS (SELECT {SEGMENT_SQL} AS segment, [{', '.join(FEATURES_SQL)}, y] AS f FROM ends)
+SELECT segment, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(f[i + 1] * f[j + 1]) / count(*), 6) AS mean_product
+FROM f, range({len(FEATURES_SQL) + 1}) AS a(i), range({len(FEATURES_SQL) + 1}) AS b(j) WHERE i <= j GROUP BY 1, 2, 3"""
+
+
+@query("f01_trend_sums", _SUMS_SQL)
+def f01_sums(spark, sf):
+    """What the trend with breaks is solved from: mean products of features by segment."""
+    rows = table(spark, sf, "orders").withColumn("y", F.col("o_totalprice") / 1e6)
+    sums = normal_sums(daily_series(rows, "o_orderdate", "y")).select("segment", "n", F.posexplode("sums").alias("at", "s"))
+    places = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in PLACES])
+    return rounded(sums.select("segment", F.get(places, F.col("at")).alias("x"), (F.col("s") / F.col("n")).alias("mean_product")).select("segment", "x.i", "x.j", "mean_product"), 6)
+
+
+@query("f01_forecast_breaks")
+def f01_breaks(spark, sf):
+    """Trend with breaks, week and year by group; tests hold it against least squares over the days."""
+    return rounded(forecast_breaks(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", 90, ["o_orderstatus"]), 2)
+
+
 @query("f02_forecast_end", f"SELECT max(ds) AS ends, arg_max(yhat, ds) AS final_value FROM ({_FORECAST_ALL})")
 def f02(spark, sf):
     return rounded(forecast_end(forecast(table(spark, sf, "orders"), "o_orderdate", "o_totalprice", 30)), 2)

@@ -79,7 +79,7 @@ def v07(spark, sf):
     f"""
     SELECT 'distribution' AS chart, CAST(bin AS VARCHAR) AS label, CAST(count AS DOUBLE) AS value FROM ({_histogram_sql('o_totalprice', 'orders')})
     UNION ALL SELECT 'comparison', o_orderpriority, round(avg(o_totalprice), 4) FROM orders GROUP BY 2
-    UNION ALL SELECT 'relationship', 'points', CAST(count(*) AS DOUBLE) FROM orders
+    UNION ALL SELECT 'relationship', CAST(round(o_totalprice, 4) AS VARCHAR), CAST(o_custkey AS DOUBLE) FROM orders
     UNION ALL SELECT 'summary', 'mean', round(avg(o_totalprice), 4) FROM orders
     UNION ALL SELECT 'summary', 'median', round(median(o_totalprice), 4) FROM orders
     UNION ALL SELECT 'summary', 'std', round(stddev_samp(o_totalprice), 4) FROM orders
@@ -93,8 +93,8 @@ def v08(spark, sf):
 
     out = rows("distribution", parts["distribution"], F.col("bin"), F.col("count"))
     out = out.unionByName(rows("comparison", parts["comparison"], F.col("category"), F.col("mean")))
-    points = parts["relationship"].agg(F.count("*").alias("n"))
-    out = out.unionByName(rows("relationship", points, F.lit("points"), F.col("n")))
+    points = parts["relationship"]
+    out = out.unionByName(rows("relationship", points, F.round("x", 4), F.col("y")))
     summary = parts["summary"].select(
         F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.col(m).alias("v")) for m in ("mean", "median", "std")])).alias("s")
     )

@@ -414,19 +414,26 @@ def k31(spark, sf):
     return rounded(apply_plan(df, CleaningPlan.from_dict(PLAN, df.columns))[0])
 
 
-@query(
-    "k31_plan_report",
-    f"""
-    WITH g AS ({GAPPY_LINEITEM_SQL}), d AS (SELECT DISTINCT {', '.join(_PLANNED)} FROM g)
-    SELECT 'missing' AS step, 'l_quantity' AS "column", 'filled_median' AS action, count(*) - count(l_quantity) AS affected FROM d
+def _plan_report_sql():
+    head = _plan_sql().rsplit("SELECT CAST(l_orderkey", 1)[0].rstrip()
+    outside = [
+        f"""SELECT 'outliers', '{c}', 'clipped', n FROM (SELECT count(*) FILTER ({c} < (SELECT lo FROM b_{c}) OR {c} > (SELECT hi FROM b_{c})) AS n FROM f) WHERE n > 0"""
+        for c in ("l_orderkey", "l_quantity", "l_extendedprice")
+    ]
+    return f"""{head}, b_l_orderkey AS {_iqr('l_orderkey', 'f')}
+    SELECT 'duplicates' AS step, CAST(NULL AS VARCHAR) AS "column", CASE WHEN n > 0 THEN 'removed' ELSE 'none_found' END AS action, n AS affected
+      FROM (SELECT (SELECT count(*) FROM g) - (SELECT count(*) FROM d) AS n)
+    UNION ALL SELECT 'missing', 'l_quantity', 'filled_median', count(*) - count(l_quantity) FROM d
     UNION ALL SELECT 'missing', 'l_extendedprice', 'filled_median', count(*) - count(l_extendedprice) FROM d
     UNION ALL SELECT 'missing', 'l_returnflag', 'filled_mode', count(*) - count(l_returnflag) FROM d
-    """,
-)
+    UNION ALL {' UNION ALL '.join(outside)}
+    UNION ALL SELECT 'text', 'l_linestatus', 'cleaned', NULL UNION ALL SELECT 'types', 'l_orderkey', 'converted', NULL"""
+
+
+@query("k31_plan_report", _plan_report_sql())
 def k31_report(spark, sf):
     df = _planned(spark, sf)
-    report = apply_plan(df, CleaningPlan.from_dict(PLAN, df.columns))[1]
-    return report.where("step = 'missing'").drop("detail")
+    return apply_plan(df, CleaningPlan.from_dict(PLAN, df.columns))[1].drop("detail")
 
 
 COMPAT_PLAN = {"missing_values": {"strategy": "mean"}, "outliers": {"strategy": "drop", "method": "zscore", "zscore_threshold": 1.5}}

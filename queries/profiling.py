@@ -206,7 +206,7 @@ def p12(spark, sf):
         + [
             f"""SELECT 'samples', '{c}', value FROM (SELECT DISTINCT CAST({c} AS VARCHAR) AS value FROM ({GAPPY_ORDERS_SQL}) WHERE {c} IS NOT NULL
             ORDER BY value LIMIT 3)"""
-            for c in ("o_orderkey", "o_orderstatus")
+            for c in _GAPPY_COLS
         ]
     ),
 )
@@ -215,8 +215,7 @@ def p13(spark, sf):
     rows = parts["missing"].select(F.lit("missing").alias("section"), F.col("column").alias("item"), F.col("num_missing").cast("string").alias("value"))
     rows = rows.unionByName(parts["dataset"].select(F.lit("dataset").alias("section"), F.lit("n_rows").alias("item"), F.col("n_rows").cast("string").alias("value")))
     rows = rows.unionByName(parts["duplicates"].select(F.lit("duplicates").alias("section"), F.lit("num_duplicates").alias("item"), F.col("num_duplicates").cast("string").alias("value")))
-    samples = parts["samples"].where(F.col("column").isin("o_orderkey", "o_orderstatus"))
-    return rows.unionByName(samples.select(F.lit("samples").alias("section"), F.col("column").alias("item"), "value"))
+    return rows.unionByName(parts["samples"].select(F.lit("samples").alias("section"), F.col("column").alias("item"), "value"))
 
 
 _WORDS = r"len([w FOR w IN regexp_split_to_array({t}, '\s+') IF w <> ''])"
@@ -275,32 +274,23 @@ def p16_label(spark, sf):
     return docs.groupBy("lang", "language").agg(F.count("*").alias("count"))
 
 
-_TABLES = {
-    "region": (2, "General", "Mixed/General", "Mixed structured data"),
-    "nation": (3, "General", "Mixed/General", "Quantitative/Numeric dataset"),
-    "customer": (5, "General", "Mixed/General", "Mixed structured data"),
-    "supplier": (4, "General", "Mixed/General", "Quantitative/Numeric dataset"),
-    "part": (6, "Business/Finance", "Business/Finance", "Mixed structured data"),
-    "orders": (6, "Business/Finance", "Business/Finance", "Business/Commercial data"),
-    "lineitem": (11, "Business/Finance", "Business/Finance", "Business/Commercial data"),
-    "events": (6, "General", "Social Media", "Mixed structured data"),
-    "documents": (5, "General", "Mixed/General", "Mixed structured data"),
-    "embeddings": (3, "General", "Mixed/General", "Quantitative/Numeric dataset"),
-    "pages": (3, "General", "Mixed/General", "Mixed structured data"),
-    "benchmark": (2, "General", "Retail/E-commerce", "Mixed structured data"),
-    "labels": (3, "Sleep/Health", "Sleep/Health", "Quantitative/Numeric dataset"),
-    "conversations": (4, "General", "Mixed/General", "Mixed structured data"),
-}
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+_NUMBERS = "'TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE'"
 
 
 @query(
     "p17_domain_from_columns",
-    union_sql(
-        [
-            f"SELECT '{t}' AS table_name, count(*) AS n_rows, {n} AS n_cols, '{a}' AS domain, '{b}' AS detailed_domain, '{c}' AS dataset_type FROM {t}"
-            for t, (n, a, b, c) in _TABLES.items()
-        ]
-    ),
+    f"""
+    WITH names AS (
+      SELECT table_name, count(*) AS n_cols, lower(string_agg(column_name, ' ' ORDER BY ordinal_position)) AS low,
+        avg((data_type IN ({_NUMBERS}) OR starts_with(data_type, 'DECIMAL'))::INT) AS share
+      FROM information_schema.columns WHERE table_name IN ({', '.join(sql_text(t) for t in _TABLES)}) GROUP BY table_name
+    ), sizes AS ({union_sql([f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in _TABLES])}),
+    named AS (SELECT *, {sql_first('low', rules.TABLE_TYPES, '')} AS kind FROM names)
+    SELECT table_name, n_rows, CAST(n_cols AS INT) AS n_cols, {sql_first('low', rules.TABLE_DOMAINS_SHORT, 'General')} AS domain,
+      {sql_first('low', rules.TABLE_DOMAINS_LONG, 'Mixed/General')} AS detailed_domain,
+      CASE WHEN kind <> '' THEN kind WHEN share > 0.6 THEN 'Quantitative/Numeric dataset' ELSE 'Mixed structured data' END AS dataset_type
+    FROM named JOIN sizes USING (table_name)""",
 )
 def p17(spark, sf):
     return sc.domain_from_columns(sc.catalog({name: spark.read.parquet(f"{sf}/{name}.parquet") for name in _TABLES}))

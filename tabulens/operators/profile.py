@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulens.functions.nulls import number, quoted
+from tabulens.functions.nulls import FLOATING, number, quoted
 from tabulens.operators.quantiles import collect_quantiles
 from tabulens.operators.schema import (
     columns_of,
@@ -20,7 +20,6 @@ from tabulens.operators.schema import (
 )
 
 _TEMPORAL = (T.TimestampNTZType, T.TimestampType, T.DateType)
-_DISTINCT_BATCH = 8
 
 
 # ---- shared pieces -------------------------------------------------------------------------------
@@ -120,20 +119,34 @@ def quality_score(df: DataFrame) -> DataFrame:
 # ---- column level --------------------------------------------------------------------------------
 
 
+def _digests(df: DataFrame, name: str) -> list[Column]:
+    """128 bits that stand for a value, and 32 more of another kind to tell a collision by; NULL where it is missing."""
+    value = comparable(df, name)
+    if isinstance(df.schema[name].dataType, FLOATING):
+        # -0.0 and 0.0 are one value.
+        value = value + F.lit(0.0).cast(df.schema[name].dataType)
+    return [F.xxhash64(value), F.xxhash64(F.lit(name), value, F.lit(1)), F.hash(value)]
+
+
 def distinct_counts(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Distinct present values per column; ``approx`` replaces the exact count by a sketch of fixed size."""
+    """Distinct present values per column, any number of columns in one scan.
+
+    Every value becomes (column number, 128-bit digest), repeated ones collapse in the task that reads them, and the digest
+    spreads a column over all tasks; texts are not shuffled. Two values of one digest would be seen by a third hash and count
+    as two. ``approx`` replaces the exact count by a sketch of fixed size.
+    """
     cols = list(cols or df.columns)
-    count = F.approx_count_distinct if approx else F.count_distinct
-    out = None
-    step = len(cols) if approx else _DISTINCT_BATCH
-    for i in range(0, len(cols), step):
-        entries = [
-            F.struct(F.lit(c).alias("column"), count(comparable(df, c)).alias("num_unique"))
-            for c in cols[i : i + step]
-        ]
-        part = per_column(df, entries)
-        out = part if out is None else out.unionByName(part)
-    return out
+    if approx:
+        return per_column(df, [F.struct(F.lit(c).alias("column"), F.approx_count_distinct(comparable(df, c)).alias("num_unique")) for c in cols], batch=len(cols))
+    names = F.array(*[F.lit(c) for c in cols])
+    held = [F.when(comparable(df, c).isNotNull(), F.struct(F.lit(i).alias("i"), *[d.alias(f"h{k}") for k, d in enumerate(_digests(df, c))])) for i, c in enumerate(cols)]
+    values = df.select(F.explode(F.array(*held)).alias("v")).where("v IS NOT NULL").select("v.*")
+    counted = values.groupBy("i", "h0", "h1").agg((F.min("h2") != F.max("h2")).cast("long").alias("more"))
+    counted = counted.groupBy("i").agg((F.count("*") + F.sum("more")).alias("num_unique"))
+    every = df.sparkSession.range(len(cols)).select(F.col("id").cast("int").alias("i"))
+    # One row for each column on both sides.
+    found = every.join(F.broadcast(counted), "i", "left")
+    return found.select(F.get(names, F.col("i")).alias("column"), F.coalesce("num_unique", F.lit(0).cast("long")).alias("num_unique"))
 
 
 def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
