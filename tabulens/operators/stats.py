@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from itertools import combinations
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,10 @@ from tabulens.operators.profile import smallest_per_group, top_values, unpivot_t
 from tabulens.operators.quantiles import collect_quantiles, exact_quantiles
 from tabulens.operators.schema import columns_above_ratio, numeric_columns, per_column
 
-_PAIR_BATCH = 400
+# Rows that the values are measured from, the sums of a pair of columns, and the share of them that rounding may leave.
+_SHIFT_ROWS = 1000
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+_ROUNDING = 1e-13
 
 
 def _label(p: float) -> str:
@@ -65,33 +69,61 @@ def summary_stats(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 # ---- correlation ---------------------------------------------------------------------------------
 
 
+def _pair_sums(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(i, j, n, sx, sy, sxx, syy, sxy)`` for i <= j over the rows where both columns have a value, in one scan.
+
+    A task keeps four matrices of products, added up by batch. Values are taken from one that occurs, so a constant column
+    is zero throughout and large offsets do not cancel.
+    """
+    first = df.select(*[number(df, c).alias(f"x{i}") for i, c in enumerate(cols)]).limit(_SHIFT_ROWS)
+    shift = [v or 0.0 for v in first.agg(*[F.percentile_approx(f"x{i}", 0.5, 100) for i in range(len(cols))]).first()]
+    size = len(cols)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sx, sxx, sxy = (np.zeros((size, size)) for _ in range(4))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - shift
+            here = ~np.isnan(x)
+            x, here = np.where(here, x, 0.0), here.astype(float)
+            with np.errstate(invalid="ignore"):
+                n += here.T @ here
+                sx += x.T @ here
+                sxx += (x * x).T @ here
+                sxy += x.T @ x
+        for i in range(size):
+            j = np.arange(i, size)
+            parts = [np.full(len(j), i, np.int32), j.astype(np.int32), n[i, j], sx[i, j], sx[j, i], sxx[i, j], sxx[j, i], sxy[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], ["i", "j", *_SUMS])
+
+    rows = df.select(*[number(df, c).alias(f"x{i}") for i, c in enumerate(cols)])
+    found = rows.mapInArrow(products, "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS))
+    return found.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in _SUMS])
+
+
 def correlation(df: DataFrame, cols: Sequence[str], full: bool = False) -> DataFrame:
-    """Pearson r of every pair ``(a, b, r)``, missing values skipped pairwise; ``full`` adds mirror and diagonal."""
+    """Pearson r of every pair ``(a, b, r)``, missing values skipped pairwise; ``full`` adds mirror and diagonal.
+
+    Any number of columns in one scan. Constant columns have no r, nor have columns with an infinite value.
+    """
     cols = list(cols)
-    pairs = list(combinations(range(len(cols)), 2))
-    if full:
-        pairs += [(i, i) for i in range(len(cols))]
-    if not pairs:
+    if len(cols) < (1 if full else 2):
         return df.sparkSession.createDataFrame([], "a string, b string, i int, j int, r double")
-
-    def entry(i: int, j: int) -> Column:
-        x, y = number(df, cols[i]), number(df, cols[j])
-        r = F.when(F.min(x) < F.max(x), F.lit(1.0)) if i == j else F.nullif(F.corr(x, y), F.lit(float("nan")))
-        names = (F.lit(cols[i]).alias("a"), F.lit(cols[j]).alias("b"), F.lit(i).alias("i"), F.lit(j).alias("j"))
-        return F.struct(*names, r.alias("r"))
-
-    out = None
-    for k in range(0, len(pairs), _PAIR_BATCH):
-        part = per_column(df, [entry(i, j) for i, j in pairs[k : k + _PAIR_BATCH]], batch=_PAIR_BATCH)
-        out = part if out is None else out.unionByName(part)
-    if not full:
-        return out
-    one = F.struct("a", "b", "i", "j", "r")
-    mirrored = F.struct(
-        F.col("b").alias("a"), F.col("a").alias("b"), F.col("j").alias("i"), F.col("i").alias("j"), F.col("r").alias("r")
-    )
-    both = F.when(F.col("i") < F.col("j"), F.array(one, mirrored)).otherwise(F.array(one))
-    return out.select(F.explode(both).alias("p")).select("p.*")
+    sums, n = _pair_sums(df, cols), F.col("n")
+    xx, yy, xy = (F.col(f"s{p}{q}") - F.col(f"s{p}") * F.col(f"s{q}") / n for p, q in (("x", "x"), ("y", "y"), ("x", "y")))
+    # What is left of equal values after rounding is no spread.
+    spread = (xx > F.col("sxx") * _ROUNDING) & (yy > F.col("syy") * _ROUNDING)
+    r = F.greatest(F.least(xy / F.sqrt(xx) / F.sqrt(yy), F.lit(1.0)), F.lit(-1.0))
+    r = F.when((n > 1) & spread, F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.nullif(r, F.lit(float("nan")))))
+    found = sums.select("i", "j", r.alias("r"))
+    last = len(cols) - 1
+    every = df.sparkSession.range(len(cols)).select(F.col("id").cast("int").alias("i"))
+    every = every.select("i", F.explode(F.sequence(F.col("i"), F.lit(last))).alias("j")).where(F.lit(full) | (F.col("i") < F.col("j")))
+    out = every.join(found, ["i", "j"], "left")
+    if full:
+        sides = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+        out = out.select(F.explode(F.array_distinct(sides)).alias("p"), "r").select("p.*", "r")
+    names = F.array(*[F.lit(c) for c in cols])
+    return out.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), "i", "j", "r")
 
 
 def strongest_pairs(df: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame:

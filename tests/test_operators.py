@@ -324,3 +324,30 @@ def test_match_columns_rules(spark):
     df = spark.createDataFrame([("compare them",), ("the Price by region",), ("mean",), ("hello",)], "q string")
     got = [r["columns"] for r in schema.match_columns(df, "q", ["price", "qty"], ["region"]).collect()]
     assert got == [["region", "price"], ["price", "region"], ["price", "qty"], ["region", "price", "qty"]]
+
+
+def test_correlation_of_a_wide_table(spark):
+    """2,000 columns with gaps in one scan, equal to pandas' pairwise correlation."""
+    rng = np.random.default_rng(4)
+    n, c = 120, 2000
+    x = rng.normal(0, 1, (n, c)) + rng.normal(0, 1, (n, 1)) + 1e6 * rng.integers(0, 2, c)
+    x[rng.random((n, c)) < 0.05] = np.nan
+    x[:, 7] = 0.1
+    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    df = spark.createDataFrame(pd.DataFrame(x, columns=[f"c{i}" for i in range(c)])).repartition(2)
+    got = stats.correlation(df, df.columns)
+    assert got._jdf.queryExecution().toString().count("MapInArrow") >= 1
+    found = np.full((c, c), np.nan)
+    rows = got.where("r IS NOT NULL").select("i", "j", "r").toPandas()
+    found[rows.i, rows.j] = rows.r
+    want = np.where(np.triu(np.ones((c, c), bool), 1), pd.DataFrame(x).corr().to_numpy(), np.nan)
+    np.testing.assert_allclose(found, want, atol=1e-7)
+
+
+def test_correlation_of_odd_columns(spark):
+    df = spark.createDataFrame([(1.0, 5.0, None, 0.1), (2.0, 5.0, None, 0.3), (3.0, 5.0, 1.0, None), (4.0, 5.0, None, None)], "a double, b double, `c.d` double, e double")
+    got = {(r.a, r.b): r.r for r in stats.correlation(df, df.columns, full=True).collect()}
+    assert len(got) == 16 and got["a", "a"] == 1.0 and got["b", "b"] is None and got["c.d", "c.d"] is None
+    assert got["a", "e"] == got["e", "a"] == pytest.approx(1.0) and got["a", "b"] is None
+    empty = stats.correlation(df.where("false"), df.columns)
+    assert empty.count() == 6 and empty.where("r IS NOT NULL").count() == 0
