@@ -14,6 +14,7 @@ from queries.common import (
     union_sql,
 )
 from tabulens.functions import rules
+from tabulens.operators import language
 from tabulens.operators import profile as pr
 from tabulens.operators import schema as sc
 from tabulens.operators import textstats as ts
@@ -274,6 +275,26 @@ def p16_label(spark, sf):
     return docs.groupBy("lang", "language").agg(F.count("*").alias("count"))
 
 
+@query(
+    "p16_language_model",
+    rf"""
+    WITH words AS (SELECT lang, unnest(regexp_extract_all(lower(text), '{language.WORD}')) AS w FROM documents WHERE lang IS NOT NULL),
+    counted AS (SELECT lang, w, count(*) AS n FROM words WHERE length(w) <= {language.LONGEST} GROUP BY 1, 2),
+    grams AS (SELECT lang, n, unnest([substr(' ' || w || ' ', i, 3) FOR i IN range(1, length(w) + 1)]) AS gram FROM counted)
+    SELECT lang, gram, CAST(sum(n) AS BIGINT) AS n FROM grams GROUP BY 1, 2""",
+)
+def p16_model(spark, sf):
+    return language.gram_counts(table(spark, sf, "documents"), "text", "lang")
+
+
+@query("p16_language_trigrams")
+def p16_trigrams(spark, sf):
+    """Documents by their own and the detected language; tests ask for held-out accuracy."""
+    docs = table(spark, sf, "documents")
+    model = language.fit_languages(docs, "text", "lang")
+    return language.detect_language(docs, "text", model).groupBy("lang", "language").agg(F.count("*").alias("documents"))
+
+
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 _NUMBERS = "'TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE'"
 

@@ -39,6 +39,15 @@ def t03(spark, sf):
     return ts.sentiment(table(spark, sf, "documents"), "text")
 
 
+@query("t03_sentiment_learnt")
+def t03_learnt(spark, sf):
+    """Documents by label and sign of the score learnt from the labels; tests ask for held-out accuracy."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id", (1 - F.col("toxic")).alias("kind"))
+    rows = docs.join(labels, "doc_id", "left")
+    scored = ts.learnt_sentiment(rows, "text", ts.fit_sentiment(rows, "text", "kind"))
+    return scored.groupBy("kind", (F.col("sentiment_score") > 0).alias("positive")).agg(F.count("*").alias("documents"))
+
+
 @query(
     "t04_labelled_sentiment",
     """SELECT category, count, round(count / sum(count) OVER (), 6) AS share

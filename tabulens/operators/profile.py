@@ -48,14 +48,27 @@ def comparable(df: DataFrame, name: str) -> Column:
     return present(df, name)
 
 
+def same_zero(df: DataFrame, name: str) -> Column:
+    """``comparable`` with -0.0 as 0.0, which hashes tell apart."""
+    value = comparable(df, name)
+    return value + F.lit(0.0).cast(df.schema[name].dataType) if isinstance(df.schema[name].dataType, FLOATING) else value
+
+
+def row_digests(df: DataFrame) -> list[Column]:
+    """128 bits that stand for a whole row, missing places included, and 32 of another kind to tell a collision by."""
+    # A hash passes over missing values, so where they are goes in as well.
+    parts = [same_zero(df, c) for c in df.columns] + [present(df, c).isNull() for c in df.columns]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit("row"), *parts, F.lit(1)), F.hash(*parts)]
+
+
 def duplicate_stats(df: DataFrame) -> DataFrame:
-    """``n_rows, n_distinct``: whole rows are grouped, repeated ones collapse before the shuffle."""
-    keys = [comparable(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]
-    return (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("copies"))
-        .agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct"))
-    )
+    """``n_rows, n_distinct``: rows are shuffled as digests, repeated ones collapse before.
+
+    Two different rows of one digest would be seen by a third hash and count as two.
+    """
+    digests = df.select(*[d.alias(f"h{k}") for k, d in enumerate(row_digests(df))])
+    each = digests.groupBy("h0", "h1").agg(F.count("*").alias("copies"), (F.min("h2") != F.max("h2")).cast("long").alias("more"))
+    return each.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"), (F.count("*") + F.coalesce(F.sum("more"), F.lit(0))).alias("n_distinct"))
 
 
 # ---- dataset level -------------------------------------------------------------------------------
@@ -96,17 +109,13 @@ def quality_score(df: DataFrame) -> DataFrame:
     """``round(100 * (0.7 * completeness + 0.3 * uniqueness), 2)``; 0 for an empty table."""
     cells = F.col("n_rows") * len(df.columns)
     score = (1 - F.col("missing") / cells) * 0.7 + (F.col("n_distinct") / F.col("n_rows")) * 0.3
-    # One group-by for both parts: each distinct row also knows its missing cells.
-    keys = [comparable(df, c).alias(f"k{i}") for i, c in enumerate(df.columns)]
-    empty = sum((F.col(f"k{i}").isNull().cast("long") for i in range(len(keys))), F.lit(0).cast("long"))
-    stats = (
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("copies"))
-        .agg(
-            F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"),
-            F.count("*").alias("n_distinct"),
-            F.coalesce(F.sum(F.col("copies") * empty), F.lit(0)).alias("missing"),
-        )
+    # One group-by for both parts: each digest also knows the missing cells of its row.
+    empty = sum((present(df, c).isNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
+    digests = df.select(*[d.alias(f"h{k}") for k, d in enumerate(row_digests(df))], empty.alias("empty"))
+    each = digests.groupBy("h0", "h1").agg(F.count("*").alias("copies"), (F.min("h2") != F.max("h2")).cast("long").alias("more"), F.sum("empty").alias("empty"))
+    stats = each.agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("n_rows"), (F.count("*") + F.coalesce(F.sum("more"), F.lit(0))).alias("n_distinct"),
+        F.coalesce(F.sum("empty"), F.lit(0)).alias("missing"),
     )
     return stats.select(
         "n_rows",
@@ -121,10 +130,7 @@ def quality_score(df: DataFrame) -> DataFrame:
 
 def _digests(df: DataFrame, name: str) -> list[Column]:
     """128 bits that stand for a value, and 32 more of another kind to tell a collision by; NULL where it is missing."""
-    value = comparable(df, name)
-    if isinstance(df.schema[name].dataType, FLOATING):
-        # -0.0 and 0.0 are one value.
-        value = value + F.lit(0.0).cast(df.schema[name].dataType)
+    value = same_zero(df, name)
     return [F.xxhash64(value), F.xxhash64(F.lit(name), value, F.lit(1)), F.hash(value)]
 
 

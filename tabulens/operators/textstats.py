@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +14,9 @@ from tabulens.functions import text as tx
 from tabulens.functions.nulls import quoted
 from tabulens.operators.profile import smallest_per_group
 
+#: Words that a learnt sentiment keeps at most.
+SENTIMENT_WORDS = 500
+
 # ---- corpus --------------------------------------------------------------------------------------
 
 
@@ -124,6 +129,48 @@ def sentiment(df: DataFrame, col: str, lexicon: Mapping[str, Sequence[str]] = ru
     return df.groupBy(label.alias("sentiment")).agg(F.count("*").alias("count"))
 
 
+@dataclass(frozen=True)
+class SentimentModel:
+    """What each telling word adds to the score of a text; above zero is positive."""
+
+    bias: float
+    weights: dict[str, float]
+
+
+def fit_sentiment(
+    df: DataFrame, text: str, label: str, top: int = SENTIMENT_WORDS, lexicon: Mapping[str, Sequence[str]] = rules.SENTIMENT_LEXICON
+) -> SentimentModel:
+    """Word weights from texts labelled 1 (positive) or 0 (negative), in aggregations; other labels teach nothing.
+
+    A word weighs the logarithm of its share of positive texts over that of negative ones. Words whose weight is less than two
+    standard errors are left out, and of the others the ``top`` surest are kept. The lexicon is where it starts: each of its
+    words counts as having been in one more text of its side. Words go together in texts, so the bias is moved to where zero
+    is midway between the mean scores of both sides.
+    """
+    known = df.where(quoted(label).isin(0, 1)).select(quoted(label).cast("int").alias("y"), F.array_distinct(tx.tokens(F.lower(quoted(text)))).alias("words"))
+    sides = known.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("p"), F.coalesce(F.sum(1 - F.col("y")), F.lit(0)).alias("q")).first()
+    counts = known.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("q"))
+    p = F.col("p") + 0.5 + F.col("w").isin(*lexicon["positive"]).cast("int")
+    q = F.col("q") + 0.5 + F.col("w").isin(*lexicon["negative"]).cast("int")
+    weight = F.log(p / F.lit(sides["p"] + 1.0)) - F.log(q / F.lit(sides["q"] + 1.0))
+    sure = F.abs(weight) / F.sqrt(1 / p + 1 / q)
+    kept = counts.select("w", weight.alias("weight"), sure.alias("sure")).where("sure >= 2").orderBy(F.desc("sure"), "w").limit(top)
+    model = SentimentModel(math.log((sides["p"] + 1) / (sides["q"] + 1)), {r["w"]: r["weight"] for r in kept.collect()})
+    scored = learnt_sentiment(df.where(quoted(label).isin(0, 1)), text, model, "_score").groupBy(quoted(label).cast("int").alias("y"))
+    means = {r["y"]: r["s"] for r in scored.agg(F.avg("_score").alias("s")).collect()}
+    return SentimentModel(model.bias - sum(means.values()) / 2, model.weights) if len(means) == 2 else model
+
+
+def learnt_sentiment(df: DataFrame, text: str, model: SentimentModel, out: str = "sentiment_score") -> DataFrame:
+    """The rows with the score of a text: the bias and the weights of its distinct telling words."""
+    if not model.weights:
+        return df.withColumn(out, F.lit(model.bias))
+    # Few words are left when their weights are looked up.
+    telling = F.filter(F.array_distinct(tx.tokens(F.lower(F.coalesce(quoted(text), F.lit(""))))), lambda w: w.isin(list(model.weights)))
+    weights = F.map_from_arrays(F.array(*map(F.lit, model.weights)), F.array(*map(F.lit, model.weights.values())))
+    return df.withColumn(out, F.aggregate(telling, F.lit(model.bias), lambda total, w: total + F.element_at(weights, w)))
+
+
 # ---- questions -----------------------------------------------------------------------------------
 
 

@@ -351,3 +351,38 @@ def test_correlation_of_odd_columns(spark):
     assert got["a", "e"] == got["e", "a"] == pytest.approx(1.0) and got["a", "b"] is None
     empty = stats.correlation(df.where("false"), df.columns)
     assert empty.count() == 6 and empty.where("r IS NOT NULL").count() == 0
+
+
+def test_digests_tell_rows_apart(spark):
+    """Missing values in different places, signed zeros, NaN, maps and long texts."""
+    rows = [(None, "a", 0.0), ("a", None, 0.0), ("a", None, -0.0), ("a", None, float("nan")), ("a", None, None), (None, None, None), (None, None, float("nan")), ("x" * 5000, "", 1.0), ("x" * 5000, None, 1.0)]
+    df = spark.createDataFrame(rows, "a string, `b.c` string, d double").withColumn("m", F.create_map(F.lit("k"), "d"))
+    assert tuple(profile.duplicate_stats(df.drop("m")).first()) == (9, 6)
+    assert tuple(profile.duplicate_stats(df.withColumn("m", F.create_map(F.lit("k"), F.lit(1)))).first()) == (9, 6)
+    counts = {r.column: r.num_unique for r in profile.distinct_counts(df.drop("m")).collect()}
+    assert counts == {"a": 2, "b.c": 2, "d": 2}
+    assert tuple(profile.duplicate_stats(df.where("false")).first()) == (0, 0)
+    assert {r.num_unique for r in profile.distinct_counts(df.where("false")).collect()} == {0}
+    missing = sum(v is None or v != v for r in rows for v in r)
+    assert profile.quality_score(df.drop("m")).first().missing == missing
+
+
+def test_learnt_sentiment(spark):
+    """Held-out accuracy on labelled documents, weights by hand, nothing to learn from."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("lang = 'en'").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").withColumn("y", 1 - F.col("toxic"))
+    model = textstats.fit_sentiment(docs.where("doc_id % 3 > 0"), "text", "y")
+    assert 0 < len(model.weights) <= textstats.SENTIMENT_WORDS
+    rows = textstats.learnt_sentiment(docs.where("doc_id % 3 = 0 AND y IS NOT NULL"), "text", model).select("y", "sentiment_score").collect()
+    negative, positive = ([r.sentiment_score for r in rows if r.y == k] for k in (0, 1))
+    assert np.mean([[b > a for a in negative] for b in positive]) > 0.9
+    # One side is a tenth of the other: each counts alike.
+    assert (np.mean([s < 0 for s in negative]) + np.mean([s > 0 for s in positive])) / 2 > 0.75
+    few = spark.createDataFrame([("ok ok fine", 1)] * 12 + [("dull", 0)] * 12 + [("fine dull odd", None), (None, 1)], "t string, y int")
+    learnt = textstats.fit_sentiment(few, "t", "y", lexicon={"positive": ("ok",), "negative": ()})
+    assert set(learnt.weights) == {"ok", "fine", "dull"}
+    assert learnt.weights["fine"] == pytest.approx(np.log(12.5 / 14) - np.log(0.5 / 13)) and learnt.weights["ok"] > learnt.weights["fine"]
+    scored = [r.sentiment_score for r in textstats.learnt_sentiment(few, "t", learnt).collect()]
+    assert scored[0] > 0 > scored[15] and scored[-1] == learnt.bias
+    nothing = textstats.fit_sentiment(few.where("false"), "t", "y")
+    assert nothing.weights == {} and textstats.learnt_sentiment(few, "t", nothing).first().sentiment_score == 0.0
