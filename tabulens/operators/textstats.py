@@ -260,6 +260,8 @@ PLAIN_PHRASES = (
 )
 # Numbering and bullets in front of a question, and the words that open one.
 _NUMBERING = r"^\d+\.\s*|^[-•*]\s*"
+# What a longer question loses at either end.
+_STRICT_ENDS = r'^\d+\.\s*|^[-*]\s*|^"|"$'
 _QUESTION_WORDS = ("what", "how", "why", "which", "where", "when")
 
 
@@ -270,8 +272,11 @@ def questions_in(text: Column, strict: bool = False) -> Column:
     """
     patterns = STRICT_QUESTION_PATTERNS if strict else QUESTION_PATTERNS
     found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns])
-    clean = F.transform(found, lambda q: F.regexp_replace(tx.strip(q), _NUMBERING, ""))
+    clean = F.transform(found, lambda q: F.regexp_replace(tx.strip(q), _STRICT_ENDS if strict else _NUMBERING, ""))
     if strict:
+        asked = F.transform(clean, lambda q: F.when(F.endswith(q, F.lit("?")), q).otherwise(F.concat(q, F.lit("?"))))
+        clean = F.transform(asked, tx.strip)
+
         def analytical(q: Column) -> Column:
             low = F.lower(q)
             wanted, plain = tx.pattern_of(ANALYTICAL_TERMS), tx.pattern_of(PLAIN_PHRASES)

@@ -194,6 +194,9 @@ def test_questions_in_matches_python(spark):
     assert got[1] == ["why it fell so much?"] and got[3] == []
     strict = [r["q"] for r in df.select(textstats.questions_in(F.col("t"), strict=True).alias("q")).collect()]
     assert all(len(q) > 30 for qs in strict for q in qs)
+    quoted_ones = spark.createDataFrame([('1. "How has the volatility of prices moved over the decade?"\n- "Which factors drive the trend of late returns?',)], "t string")
+    found = quoted_ones.select(textstats.questions_in(F.col("t"), strict=True).alias("q")).first().q
+    assert "How has the volatility of prices moved over the decade?" in found and "Which factors drive the trend of late returns?" in found
     numbered = df.select(textstats.numbered_lines(F.col("t")).alias("q")).first()["q"]
     assert numbered == ["How did the sales change over time?", "Which group is best overall?"]
 
