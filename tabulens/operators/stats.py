@@ -15,6 +15,9 @@ from tabulens.operators.profile import smallest_per_group, top_values, unpivot_t
 from tabulens.operators.quantiles import collect_quantiles, exact_quantiles
 from tabulens.operators.schema import columns_above_ratio, numeric_columns, per_column
 
+#: Columns of a crosstab for which no values are named.
+MOST_COLUMNS = 1000
+
 # Rows that the values are measured from, the sums of a pair of columns, and the share of them that rounding may leave.
 _SHIFT_ROWS = 1000
 _SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
@@ -215,10 +218,13 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 def crosstab_wide(df: DataFrame, a: str, b: str, values: Sequence[object] | None = None) -> DataFrame:
     """The same as a matrix with a column for each of ``values``, by default for every value of ``b``.
 
-    A matrix is only as wide as a table can be: name the values of a column with very many, or take ``crosstab``.
+    A matrix is only as wide as a table can be: a column with more than ``MOST_COLUMNS`` values is an error unless its values
+    are named; ``crosstab`` takes any.
     """
     counts = crosstab(df, a, b)
-    names = list(values) if values is not None else [r["b"] for r in counts.select("b").distinct().orderBy("b").collect()]
+    names = list(values) if values is not None else [r["b"] for r in counts.select("b").distinct().orderBy("b").limit(MOST_COLUMNS + 1).collect()]
+    if values is None and len(names) > MOST_COLUMNS:
+        raise ValueError(f"{b!r} has more than {MOST_COLUMNS} values: name some, or take crosstab")
     return counts.groupBy("a").pivot("b", names).agg(F.sum("count")).na.fill(0)
 
 

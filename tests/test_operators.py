@@ -134,6 +134,15 @@ def test_crosstab_wide_takes_values(table):
     assert some.columns == ["n", wide.columns[1]] or len(some.columns) == 2
 
 
+def test_crosstab_wide_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(stats, "MOST_COLUMNS", 3)
+    df = spark.range(20).selectExpr("id % 2 AS a", "id % 4 AS b", "id % 3 AS c")
+    assert len(stats.crosstab_wide(df, "a", "c").columns) == 4
+    with pytest.raises(ValueError, match="more than 3 values"):
+        stats.crosstab_wide(df, "a", "b")
+    assert stats.crosstab_wide(df, "a", "b", values=[0, 1, 2, 3]).count() == 2
+
+
 QUESTIONS = [
     "Compute the total freight of late shipments per nation",
     "Rank suppliers by returned parts, worst first",
