@@ -5,15 +5,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulens.functions import text as tx
 from tabulens.functions.nulls import quoted
 
 # Where a text is cut, from the most to the least natural place; the empty one is between any two characters.
 SEPARATORS = ("\n\n", "\n", " ", "")
+#: Characters of chunks that a task holds before it hands them on.
+SENT = 1 << 20
 
 
 def _runs(text: str, size: int, separators: Sequence[str]) -> Iterator[list[str]]:
@@ -37,28 +40,25 @@ def _runs(text: str, size: int, separators: Sequence[str]) -> Iterator[list[str]
         yield short
 
 
-def split_recursive(text: str, size: int = 1000, overlap: int = 200) -> list[str]:
-    """Chunks of at most ``size`` characters that end at natural breaks and share up to ``overlap`` characters."""
-    chunks: list[str] = []
-
-    def emit(window: list[str]) -> None:
-        joined = "".join(window).strip()
-        if joined:
-            chunks.append(joined)
-
+def _chunks(text: str, size: int, overlap: int) -> Iterator[str]:
     for run in _runs(text, size, SEPARATORS):
         window: list[str] = []
         held = 0
         for piece in run:
             if window and held + len(piece) > size:
-                emit(window)
+                if joined := "".join(window).strip():
+                    yield joined
                 while held > overlap or (held and held + len(piece) > size):
                     held -= len(window.pop(0))
             window.append(piece)
             held += len(piece)
-        if window:
-            emit(window)
-    return chunks
+        if window and (joined := "".join(window).strip()):
+            yield joined
+
+
+def split_recursive(text: str, size: int = 1000, overlap: int = 200) -> list[str]:
+    """Chunks of at most ``size`` characters that end at natural breaks and share up to ``overlap`` characters."""
+    return list(_chunks(text, size, overlap))
 
 
 def chunk_text(
@@ -67,7 +67,8 @@ def chunk_text(
     """One row per chunk: ``(keep..., chunk_no, content, length)``.
 
     ``recursive`` cuts at paragraphs, lines, then words. ``fixed`` cuts every ``size`` characters without
-    overlap and drops blank chunks; it needs no Python.
+    overlap and drops blank chunks; it needs no Python. Chunks leave a task as they come, so it holds one batch of texts and
+    ``SENT`` characters of chunks, however many rows there are.
     """
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
@@ -82,9 +83,29 @@ def chunk_text(
     if mode != "recursive":
         raise ValueError(f"unknown mode {mode!r}")
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [] if t is None else split_recursive(t, size, overlap))
-
-    rows = df.select(*kept, F.posexplode(split(quoted(col))).alias("chunk_no", "content"))
-    return rows.withColumn("length", F.length("content"))
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *others, texts = batch.columns
+
+            def packed(found: list[tuple[int, int, str]]) -> pa.RecordBatch:
+                at, numbers, contents = zip(*found)
+                rows = pa.array(at, pa.int64())
+                columns = [*[c.take(rows) for c in others], pa.array(numbers, pa.int32()), pa.array(contents, texts.type)]
+                return pa.RecordBatch.from_arrays(columns, names)
+
+            found, held = [], 0
+            for i, value in enumerate(texts):
+                for number, content in enumerate(_chunks(value.as_py() or "", size, overlap)):
+                    found.append((i, number, content))
+                    held += len(content)
+                    if held >= SENT:
+                        yield packed(found)
+                        found, held = [], 0
+            if found:
+                yield packed(found)
+
+    rows = df.select(*[k.alias(f"k{i}") for i, k in enumerate(kept)], quoted(col).cast("string").alias("text"))
+    names = [*rows.columns[:-1], "chunk_no", "content"]
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField("chunk_no", T.IntegerType()), T.StructField("content", T.StringType())])
+    chunks = rows.mapInArrow(split, schema).toDF(*keep, "chunk_no", "content")
+    return chunks.withColumn("length", F.length("content"))

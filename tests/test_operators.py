@@ -286,6 +286,18 @@ def test_chunks_respect_size_and_lose_nothing(spark, data):
     assert out.select("doc_id").distinct().count() == docs.where(F.trim("text") != "").count()
 
 
+def test_chunks_leave_a_task_as_they_come(spark, monkeypatch):
+    """A few chunks at a time, none lost between them, with the columns of their text."""
+    from tabulens.sources import chunking
+
+    monkeypatch.setattr(chunking, "SENT", 150)
+    texts = [" ".join(f"w{i:03d}" for i in range(k)) for k in (0, 1, 90, 400)] + [None, "  ", "a\n\nb " * 60]
+    df = spark.createDataFrame([(i, t, [i, None]) for i, t in enumerate(texts)], "id int, `a text` string, `k.x` array<int>").coalesce(1)
+    got = chunk_text(df, "a text", ["id", "k.x"], 100, 20)
+    rows = sorted((r["id"], r["chunk_no"], r["content"], r["length"], r["k.x"]) for r in got.collect())
+    assert rows == [(i, n, c, len(c), [i, None]) for i, t in enumerate(texts) for n, c in enumerate(split_recursive(t or "", 100, 20))]
+
+
 def test_chunk_overlap_is_shared(spark):
     text = " ".join(f"w{i:03d}" for i in range(100))
     chunks = split_recursive(text, 100, 30)
