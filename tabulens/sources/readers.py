@@ -119,7 +119,9 @@ def read_json(
         if single:
             found = json_documents.records(*cut, single)
             folder, own = scratch_path(spark, "records"), [c for c in found.columns if c != "value"]
-            writer = found.write.partitionBy(*own) if own else found.write
+            # By ranges, so that a task writes into a few folders and a large folder is shared by many: files do not multiply.
+            ranges = found.repartitionByRange(*[quoted(c) for c in own], F.xxhash64("value")) if own else found
+            writer = ranges.write.partitionBy(*own) if own else found.write
             writer.text(folder)
             parts.append((folder, {}))
 

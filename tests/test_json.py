@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tabulens.sources import json_documents
+from tabulens.sources import json_documents, readers
 from tabulens.sources.readers import CORRUPT, read_json
 
 ROWS = [{"id": i, "v": {"w": i * 2}} for i in range(10)]
@@ -154,3 +154,21 @@ def test_partition_columns_are_kept(spark, tmp_path, how):
     assert sorted((r.day, r.kind, r.id) for r in got.collect()) == [(d, "a b", 10 * d + i) for d in (1, 2) for i in range(3)]
     one = read_json(spark, str(tmp_path / "day=1" / "*"), on_bad="skip")
     assert ids(one) == [10, 11, 12]
+
+
+def test_records_of_many_folders_are_few_files(spark, tmp_path, monkeypatch):
+    """The records of a folder stay together: files grow with folders, not with folders times tasks."""
+    n = 12
+    for k in range(n):
+        (tmp_path / "in" / f"part={k}").mkdir(parents=True)
+        rows = [{"id": 100 * k + i, "t": "x]}," * (i % 3)} for i in range(60)]
+        (tmp_path / "in" / f"part={k}" / "a.json").write_text(json.dumps(rows))
+    monkeypatch.setattr(readers, "scratch_path", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = readers.read_json(spark, str(tmp_path / "in")).collect()
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r["part"], r["id"], r["t"]) for r in got) == [(k, 100 * k + i, "x]}," * (i % 3)) for k in range(n) for i in range(60)]
+    assert len(list((tmp_path / "records").rglob("part-*.txt"))) <= n + tasks
