@@ -2,9 +2,10 @@
 
 The first scan sketches every column of every group (bounded, mergeable) and takes from it, for each wanted quantile, a value
 a little below and one a little above: a bracket. The second counts how many values lie before and inside each bracket, which
-proves that the wanted ranks are inside. The third fetches the values inside, counted by value. A bracket that still holds more
-than ``FEW`` values is narrowed by a sketch of its inside and another count before that, so no task holds more than that many
-values of a group, and a bracket whose ends are equal needs no values at all. Tables of any size go this one way.
+proves that the wanted ranks are inside. The third fetches the values inside, counted by value. A bracket with more than
+``FEW`` rows between its ends is narrowed by a sketch of its inside and another count before that, as long as this leaves fewer,
+so no task holds more than that many values of a group. The ends themselves are one value each, however many rows have it. A
+bracket whose ends are equal needs no values at all. Tables of any size go this one way.
 """
 
 from __future__ import annotations
@@ -51,10 +52,14 @@ def _of_batch(df: DataFrame, cols: Sequence[str], probs: list[float], by: list[s
     rows = df.select(*[quoted(b).alias(k) for b, k in zip(by, keys)], *[(number(df, c) + F.lit(0.0)).alias(f"x{i}") for i, c in enumerate(cols)])
     slots = [(i, j) for i in range(len(cols)) for j in range(len(probs))]
     state = _counted(rows, keys, _sketched(rows, keys, len(cols), probs), slots, probs)
+    inside = _rows_to_narrow(state, slots)
     for _ in range(ROUNDS):
-        if _most_inside(state, slots) <= FEW:
+        if not inside:
             break
         state = _counted(rows, keys, _narrowed(rows, keys, state, slots, probs), slots, probs)
+        before, inside = inside, _rows_to_narrow(state, slots)
+        if inside >= before:
+            break
     return _read_off(rows, keys, state, slots, probs, cols, by)
 
 
@@ -66,7 +71,7 @@ def _kept(found: DataFrame, keys: list[str]) -> DataFrame | Row:
 def _attached(rows: DataFrame, keys: list[str], state: DataFrame | Row) -> DataFrame:
     """The rows with what is known of their group: as literals where there is one group."""
     if isinstance(state, Row):
-        return rows.select("*", *[F.lit(v).cast("long" if c[0] in "nbm" else "double").alias(c) for c, v in state.asDict().items()])
+        return rows.select("*", *[F.lit(v).cast("long" if c[0] in "nbmv" else "double").alias(c) for c, v in state.asDict().items()])
     known = state.withColumnsRenamed({k: f"own_{k}" for k in keys})
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keys])
     sent = F.broadcast(known) if state.count() <= SENT_GROUPS else known
@@ -86,41 +91,50 @@ def _sketched(rows: DataFrame, keys: list[str], n_cols: int, probs: list[float])
 
 
 def _counted(rows: DataFrame, keys: list[str], state: DataFrame | Row, slots: list[tuple[int, int]], probs: list[float]) -> DataFrame | Row:
-    """Adds b (values before the bracket) and m (values in it); a bracket without its ranks becomes the whole column."""
-    aggs = [F.any_value(f"n{i}").alias(f"n{i}") for i in sorted({i for i, _ in slots})]
+    """Adds b (rows before the bracket), m (rows in it) and v (those between its ends); a bracket without its ranks becomes the whole column."""
+    aggs = []
     for i, j in slots:
         x, lo, hi = F.col(f"x{i}"), F.col(f"lo{i}_{j}"), F.col(f"hi{i}_{j}")
-        aggs += [F.any_value(lo).alias(f"lo{i}_{j}"), F.any_value(hi).alias(f"hi{i}_{j}"), F.count_if(x < lo).alias(f"b{i}_{j}"), F.count_if(x.between(lo, hi)).alias(f"m{i}_{j}")]
-    found = _attached(rows, keys, state).groupBy(*keys).agg(*aggs)
+        aggs += [F.count_if(x < lo).alias(f"b{i}_{j}"), F.count_if(x.between(lo, hi)).alias(f"m{i}_{j}"), F.count_if((x > lo) & (x < hi)).alias(f"v{i}_{j}")]
+    given = _attached(rows, keys, state)
+    if isinstance(state, Row):
+        # What is known already stays out of the aggregation, whose code would become too long to be compiled.
+        found = _attached(given.agg(*aggs), keys, state)
+    else:
+        found = given.groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in state.columns if c not in keys], *aggs)
     out = []
     for i, j in slots:
         n, b, m = F.col(f"n{i}"), F.col(f"b{i}_{j}"), F.col(f"m{i}_{j}")
         at = _at(n, probs[j])
         proven = (b <= F.floor(at)) & (F.ceil(at) < b + m)
-        every = {"lo": F.lit(-math.inf), "hi": F.lit(math.inf), "b": F.lit(0).cast("long"), "m": n}
+        every = {"lo": F.lit(-math.inf), "hi": F.lit(math.inf), "b": F.lit(0).cast("long"), "m": n, "v": n}
         out += [F.when(proven | (n == 0), F.col(f"{c}{i}_{j}")).otherwise(whole).alias(f"{c}{i}_{j}") for c, whole in every.items()]
     return _kept(found.select(*keys, *[f"n{i}" for i in sorted({i for i, _ in slots})], *out), keys)
 
 
-def _most_inside(state: DataFrame | Row, slots: list[tuple[int, int]]) -> int:
+def _rows_to_narrow(state: DataFrame | Row, slots: list[tuple[int, int]]) -> int:
+    """Rows between the ends of the brackets that hold more than ``FEW`` of them."""
     if isinstance(state, Row):
-        return max((state[f"m{i}_{j}"] for i, j in slots if state[f"n{i}"] and state[f"lo{i}_{j}"] < state[f"hi{i}_{j}"]), default=0)
-    open_ = [F.when(F.col(f"lo{i}_{j}") < F.col(f"hi{i}_{j}"), F.col(f"m{i}_{j}")) for i, j in slots]
-    return state.agg(F.max(F.greatest(*open_, F.lit(0), F.lit(0)))).first()[0] or 0
+        return sum(state[f"v{i}_{j}"] for i, j in slots if state[f"n{i}"] and state[f"v{i}_{j}"] > FEW)
+    many = [F.when(F.col(f"v{i}_{j}") > FEW, F.col(f"v{i}_{j}")).otherwise(F.lit(0)).cast("double") for i, j in slots]
+    return int(state.agg(F.sum(reduce(lambda a, b: a + b, many))).first()[0] or 0)
 
 
 def _narrowed(rows: DataFrame, keys: list[str], state: DataFrame | Row, slots: list[tuple[int, int]], probs: list[float]) -> DataFrame | Row:
-    """Brackets from a sketch of the values inside the last ones."""
+    """Brackets from a sketch of the values inside the last ones; those with few stay."""
     ends = [k / PARTS for k in range(PARTS + 1)]
     aggs, picked = [F.any_value(f"n{i}").alias(f"n{i}") for i in sorted({i for i, _ in slots})], []
     for i, j in slots:
         s = f"{i}_{j}"
-        inside = F.when(F.col(f"x{i}").between(F.col(f"lo{s}"), F.col(f"hi{s}")), F.col(f"x{i}"))
-        aggs += [F.percentile_approx(inside, ends, ACCURACY).alias(f"e{s}"), F.any_value(f"b{s}").alias(f"b{s}"), F.any_value(f"m{s}").alias(f"m{s}")]
+        if isinstance(state, Row) and state[f"v{s}"] <= FEW:
+            picked += [F.lit(state[f"{c}{s}"]).cast("double").alias(f"{c}{s}") for c in ("lo", "hi")]
+            continue
+        inside = F.when((F.col(f"v{s}") > FEW) & F.col(f"x{i}").between(F.col(f"lo{s}"), F.col(f"hi{s}")), F.col(f"x{i}"))
+        aggs += [F.percentile_approx(inside, ends, ACCURACY).alias(f"e{s}"), *[F.any_value(f"{c}{s}").alias(f"{c}{s}") for c in ("lo", "hi", "b", "m", "v")]]
         share = (_at(F.col(f"n{i}"), probs[j]) - F.col(f"b{s}")) / F.col(f"m{s}")
         below = F.greatest(F.floor((share - MARGIN) * PARTS), F.lit(0)).cast("int")
         above = F.least(F.ceil((share + MARGIN) * PARTS) + 1, F.lit(PARTS)).cast("int")
-        picked += [F.get(f"e{s}", below).alias(f"lo{s}"), F.get(f"e{s}", above).alias(f"hi{s}")]
+        picked += [F.when(F.col(f"v{s}") > FEW, F.get(f"e{s}", at)).otherwise(F.col(f"{c}{s}")).alias(f"{c}{s}") for c, at in (("lo", below), ("hi", above))]
     found = _attached(rows, keys, state).groupBy(*keys).agg(*aggs)
     return _kept(found.select(*keys, *[f"n{i}" for i in sorted({i for i, _ in slots})], *picked), keys)
 

@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tabulens.operators.ordered import chunked, forward_fill, previous_value
 from tabulens.operators import quantiles
+from tabulens.operators.ordered import chunked, forward_fill, previous_value
 from tabulens.operators.quantiles import exact_quantiles
 
 PROBS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
@@ -216,3 +216,21 @@ print("CHUNKS", chunk_text(df, "t", ["id"]).count(), decode_text(spark.sql("SELE
 """
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=240)
     assert "CHUNKS 3 é" in out.stdout or "CHUNKS 4 é" in out.stdout, out.stdout + out.stderr[-2000:]
+
+
+def test_many_rows_of_few_values_are_not_narrowed(spark, monkeypatch):
+    """A rank between two frequent values: the bracket holds both, and no look at its inside tells more."""
+    calls, narrowed = [], quantiles._narrowed
+    monkeypatch.setattr(quantiles, "FEW", 50)
+    monkeypatch.setattr(quantiles, "_narrowed", lambda *args: calls.append(1) or narrowed(*args))
+    df = spark.range(4000).selectExpr("CAST(id % 4 AS DOUBLE) AS few", "id % 2 AS g", "IF(id < 1990, 0.0, IF(id >= 2010, 9.0, id / 1000)) AS near")
+    assert quantiles.collect_quantiles(df, ["few"], [0.25, 0.5]) == {"few": [0.75, 1.5]} and not calls
+    by = {r["g"]: r["quantiles"] for r in quantiles.exact_quantiles(df, ["few"], [0.5], ["g"]).collect()}
+    assert by == {0: [1.0], 1: [2.0]} and not calls
+    # Many values between two frequent ones: one look less as soon as a look leaves as many.
+    monkeypatch.setattr(quantiles, "FEW", 5)
+    assert quantiles.collect_quantiles(df, ["near"], [0.5])["near"] == pytest.approx([1.9995]) and len(calls) < quantiles.ROUNDS
+    for by in ([], ["g"]):
+        wide = spark.range(4000).selectExpr("id % 2 AS g", "CAST(id % 2 * 10000 + id AS DOUBLE) AS x")
+        got = {r["g"] if by else 0: r["quantiles"][0] for r in quantiles.exact_quantiles(wide, ["x"], [0.5], by).collect()}
+        assert got == ({0: 1999.0, 1: 12000.0} if by else {0: 6999.5})
