@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,7 @@ LONGEST = 40
 #: What a trigram counts at least in every language.
 SMOOTH = 0.5
 WORD = r"[^\x00-\x60\x7B-\x7F]+"
+_FIND = re.compile(WORD).findall
 
 
 def gram_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
@@ -51,18 +53,38 @@ class LanguageModel:
         found = [w for i in range(len(word)) if (w := self.weights.get(f" {word} "[i : i + 3]))]
         return tuple(map(sum, zip(*found))) if found else None
 
-    def language(self, text: str | None, memory: dict[str, tuple[float, ...] | None]) -> str | None:
-        total = None
-        for word in re.findall(WORD, (text or "").lower()):
-            if len(word) > LONGEST:
-                continue
-            if word not in memory:
-                if len(memory) >= 200_000:
-                    memory.clear()
-                memory[word] = self.scores(word)
-            if (s := memory[word]) is not None:
-                total = s if total is None else tuple(a + b for a, b in zip(total, s))
-        return None if total is None else self.languages[max(range(len(total)), key=lambda i: (total[i], -i))]
+
+class _Words(dict):
+    """Where the scores of a word are among those met; 0 for words without any, whose scores change nothing."""
+
+    KEPT = 200_000
+
+    def __init__(self, model: LanguageModel):
+        super().__init__()
+        self.model, self.table, self.used = model, np.zeros((1024, len(model.languages))), 1
+
+    def __missing__(self, word: str) -> int:
+        found = self.model.scores(word) if len(word) <= LONGEST else None
+        if found is None:
+            if len(word) <= LONGEST:
+                self[word] = 0
+            return 0
+        if self.used == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[self.used] = found
+        self[word], self.used = self.used, self.used + 1
+        return self[word]
+
+    def language(self, text: str | None) -> str | None:
+        if len(self) >= self.KEPT:
+            self.clear()
+            self.used = 1
+        words = _FIND((text or "").lower())
+        at = np.fromiter(map(self.__getitem__, words), np.intp, len(words))
+        if not at.any():
+            return None
+        # The first of equal ones.
+        return self.model.languages[self.table.take(at, axis=0).sum(axis=0).argmax()]
 
 
 def fit_languages(df: DataFrame, text: str, lang: str, top: int = TOP) -> LanguageModel:
@@ -86,8 +108,8 @@ def detect_language(df: DataFrame, text: str, model: LanguageModel, out: str = "
 
     @arrow_udf("string")
     def named(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        here, memory = LanguageModel(*shared.value), {}
+        words = _Words(LanguageModel(*shared.value))
         for texts in batches:
-            yield pa.array([here.language(t.as_py(), memory) for t in texts], pa.string())
+            yield pa.array([words.language(t.as_py()) for t in texts], pa.string())
 
     return df.withColumn(out, named(quoted(text).cast("string")))

@@ -33,3 +33,19 @@ def test_model_is_small(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language.fit_languages(docs, "text", "lang", top=50)
     assert len(model.weights) <= 200 and model.languages == ("de", "en", "es", "fr")
+
+
+def test_scores_by_hand_and_a_full_memory(monkeypatch):
+    """Words are looked up once and added up as an array; the same languages as word by word, also after forgetting."""
+    grams = {" ab": (-1.0, -2.5, -2.5), "aba": (-3.0, -0.5, -0.5), "cc ": (-0.25, -4.0, -4.0), "ünd": (-2.0, -2.0, -2.0)}
+    model = language.LanguageModel(("x", "y", "z"), grams)
+    monkeypatch.setattr(language._Words, "KEPT", 2)
+    words = language._Words(model)
+    texts = ["Aba aba", "ccc", "ünd", "aba ccc ünd", "q", "", None, "z" * 50, "aba " * 3000 + "ccc", " ".join(f"aba{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600) if i % 26 > 1) + " x" * 2000]
+    for text in texts:
+        total = None
+        for word in language.re.findall(language.WORD, (text or "").lower()):
+            if len(word) <= language.LONGEST and (s := model.scores(word)) is not None:
+                total = s if total is None else tuple(a + b for a, b in zip(total, s))
+        assert words.language(text) == (None if total is None else model.languages[max(range(3), key=lambda i: (total[i], -i))])
+    assert len(words.table) <= 2048
