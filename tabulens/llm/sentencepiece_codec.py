@@ -18,12 +18,13 @@ each for itself. An empty table gives an empty one. Other columns stay as they a
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -74,11 +75,34 @@ class _Remembered(dict):
         return found
 
 
-class _Absent(dict):
-    """Bytes of pieces; none for other ids."""
+class Raw:
+    """The bytes of the pieces, one after the other by id; none for other ids."""
 
-    def __missing__(self, i: int) -> bytes:
-        return b""
+    def __init__(self, pieces: Pieces):
+        named = {i: p.replace(SPACE, " ").encode() for p, _, i in pieces.ordinary} | {i: bytes([b]) for b, i in enumerate(pieces.byte_ids)}
+        self.size = max(named) + 1
+        # The last one stands for all ids outside the vocabulary.
+        self.bytes = pa.array([named.get(i, b"") for i in range(self.size + 1)], pa.large_binary())
+
+    def texts(self, rows: pa.Array) -> list[str | None]:
+        """The texts of rows of ids, one lookup for all of them."""
+        ids = rows.flatten().fill_null(self.size).to_numpy(zero_copy_only=False)
+        if not len(ids):
+            return ["" if here else None for here in rows.is_valid().to_pylist()]
+        found = self.bytes.take(pa.array(np.where((ids >= 0) & (ids < self.size), ids, self.size), pa.int64()))
+        _, offsets, data = found.buffers()
+        at = np.frombuffer(offsets, np.int64, len(ids) + 1, found.offset * 8)
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+        ends = at[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])].tolist()
+        whole = b"" if data is None else data
+        return [
+            _unspaced(str(memoryview(whole)[a:b], "utf-8", "replace")) if here else None
+            for a, b, here in zip(ends, ends[1:], rows.is_valid().to_pylist())
+        ]
+
+
+def _unspaced(text: str) -> str:
+    return text[1:] if text.startswith(" ") else text
 
 
 class Codec:
@@ -95,7 +119,7 @@ class Codec:
         self.words = re.compile(self._cut([p for p, _, _ in pieces.ordinary]))
         self.memory = _Remembered(self.best)
         self.literal = np.array([self.bytes[b] for b in SPACE.encode()], np.int32).tobytes()
-        self.raw = _Absent({i: p.replace(SPACE, " ").encode() for p, _, i in pieces.ordinary} | {i: bytes([b]) for b, i in enumerate(self.bytes)})
+        self.raw = Raw(pieces)
 
     @staticmethod
     def _cut(pieces: list[str]) -> str:
@@ -153,17 +177,23 @@ class Codec:
         return np.frombuffer(self.encode_packed(text), np.int32).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.raw.texts(pa.array([ids], pa.list_(pa.int32())))[0]
+
+
+def _kept(shared: dict, name: str, make: Callable[[Pieces], Codec | Raw]) -> Codec | Raw:
+    """What a worker makes of the pieces: it stays with the broadcast from task to task, and so does what it remembers."""
+    if name not in shared:
+        shared[name] = make(shared["pieces"])
+    return shared[name]
 
 
 def encoder(spark: SparkSession, path: str = MODEL):
     """A column function from text to array<int>."""
-    shared = spark.sparkContext.broadcast(Pieces.load(path))
+    shared = spark.sparkContext.broadcast({"pieces": Pieces.load(path)})
 
     @arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(shared.value)
+        codec = _kept(shared.value, "codec", Codec)
         for texts in batches:
             packed = [None if (t := x.as_py()) is None else codec.encode_packed(t) for x in texts]
             ends = np.cumsum([0, *(len(p) // 4 if p else 0 for p in packed)])
@@ -175,13 +205,13 @@ def encoder(spark: SparkSession, path: str = MODEL):
 
 def decoder(spark: SparkSession, path: str = MODEL):
     """A column function from array<int> to text."""
-    shared = spark.sparkContext.broadcast(Pieces.load(path))
+    shared = spark.sparkContext.broadcast({"pieces": Pieces.load(path)})
 
     @arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec(shared.value)
+        raw = _kept(shared.value, "raw", Raw)
         for ids in batches:
-            yield pa.array([None if (t := x.as_py()) is None else codec.decode(t) for x in ids], pa.string())
+            yield pa.array(raw.texts(ids), pa.string())
 
     return decode
 

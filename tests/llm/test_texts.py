@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +290,19 @@ def test_tokens_round_trip(spark, awkward, empty):
     assert [r.text for r in sentencepiece_codec.decode_docs(odd).collect()][1:] == ["�", None]
 
 
+def test_rows_of_ids_are_decoded_together():
+    """Decoding needs no search: missing rows and ids, ids of no piece, slices, bytes that are no UTF-8."""
+    pieces = sentencepiece_codec.Pieces.load()
+    raw, codec = sentencepiece_codec.Raw(pieces), sentencepiece_codec.Codec(pieces)
+    texts = ["", "one two", None, " 漢😀", "x" * 50, ""]
+    ids = [None if t is None else codec.encode(t) for t in texts]
+    rows = pa.array([[7], *ids, [None, -1, 10**8, pieces.byte_ids[200]], []], pa.list_(pa.int32()))
+    assert raw.texts(rows[1:]) == [*texts, "\ufffd", ""]
+    assert raw.texts(pa.array([None, []], pa.list_(pa.int32()))) == [None, ""] and raw.texts(rows[:0]) == []
+    shared = {"pieces": pieces}
+    assert sentencepiece_codec._kept(shared, "raw", sentencepiece_codec.Raw) is sentencepiece_codec._kept(shared, "raw", sentencepiece_codec.Raw)
+
+
 def test_tokens_round_trip_of_any_text():
     codec, turn = sentencepiece_codec.Codec(sentencepiece_codec.Pieces.load()), random.Random(4)
     for _ in range(500):
