@@ -180,16 +180,21 @@ class Codec:
         return self.raw.texts(pa.array([ids], pa.list_(pa.int32())))[0]
 
 
+def _plain(pieces: Pieces) -> dict:
+    """Plain data: a broadcast names its classes, and workers need not have the package."""
+    return {"pieces": (pieces.ordinary, pieces.byte_ids)}
+
+
 def _kept(shared: dict, name: str, make: Callable[[Pieces], Codec | Raw]) -> Codec | Raw:
     """What a worker makes of the pieces: it stays with the broadcast from task to task, and so does what it remembers."""
     if name not in shared:
-        shared[name] = make(shared["pieces"])
+        shared[name] = make(Pieces(*shared["pieces"]))
     return shared[name]
 
 
 def encoder(spark: SparkSession, path: str = MODEL):
     """A column function from text to array<int>."""
-    shared = spark.sparkContext.broadcast({"pieces": Pieces.load(path)})
+    shared = spark.sparkContext.broadcast(_plain(Pieces.load(path)))
 
     @arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -205,7 +210,7 @@ def encoder(spark: SparkSession, path: str = MODEL):
 
 def decoder(spark: SparkSession, path: str = MODEL):
     """A column function from array<int> to text."""
-    shared = spark.sparkContext.broadcast({"pieces": Pieces.load(path)})
+    shared = spark.sparkContext.broadcast(_plain(Pieces.load(path)))
 
     @arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -299,7 +299,7 @@ def test_rows_of_ids_are_decoded_together():
     rows = pa.array([[7], *ids, [None, -1, 10**8, pieces.byte_ids[200]], []], pa.list_(pa.int32()))
     assert raw.texts(rows[1:]) == [*texts, "\ufffd", ""]
     assert raw.texts(pa.array([None, []], pa.list_(pa.int32()))) == [None, ""] and raw.texts(rows[:0]) == []
-    shared = {"pieces": pieces}
+    shared = sentencepiece_codec._plain(pieces)
     assert sentencepiece_codec._kept(shared, "raw", sentencepiece_codec.Raw) is sentencepiece_codec._kept(shared, "raw", sentencepiece_codec.Raw)
 
 
